@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lorekeep.llm import quality_rules
+from lorekeep.llm import byte_bpe, quality_rules
 
 QUERIES = {
     "op4_quality_rules": quality_rules.query,
+    "op9_byte_bpe": byte_bpe.query,
 }
 ORACLE_SQL = {
     "op4_quality_rules": quality_rules.SQL,
