@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lorekeep.llm import byte_bpe, quality_rules
+from lorekeep.llm import byte_bpe, html_extract, quality_rules
 
 QUERIES = {
     "op4_quality_rules": quality_rules.query,
     "op9_byte_bpe": byte_bpe.query,
+    "op10_html_extract": html_extract.query,
 }
 ORACLE_SQL = {
     "op4_quality_rules": quality_rules.SQL,
