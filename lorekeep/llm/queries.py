@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from lorekeep.llm import byte_bpe, html_extract, quality_rules, url_filter
+from lorekeep.llm import byte_bpe, decontaminate, html_extract, quality_rules, url_filter
 
 QUERIES = {
+    "op2_decontaminate": decontaminate.query,
     "op4_quality_rules": quality_rules.query,
     "op6_url_filter": url_filter.query,
     "op9_byte_bpe": byte_bpe.query,
     "op10_html_extract": html_extract.query,
 }
 ORACLE_SQL = {
+    "op2_decontaminate": decontaminate.SQL,
     "op4_quality_rules": quality_rules.SQL,
     "op6_url_filter": url_filter.SQL,
 }
