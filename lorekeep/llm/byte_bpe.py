@@ -44,12 +44,12 @@ class MergeReplay:
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for b, r in ranks.items():
             self.bytes_of[r] = b
-        self.pairs: dict[tuple[int, int], int] = {}
+        self.pairs: dict[int, int] = {}  # by left << 20 | right
         self.single = [ranks.get(bytes([i]), -1) for i in range(256)]
 
     def rank(self, left: int, right: int) -> int:
         """The rank that two adjacent parts merge to, or -1."""
-        key = (left, right)
+        key = left << 20 | right
         r = self.pairs.get(key)
         if r is None:
             r = self.ranks.get(self.bytes_of[left] + self.bytes_of[right], -1)
@@ -73,73 +73,93 @@ class MergeReplay:
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
         """The ids of each of the words, by one replay over all of them."""
-        ranks, rank = self.ranks, self.rank
+        ranks, rank, single = self.ranks, self.rank, self.single
+        known = self.pairs.get  # looked up in place below: this loop is the operator's cost
         out: list[list[int] | None] = [None] * len(words)
         part: list[int] = []  # the part that starts at a position; -1 once merged into its left neighbour
         after: list[int] = []  # the next part's position, or -1 at a word's end
         before: list[int] = []
         spans: list[tuple[int, int, int]] = []
-        whole = {}
-        owner: list[int] = []
+        irregular: set[int] = set()  # first positions of words to be settled alone
+        first: list[int] = []
         index: dict[int, list[int]] = {}
         for k, word in enumerate(words):
             r = ranks.get(word)
             if r is not None:
                 out[k] = [r]
                 continue
+            if not word:
+                out[k] = []
+                continue
             a = len(part)
-            n = len(word)
-            part += [self.single[b] for b in word]
-            before += [-1, *range(a, a + n - 1)]
-            after += [*range(a + 1, a + n), -1]
-            owner += [k] * n
+            own = [single[b] for b in word]
+            n = len(own)
+            part += own
+            before.append(-1)
+            before += range(a, a + n - 1)
+            after += range(a + 1, a + n)
+            after.append(-1)
+            first += [a] * n
             spans.append((k, a, n))
-            for i in range(a, a + n - 1):
-                r = rank(part[i], part[i + 1])
+            i, x = a, own[0]
+            for y in own[1:]:
+                r = known(x << 20 | y)
+                if r is None:
+                    r = rank(x, y)
                 if r >= 0:
-                    index.setdefault(r, []).append(i)
+                    if r in index:
+                        index[r].append(i)
+                    else:
+                        index[r] = [i]
+                i += 1
+                x = y
         heap = sorted(index)
         while heap:
             r = heappop(heap)
-            at = index.pop(r, None)
-            if at is None:
-                continue
+            at = index.pop(r)
             at.sort()
             for i in at:
                 x = part[i]
-                if x < 0:
-                    continue
                 j = after[i]
-                if j < 0 or rank(x, part[j]) != r or owner[i] in whole:
+                if x < 0 or j < 0:
+                    continue
+                y = part[j]
+                if known(x << 20 | y, -1) != r and rank(x, y) != r:
+                    continue
+                if irregular and first[i] in irregular:
                     continue
                 part[i], part[j] = r, -1
-                nxt = after[i] = after[j]
-                if nxt >= 0:
-                    before[nxt] = i
-                    q = rank(r, part[nxt])
+                z = after[i] = after[j]
+                if z >= 0:
+                    before[z] = i
+                    q = known(r << 20 | part[z])
+                    if q is None:
+                        q = rank(r, part[z])
                     if q >= 0:
                         if q < r:
-                            whole[owner[i]] = True
+                            irregular.add(first[i])
                             continue
                         if q in index:
                             index[q].append(i)
                         else:
                             index[q] = [i]
                             heappush(heap, q)
-                prv = before[i]
-                if prv >= 0:
-                    q = rank(part[prv], r)
+                z = before[i]
+                if z >= 0:
+                    q = known(part[z] << 20 | r)
+                    if q is None:
+                        q = rank(part[z], r)
                     if q >= 0:
                         if q < r:
-                            whole[owner[i]] = True
+                            irregular.add(first[i])
                             continue
                         if q in index:
-                            index[q].append(prv)
+                            index[q].append(z)
                         else:
-                            index[q] = [prv]
+                            index[q] = [z]
                             heappush(heap, q)
         for k, a, n in spans:
-            out[k] = self.alone(words[k]) if k in whole else [x for x in part[a : a + n] if x >= 0]
+            out[k] = self.alone(words[k]) if a in irregular else [x for x in part[a : a + n] if x >= 0]
         return out
 
     def decode(self, ids) -> bytes:
