@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lorekeep.llm import byte_bpe, decontaminate, html_extract, quality_rules, url_filter
+from lorekeep.llm import byte_bpe, decontaminate, html_extract, line_dedup, quality_rules, url_filter
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.query,
     "op2_decontaminate": decontaminate.query,
     "op4_quality_rules": quality_rules.query,
     "op6_url_filter": url_filter.query,
@@ -12,6 +13,7 @@ QUERIES = {
     "op10_html_extract": html_extract.query,
 }
 ORACLE_SQL = {
+    "op1_line_dedup": line_dedup.SQL,
     "op2_decontaminate": decontaminate.SQL,
     "op4_quality_rules": quality_rules.SQL,
     "op6_url_filter": url_filter.SQL,
