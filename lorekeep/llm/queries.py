@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lorekeep.llm import byte_bpe, decontaminate, html_extract, line_dedup, quality_rules, url_filter
+from lorekeep.llm import byte_bpe, decontaminate, html_extract, line_dedup, ngram_jaccard, quality_rules, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
     "op2_decontaminate": decontaminate.query,
+    "op3_ngram_jaccard": ngram_jaccard.query,
     "op4_quality_rules": quality_rules.query,
     "op6_url_filter": url_filter.query,
     "op9_byte_bpe": byte_bpe.query,
