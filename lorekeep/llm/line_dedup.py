@@ -8,11 +8,11 @@ the earliest stays. Lines without words are layout and always stay.
 
 1. Equal lines: one aggregate over 128 bits of hash keeps the first place of each
    distinct line. Partial aggregation takes hot lines off the shuffle.
-2. A lossless screen. One edit leaves the first or the last half of a line whole,
-   so only lines that share a half (with the lengths that an edit allows) with
-   another distinct line can have a near copy.
+2. A lossless screen. One edit leaves the head or the tail of a line whole (40 %
+   of its words or more), so only lines that share an end with another distinct
+   line can have a near copy, with the edit outside of that end.
 3. Lines that pass emit all variants within the bound as 64-bit keys: the line
-   itself and the line without each of its words. A key is the XOR of hashes of
+   itself and the line without each of its words outside of shared ends. A key is the XOR of hashes of
    (word, place), so all n variants of a line of n words cost O(n) to make, up to
    the block-wise running XOR in O(n sqrt n) cheap steps.
 4. Equal variants join. Lines that lack the word at the same place of the same
@@ -23,10 +23,10 @@ the earliest stays. Lines without words are layout and always stay.
 5. Each line with an earlier candidate meets that candidate's words and the edit
    distance is verified on the words.
 
-Defined results: null text stays null and has no lines; repeated rows of a
-document are later copies of its lines (place: doc_id, then the text's hash, then
-the line number), fully equal rows count as one and lose the same lines; an empty
-table gives an empty table. Extra columns stay; the added names replace columns
+Defined results: null text stays null and has no lines; rows of one doc_id are one
+document and lose the same lines (if their texts differ, a line stays if its
+number stays for one of them); without a doc_id a line has no place, stays, and
+no other goes for it; an empty table gives an empty table. Extra columns stay; the added names replace columns
 that clash.
 """
 
@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 from lorekeep.llm.common import cut, let
 
 MIN_WORDS = 8
+#: Documents with screened lines that may be broadcast (a few numbers each); beyond that their texts are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 BLANK = " \t\r"
 
 
@@ -50,16 +52,26 @@ def n_words(line: Column) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
-def halves(line: Column, n: Column) -> Column:
-    """Keys of the screen: both halves, for the line's own length and as the shorter of a pair."""
+def end_words(n: Column) -> Column:
+    """Words of a line's head or tail in the screen: 40 to 50 % of n; lengths of one class have the same."""
+    low = F.pow(F.lit(1.25), F.floor(F.log(n) / F.log(F.lit(1.25))))
+    return F.least(F.floor(low / 2), F.floor(n / 2)).cast("int")
 
-    def pair(of):
-        m = F.floor(of / 2).cast("int")
-        head, tail = (F.call_function("substring_index", line, F.lit(" "), k) for k in (m, m - of))
-        return [F.xxhash64(F.lit(0), of, head), F.xxhash64(F.lit(1), of, tail)]
 
-    own, longer = pair(n), pair(n + 1)
-    return F.when(n >= MIN_WORDS, F.array(*own, *longer)).when(n == MIN_WORDS - 1, F.array(*longer)).otherwise(F.array().cast("array<bigint>"))
+def ends(line: Column, n: Column) -> Column:
+    """Structs (key, end): the screen's keys. end 0 is the head and 1 the tail; 2 is for a pair with a longer line.
+
+    Of two lines within one edit, the longer of n words, either both heads or
+    both tails of ``end_words(n)`` words are equal. A line whose length begins no
+    new class as the shorter one needs no further keys.
+    """
+    cut_at = lambda m: F.call_function("substring_index", line, F.lit(" "), m)
+    key = lambda m, end, to: F.struct(F.xxhash64(F.lit(end), m, cut_at(m if end == 0 else -m)).alias("key"), F.lit(to).alias("end"))
+    m, longer = end_words(n), end_words(n + 1)
+    none = F.array().cast("array<struct<key:bigint,end:int>>")
+    own = F.when(n >= MIN_WORDS, F.array(key(m, 0, 0), key(m, 1, 1))).otherwise(none)
+    more = F.when((n >= MIN_WORDS - 1) & ((m != longer) | (n < MIN_WORDS)), F.array(key(longer, 0, 2), key(longer, 1, 2))).otherwise(none)
+    return F.concat(own, more)
 
 
 def running_xor(values: Column) -> Column:
@@ -89,12 +101,13 @@ def running_xor(values: Column) -> Column:
     return F.when(F.size(values) == 0, F.array(F.lit(0).cast("long"))).otherwise(let(values, blocks))
 
 
-def variants(words: Column) -> Column:
+def variants(words: Column, ends: Column) -> Column:
     """Structs (key, role): 0 lacks a word at a place, 1 is a whole line, 2 lacks a word anywhere.
 
     With a_j = hash(word j, j) and b_j = hash(word j, j - 1), the variant without
     word i is a_0 ^ .. ^ a_(i-1) ^ b_(i+1) ^ .. ; neighbouring variants differ by
-    a_i ^ b_(i+1).
+    a_i ^ b_(i+1). A line that shares only its head with others lacks words of
+    the rest alone, and the like for its tail.
     """
 
     def body(w):
@@ -110,14 +123,23 @@ def variants(words: Column) -> Column:
             F.transform(F.slice(w, 2, n - 1), lambda x, j: F.xxhash64(x, j)),
             lambda a, b: a.bitwiseXOR(b),
         )
-        lacking = F.when(n >= MIN_WORDS, let(first, lambda f: F.transform(running_xor(steps), lambda x: x.bitwiseXOR(f)))).otherwise(F.array().cast("array<bigint>"))
+        open_at = lambda i: (F.array_contains(ends, 0) & (i >= end_words(n))) | (F.array_contains(ends, 1) & (i < n - end_words(n)))
+        lacking = F.when(
+            F.array_contains(ends, 0) | F.array_contains(ends, 1),
+            let(
+                first,
+                lambda f: F.filter(
+                    F.transform(running_xor(steps), lambda x, i: F.struct(x.bitwiseXOR(f).alias("x"), i.alias("i"))), lambda v: open_at(v["i"])
+                ),
+            ),
+        ).otherwise(F.array().cast("array<struct<x:bigint,i:int>>"))
         key = lambda k, role: F.struct(k.alias("key"), F.lit(role).alias("role"))
         return let(
             lacking,
             lambda v: F.concat(
                 F.array(key(F.xxhash64(whole, n, F.lit(1)), 1)),
-                F.transform(v, lambda x, i: key(F.xxhash64(x, n, i, F.lit(0)), 0)),
-                F.array_distinct(F.transform(v, lambda x: key(F.xxhash64(x, n - 1, F.lit(1)), 2))),
+                F.transform(v, lambda x: key(F.xxhash64(x["x"], n, x["i"], F.lit(0)), 0)),
+                F.array_distinct(F.transform(v, lambda x: key(F.xxhash64(x["x"], n - 1, F.lit(1)), 2))),
             ),
         )
 
@@ -142,59 +164,62 @@ def within_one(a: Column, b: Column) -> Column:
     return let(F.when(at > 0, at - 1).otherwise(F.size(same)), body)
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """(_key, kept): by document the numbers of its lines that stay among those with words."""
-    key = F.struct(F.col("doc_id"), F.xxhash64("text").alias("h")).alias("_key")
-    texts = docs.select(key, "text")
+def staying_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, kept): by document the numbers of the lines with words that stay."""
+    texts = docs.select("doc_id", "text").where("doc_id is not null")
     placed = (
-        texts.select("_key", F.posexplode(lines_of(F.col("text"))).alias("no", "line"))
+        texts.select("doc_id", F.posexplode(lines_of(F.col("text"))).alias("no", "line"))
         .where("line != ''")
         .withColumn("n", n_words(F.col("line")))
         .select(
             F.xxhash64("line").alias("h1"),
             F.xxhash64(F.lit(7), "line", "n").alias("h2"),
-            F.struct("_key", "no").alias("place"),
-            halves(F.col("line"), F.col("n")).alias("halves"),
+            F.struct("doc_id", "no").alias("place"),
+            ends(F.col("line"), F.col("n")).alias("ends"),
         )
     )
-    first = cut(placed.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.first("halves").alias("halves")))
-
-    screen = first.where(F.size("halves") > 0).select("h1", "place", F.explode("halves").alias("half"))
-    shared = screen.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
-    passed = (
-        screen.join(shared, "half", "left_semi")
-        .groupBy("place._key")
-        .agg(F.sort_array(F.collect_set("place.no")).alias("nos"))
-    )
-    # the words of the lines that passed, from a second look at their documents
-    lines = texts.distinct().join(passed, "_key").select(
-        "_key",
-        F.explode(
-            let(lines_of(F.col("text")), lambda ls: F.transform("nos", lambda no: F.struct(no.alias("no"), F.split(F.get(ls, no), " ", -1).alias("w"))))
-        ).alias("x"),
+    first = cut(placed.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.first("ends").alias("ends")))
+
+    screen = first.select("h1", F.inline("ends"))
+    shared = screen.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    passed = screen.join(shared, "key", "left_semi").groupBy("h1").agg(F.collect_set("end").alias("ends"))
+    passed = passed.join(first.select("h1", "place"), "h1").groupBy("place.doc_id").agg(F.collect_list(F.struct("place.no", "ends")).alias("lines"))
+    passed = cut(passed)
+    if passed.count() <= BROADCAST_ROWS:
+        passed = F.broadcast(passed)
+
+    # the words of the lines that passed, from a second look at their documents, numbered in the order of their places
+    lines = texts.join(passed, "doc_id").select(
+        "doc_id",
+        F.inline(
+            let(
+                lines_of(F.col("text")),
+                lambda ls: F.transform("lines", lambda x: F.struct(x["no"].alias("no"), x["ends"].alias("ends"), F.split(F.get(ls, x["no"]), " ", -1).alias("w"))),
+            )
+        ),
     )
-    lines = cut(lines.select(F.struct("_key", "x.no").alias("place"), F.col("x.w").alias("w")))
+    lines = lines.where("w is not null").select(F.struct("doc_id", "no").alias("place"), "ends", "w").orderBy("place")
+    lines = cut(lines.select(F.monotonically_increasing_id().alias("id"), "place", "ends", "w"))
 
-    rows = lines.select("place", F.inline(variants(F.col("w"))))
-    least = lambda role: F.min(F.when(F.col("role") == role, F.col("place")))
+    rows = lines.select("id", F.inline(variants(F.col("w"), F.col("ends"))))
+    least = lambda role: F.min(F.when(F.col("role") == role, F.col("id")))
     # what an earlier near copy is for each role: same gap, a line that lacks a word of this key's line, the key's line
     groups = rows.groupBy("key").agg(F.count("*").alias("c"), least(0).alias("p0"), least(2).alias("p1"), least(1).alias("p2")).where("c > 1").drop("c")
     met = rows.join(groups, "key").select(
-        "place", F.when(F.col("role") == 0, F.col("p0")).when(F.col("role") == 1, F.col("p1")).otherwise(F.col("p2")).alias("other")
+        "id", F.when(F.col("role") == 0, F.col("p0")).when(F.col("role") == 1, F.col("p1")).otherwise(F.col("p2")).alias("other")
     )
-    candidates = met.where("other < place").distinct()
-    other = lines.select(F.col("place").alias("other"), F.col("w").alias("v"))
-    near = candidates.join(lines, "place").join(other, "other").where(within_one(F.col("w"), F.col("v"))).select("place").distinct()
+    candidates = met.where("other < id").distinct()
+    words = lines.select("id", "place", "w")
+    other = lines.select(F.col("id").alias("other"), F.col("w").alias("v"))
+    near = candidates.join(words, "id").join(other, "other").where(within_one(F.col("w"), F.col("v"))).select("place").distinct()
 
-    return first.select("place").join(near, "place", "left_anti").groupBy("place._key").agg(F.collect_list("place.no").alias("kept"))
+    return first.select("place").join(near, "place", "left_anti").groupBy("place.doc_id").agg(F.collect_list("place.no").alias("kept"))
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """Replaces text by the lines that stay; adds n_lines (with words) and n_removed."""
     docs = docs.drop("n_lines", "n_removed")
-    kept = removed_lines(docs)
-    key = F.struct(F.col("doc_id"), F.xxhash64("text").alias("h"))
-    joined = docs.withColumn("_key", key).join(kept, "_key", "left")
+    joined = docs.join(staying_lines(docs).withColumnRenamed("kept", "_kept"), "doc_id", "left")
 
     def rebuild(parts):
         blank = F.transform(parts, lambda x: F.btrim(x, F.lit(BLANK)) == "")
@@ -202,7 +227,8 @@ def line_dedup(docs: DataFrame) -> DataFrame:
         worded = let(blank, lambda e: F.filter(numbers, lambda i: ~F.get(e, i)))
 
         def stay(w):
-            gone = F.array_except(w, F.coalesce("kept", F.array().cast("array<int>")))
+            none = F.array().cast("array<int>")
+            gone = F.when(F.col("doc_id").isNull(), none).otherwise(F.array_except(w, F.coalesce("_kept", none)))
             text = let(gone, lambda g: F.array_join(F.transform(F.array_except(numbers, g), lambda i: F.get(parts, i)), "\n"))
             return F.struct(text.alias("text"), F.size(w).cast("long").alias("n"), F.size(gone).cast("long").alias("gone"))
 
