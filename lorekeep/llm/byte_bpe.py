@@ -24,16 +24,20 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from heapq import heappop, heappush
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Entries after which a task's cache of encoded words starts anew.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_000_000
 #: Distinct words that are replayed together.
-REPLAY_WORDS = 50_000
+REPLAY_WORDS = 200_000
+#: Positions of a rank from which it is applied to all at once.
+BULK = 64
 
 
 class MergeReplay:
@@ -71,96 +75,147 @@ class MergeReplay:
             parts[at : at + 2] = [best]
         return parts
 
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``rank`` of many pairs."""
+        keys, back = np.unique(left.astype(np.int64) << 20 | right, return_inverse=True)
+        known = self.pairs.get
+        out = [known(k, -2) for k in keys.tolist()]
+        for n, r in enumerate(out):
+            if r == -2:
+                k = int(keys[n])
+                out[n] = self.rank(k >> 20, k & 0xFFFFF)
+        return np.array(out, np.int64)[back]
+
     def encode(self, words: list[bytes]) -> list[list[int]]:
         """The ids of each of the words, by one replay over all of them."""
-        ranks, rank, single = self.ranks, self.rank, self.single
-        known = self.pairs.get  # looked up in place below: this loop is the operator's cost
-        out: list[list[int] | None] = [None] * len(words)
-        part: list[int] = []  # the part that starts at a position; -1 once merged into its left neighbour
-        after: list[int] = []  # the next part's position, or -1 at a word's end
-        before: list[int] = []
-        spans: list[tuple[int, int, int]] = []
-        irregular: set[int] = set()  # first positions of words to be settled alone
-        first: list[int] = []
-        index: dict[int, list[int]] = {}
-        for k, word in enumerate(words):
-            r = ranks.get(word)
-            if r is not None:
-                out[k] = [r]
-                continue
-            if not word:
-                out[k] = []
-                continue
-            a = len(part)
-            own = [single[b] for b in word]
-            n = len(own)
-            part += own
-            before.append(-1)
-            before += range(a, a + n - 1)
-            after += range(a + 1, a + n)
-            after.append(-1)
-            first += [a] * n
-            spans.append((k, a, n))
-            i, x = a, own[0]
-            for y in own[1:]:
-                r = known(x << 20 | y)
-                if r is None:
-                    r = rank(x, y)
-                if r >= 0:
-                    if r in index:
-                        index[r].append(i)
-                    else:
-                        index[r] = [i]
-                i += 1
-                x = y
-        heap = sorted(index)
+        out: list[list[int] | None] = [[r] if (r := self.ranks.get(w)) is not None else None if w else [] for w in words]
+        todo = [k for k, ids in enumerate(out) if ids is None]
+        if not todo:
+            return out
+        size = np.array([len(words[k]) for k in todo], np.int64)
+        start = np.cumsum(size) - size
+        n = int(size.sum())
+        joined = np.frombuffer(b"".join([words[k] for k in todo]), np.uint8)
+        # one memory, seen as arrays by bulk steps and item by item by small ones
+        part, after, before = (array("q", bytes(8 * n)) for _ in range(3))
+        P, A, B = (np.frombuffer(x, np.int64) for x in (part, after, before))
+        P[:] = np.array(self.single, np.int64)[joined]  # the part at a position; -1 once merged into its left neighbour
+        A[:] = np.arange(1, n + 1)  # the next part's position; -1 at a word's end
+        B[:] = np.arange(-1, n - 1)
+        A[start + size - 1] = -1
+        B[start] = -1
+        owner = np.repeat(np.arange(len(todo)), size)
+        irregular: set[int] = set()  # words to be settled alone
+        at = np.flatnonzero(A >= 0)
+        r = self.ranks_of(P[at], P[at + 1])
+        at, r = at[r >= 0], r[r >= 0]
+        order = np.argsort(r, kind="stable")
+        at, r = at[order], r[order]
+        found, bounds = np.unique(r, return_index=True)
+        index = {q: x.tolist() for q, x in zip(found.tolist(), np.split(at, bounds[1:]), strict=True)}
+        heap = list(index)
         while heap:
             r = heappop(heap)
             at = index.pop(r)
-            at.sort()
-            for i in at:
-                x = part[i]
-                j = after[i]
-                if x < 0 or j < 0:
-                    continue
-                y = part[j]
-                if known(x << 20 | y, -1) != r and rank(x, y) != r:
+            if len(at) >= BULK:
+                self._merge_bulk(r, at, index, heap, P, A, B, owner, irregular)
+            else:
+                self._merge_few(r, at, index, heap, part, after, before, owner, irregular)
+        live = np.flatnonzero(P >= 0)
+        ids = P[live].tolist()
+        stops = np.searchsorted(live, start + size).tolist()
+        i = 0
+        for k, j in zip(todo, stops, strict=True):
+            out[k] = ids[i:j]
+            i = j
+        for k in irregular:
+            out[todo[k]] = self.alone(words[todo[k]])
+        return out
+
+    def _merge_few(self, r, at, index, heap, part, after, before, owner, irregular) -> None:
+        """Applies rank r at a few positions, one by one."""
+        rank, known = self.rank, self.pairs.get
+        at.sort()
+        for i in at:
+            x, j = part[i], after[i]
+            if x < 0 or j < 0:
+                continue
+            y = part[j]
+            if known(x << 20 | y, -1) != r and rank(x, y) != r:
+                continue
+            if irregular and owner[i] in irregular:
+                continue
+            part[i], part[j] = r, -1
+            z = after[i] = after[j]
+            w = before[i]
+            for a, left, right in ((i, r, z), (w, w, r)):
+                if left < 0 or right < 0:
                     continue
-                if irregular and first[i] in irregular:
+                key = r << 20 | part[z] if a == i else part[w] << 20 | r
+                q = known(key)
+                if q is None:
+                    q = rank(key >> 20, key & 0xFFFFF)
+                if q < 0:
                     continue
-                part[i], part[j] = r, -1
-                z = after[i] = after[j]
-                if z >= 0:
-                    before[z] = i
-                    q = known(r << 20 | part[z])
-                    if q is None:
-                        q = rank(r, part[z])
-                    if q >= 0:
-                        if q < r:
-                            irregular.add(first[i])
-                            continue
-                        if q in index:
-                            index[q].append(i)
-                        else:
-                            index[q] = [i]
-                            heappush(heap, q)
-                z = before[i]
-                if z >= 0:
-                    q = known(part[z] << 20 | r)
-                    if q is None:
-                        q = rank(part[z], r)
-                    if q >= 0:
-                        if q < r:
-                            irregular.add(first[i])
-                            continue
-                        if q in index:
-                            index[q].append(z)
-                        else:
-                            index[q] = [z]
-                            heappush(heap, q)
-        for k, a, n in spans:
-            out[k] = self.alone(words[k]) if a in irregular else [x for x in part[a : a + n] if x >= 0]
-        return out
+                if q < r:
+                    irregular.add(int(owner[i]))
+                    break
+                if q in index:
+                    index[q].append(a)
+                else:
+                    index[q] = [a]
+                    heappush(heap, q)
+            if z >= 0:
+                before[z] = i
+
+    def _merge_bulk(self, r, at, index, heap, P, A, B, owner, irregular) -> None:
+        """Applies rank r at many positions at once."""
+        at = np.unique(np.array(at, np.int64))
+        at = at[(P[at] >= 0) & (A[at] >= 0)]
+        at = at[self.ranks_of(P[at], P[A[at]]) == r]
+        if irregular:
+            at = at[~np.isin(owner[at], list(irregular))]
+        j = A[at]
+        meet = np.flatnonzero(j[:-1] == at[1:])
+        if len(meet):  # positions that share a part: the left one has it
+            keep = np.ones(len(at), bool)
+            for m in meet.tolist():
+                if keep[m]:
+                    keep[m + 1] = False
+            at = at[keep]
+            j = A[at]
+        if not len(at):
+            return
+        z = A[j]
+        was = P[z]  # the right neighbour before this rank reaches it
+        P[at], P[j] = r, -1
+        A[at] = z
+        inner = z >= 0
+        B[z[inner]] = at[inner]
+        now = P[z]
+        w = B[at]
+        outer = w >= 0
+        left, right = at[inner], w[outer]
+        pairs = np.concatenate([left, right])
+        q = self.ranks_of(np.concatenate([np.full(len(left), r), P[right]]), np.concatenate([now[inner], np.full(len(right), r)]))
+        changed = inner & (was != now)
+        low = set(owner[pairs[(q >= 0) & (q < r)]].tolist())
+        if changed.any():
+            early = self.ranks_of(np.full(int(changed.sum()), r), was[changed])
+            low |= set(owner[at[changed][(early >= 0) & (early < r)]].tolist())
+        irregular |= low
+        pairs, q = pairs[q > r], q[q > r]
+        if not len(q):
+            return
+        order = np.argsort(q, kind="stable")
+        pairs, q = pairs[order], q[order]
+        found, bounds = np.unique(q, return_index=True)
+        for key, x in zip(found.tolist(), np.split(pairs, bounds[1:]), strict=True):
+            if key in index:
+                index[key] += x.tolist()
+            else:
+                index[key] = x.tolist()
+                heappush(heap, key)
 
     def decode(self, ids) -> bytes:
         return b"".join([self.bytes_of[i] for i in ids])
