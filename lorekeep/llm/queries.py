@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lorekeep.llm import byte_bpe, decontaminate, html_extract, line_dedup, ngram_jaccard, ngram_lm, quality_rules, url_filter
+from lorekeep.llm import byte_bpe, decontaminate, html_extract, line_dedup, ngram_jaccard, ngram_lm, quality_rules, toxicity, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality_rules": quality_rules.query,
     "op6_url_filter": url_filter.query,
     "op7_ngram_lm": ngram_lm.query,
+    "op8_toxicity": toxicity.query,
     "op9_byte_bpe": byte_bpe.query,
     "op10_html_extract": html_extract.query,
 }
