@@ -294,16 +294,29 @@ def candidate_ties(docs: DataFrame, width: int, bands: Bands, parts: int) -> Dat
             yield emit(np.concatenate(held_k), np.concatenate(held_d))
 
     def gather(table: pa.Table) -> pa.Table:
+        """The ties of one part of the key space, packed by part of the documents."""
         keys = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()])
         docs = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("docs").to_pylist()])
         if table.column("part")[0].as_py() < 0:
             u, v = keys.view(np.int64), docs
         else:
             _, _, u, v = ties(keys, docs)
+        part = (mix(u.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        bounds = np.searchsorted(part[order], np.arange(parts + 1))
+        rows = [(p, u[order[a:b]].tobytes(), v[order[a:b]].tobytes()) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
+        return pa.table({"part": pa.array([r[0] for r in rows], pa.int64()), "keys": pa.array([r[1] for r in rows], pa.binary()), "docs": pa.array([r[2] for r in rows], pa.binary())})
+
+    def distinct(table: pa.Table) -> pa.Table:
+        """A document pair may share keys of many parts."""
+        u, v = (np.concatenate([np.frombuffer(x, np.int64) for x in table.column(c).to_pylist()]) for c in ("keys", "docs"))
+        u, v = np.unique(np.stack([u, v]), axis=1)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    blobs = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "part long, keys binary, docs binary")
-    return blobs.groupBy("part").applyInArrow(gather, "u long, v long").distinct()
+    schema = "part long, keys binary, docs binary"
+    blobs = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, schema)
+    packed = blobs.groupBy("part").applyInArrow(gather, schema)
+    return packed.groupBy("part").applyInArrow(distinct, "u long, v long")
 
 
 def cluster_links(docs: DataFrame, members: DataFrame, width: int, bands: Bands) -> DataFrame:
