@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lorekeep.llm import byte_bpe, decontaminate, html_extract, line_dedup, ngram_jaccard, ngram_lm, quality_rules, toxicity, url_filter
+from lorekeep.llm import byte_bpe, decontaminate, html_extract, line_dedup, ngram_jaccard, ngram_lm, packing, quality_rules, toxicity, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
     "op2_decontaminate": decontaminate.query,
     "op3_ngram_jaccard": ngram_jaccard.query,
     "op4_quality_rules": quality_rules.query,
+    "op5_packing": packing.query,
     "op6_url_filter": url_filter.query,
     "op7_ngram_lm": ngram_lm.query,
     "op8_toxicity": toxicity.query,
