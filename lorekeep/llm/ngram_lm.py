@@ -41,7 +41,7 @@ U = np.uint64
 #: Hashes of the end token and of the context of a first word; words hold no blanks, these texts do.
 END, BEGIN = U(0xE5A1D3F0B6C79284), U(0x1B7C93A5F2D8E460)
 #: Tokens that are counted, and bytes of text that are scored, at once.
-COUNT_TOKENS, SCORE_BYTES = 4_000_000, 4_000_000
+COUNT_TOKENS, SCORE_BYTES = 2_500_000, 3_000_000
 
 
 def part_of(h: np.ndarray, parts: int) -> np.ndarray:
