@@ -39,10 +39,10 @@ from pyspark.sql import functions as F
 from lorekeep.llm.common import cut, partitions
 from lorekeep.llm.graph import components
 
-#: Shingles of a block: 32 MB of hashes.
-BLOCK = 4_000_000
+#: Shingles of a block: 8 MB of hashes.
+BLOCK = 1_000_000
 #: Text that is hashed at once, keys that leave a task at once, words that a worker remembers.
-CHUNK_BYTES, FLUSH_KEYS, MEMO_WORDS = 8_000_000, 2_000_000, 1_000_000
+CHUNK_BYTES, FLUSH_KEYS, MEMO_WORDS = 4_000_000, 1_200_000, 600_000
 #: Bits of the folded sketches that are compared before the sets are.
 FOLDED = 2048
 
