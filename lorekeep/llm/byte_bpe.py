@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Entries after which a task's cache of encoded words starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 450_000
 #: Distinct words that are replayed together.
-REPLAY_WORDS = 200_000
+REPLAY_WORDS = 100_000
 #: Positions of a rank from which it is applied to all at once.
 BULK = 64
 

@@ -42,7 +42,7 @@ from lorekeep.llm.graph import components
 #: Shingles of a block: 8 MB of hashes.
 BLOCK = 1_000_000
 #: Text that is hashed at once, keys that leave a task at once, words that a worker remembers.
-CHUNK_BYTES, FLUSH_KEYS, MEMO_WORDS = 4_000_000, 1_200_000, 600_000
+CHUNK_BYTES, FLUSH_KEYS, MEMO_WORDS = 4_000_000, 1_200_000, 400_000
 #: Bits of the folded sketches that are compared before the sets are.
 FOLDED = 2048
 
