@@ -52,6 +52,7 @@ SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table"
 SIBLINGS = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "tbody": ("tbody", "thead", "tfoot", "tr", "td", "th"), "thead": ("tbody", "thead", "tfoot", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tfoot", "tr", "td", "th")}
 
 TAG = re.compile(r"""<!--|<!\[CDATA\[|<[!?]|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""")
+UNFINISHED = re.compile(r"</?[a-zA-Z][^<>]*$")
 ATTR = re.compile(r"""(?:^|[\s/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 
@@ -72,7 +73,8 @@ def parse(html: str) -> Node:
     while pos < n:
         m = search(html, pos)
         if m is None:
-            here.kids.append(unescape(html[pos:]))
+            rest = UNFINISHED.search(html, pos)
+            here.kids.append(unescape(html[pos : rest.start() if rest else n]))
             break
         start, end = m.span()
         if start > pos:
