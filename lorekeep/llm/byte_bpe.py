@@ -36,6 +36,8 @@ from pyspark.sql import types as T
 CACHE_WORDS = 450_000
 #: Distinct words that are replayed together.
 REPLAY_WORDS = 100_000
+#: Pairs of parts whose ranks a worker remembers (the first ones, which are the frequent ones).
+PAIRS = 500_000
 #: Positions of a rank from which it is applied to all at once.
 BULK = 64
 
@@ -57,7 +59,7 @@ class MergeReplay:
         r = self.pairs.get(key)
         if r is None:
             r = self.ranks.get(self.bytes_of[left] + self.bytes_of[right], -1)
-            if len(self.pairs) < 4_000_000:
+            if len(self.pairs) < PAIRS:
                 self.pairs[key] = r
         return r
 
