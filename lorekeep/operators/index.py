@@ -13,14 +13,24 @@ from lorekeep.functions.text import index_tokens
 
 @dataclass(frozen=True)
 class Index:
-    """postings: rowid, term, head (two letters), weight (occurrences by column weight), stems (occurrences in
-    stems_text), dl; stats: one row of n and avgdl."""
+    """postings: rowid, term, weight (occurrences by column weight), stems (occurrences in stems_text), dl; terms:
+    distinct terms with their head (two letters); stats: one row of n and avgdl."""
 
     postings: DataFrame
+    terms: DataFrame
     stats: DataFrame
 
     def persist(self) -> "Index":
-        return Index(self.postings.persist(), self.stats.persist())
+        postings = self.postings.persist()
+        return Index(postings, vocabulary(postings).persist(), self.stats.persist())
+
+    def unpersist(self) -> None:
+        for part in (self.postings, self.terms, self.stats):
+            part.unpersist()
+
+
+def vocabulary(postings: DataFrame) -> DataFrame:
+    return postings.select("term").distinct().withColumn("head", F.substring("term", 1, 2))
 
 
 def build_index(memories: DataFrame) -> Index:
@@ -38,10 +48,9 @@ def build_index(memories: DataFrame) -> Index:
         tokens.select("rowid", "dl", F.inline(tagged))
         .groupBy("rowid", "term")
         .agg(F.sum("w").alias("weight"), F.sum("s").alias("stems"), F.first("dl").alias("dl"))
-        .withColumn("head", F.substring("term", 1, 2))
     )
     stats = tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    return Index(postings, stats)
+    return Index(postings, vocabulary(postings), stats)
 
 
 def update_index(index: Index, memories: DataFrame, changed: DataFrame) -> Index:
@@ -51,7 +60,7 @@ def update_index(index: Index, memories: DataFrame, changed: DataFrame) -> Index
     postings = old.unionByName(new)
     lengths = postings.groupBy("rowid").agg(F.first("dl").alias("dl"))
     stats = memories.select("rowid").join(lengths, "rowid", "left").agg(F.count("*").alias("n"), F.avg(F.coalesce("dl", F.lit(0))).alias("avgdl"))
-    return Index(postings, stats)
+    return Index(postings, vocabulary(postings), stats)
 
 
 def term_statistics(index: Index) -> DataFrame:

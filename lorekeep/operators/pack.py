@@ -69,7 +69,7 @@ def context_packs(queries: DataFrame, memories: DataFrame, now: Column, budget:
     """(packs, results): a pack by query; queries that match nothing show hot memories and say so."""
     index = index or build_index(memories)
     most = 4 * limit
-    direct = search(queries, memories, now, most, index)
+    direct = search(queries, memories, now, most, index).persist()  # 4 x limit rows a query, used for packs and for what missed
     asked = queries.select("qid", F.coalesce("query", F.lit("")).alias("query"))
     missed = queries.join(direct.select("qid").distinct(), "qid", "left_anti").where(F.trim(F.coalesce("query", F.lit(""))) != "")
     hot = search(missed.withColumn("query", F.lit("")), memories, now, most, index)

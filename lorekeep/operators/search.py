@@ -49,9 +49,11 @@ def match(prepared: DataFrame, index: Index) -> DataFrame:
     phrases = prepared.select("qid", F.posexplode("phrases").alias("no", "p")).select(
         "qid", "no", F.explode(index_tokens(F.col("p.text"))).alias("text"), F.col("p.scoped").alias("scoped")
     )
+    # prefixes meet the vocabulary; postings are then joined on whole terms
     phrases = phrases.withColumn("head", F.substring("text", 1, 2))
-    hit = F.when(phrases.scoped, (F.col("term") == F.col("text")) & (F.col("stems") > 0)).otherwise(F.col("term").startswith(F.col("text")))
-    joined = index.postings.join(phrases, "head").where(hit)
+    fits = F.when(F.col("scoped"), F.col("term") == F.col("text")).otherwise(F.col("term").startswith(F.col("text")))
+    wanted = index.terms.join(phrases, "head").where(fits).drop("head")
+    joined = index.postings.join(wanted, "term").where(~F.col("scoped") | (F.col("stems") > 0))
     per_row = joined.groupBy("qid", "no", "text", "rowid").agg(
         F.sum(F.when(F.col("scoped"), F.col("stems").cast("double")).otherwise(F.col("weight"))).alias("f"), F.first("dl").alias("dl")
     )
@@ -79,9 +81,12 @@ def retrieve(prepared: DataFrame, memories: DataFrame, index: Index, limit: int,
     most = pool_size(limit)
     texts = prepared.drop("phrases")
     with_terms, without = texts.where(F.size("terms") > 0), texts.where(F.size("terms") == 0)
-    hits = match(prepared, index).join(memories, "rowid").join(texts, "qid").where(_fits(include_archived))
-    full = _numbered(hits, [F.round("bm25", 9).asc(), F.asc("rowid")], most).drop("bm25")
-    missed = with_terms.join(full.select("qid").distinct(), "qid", "left_anti")
+    # hits are filtered and cut on narrow rows; only the pools meet the texts
+    narrow = memories.select("rowid", "scope", "kind", "tags", "archived_at", "superseded_by")
+    hits = match(prepared, index).join(narrow, "rowid").join(texts.select("qid", "q_scope", "q_kind", "q_tags"), "qid").where(_fits(include_archived))
+    pools = _numbered(hits.select("qid", "rowid", "bm25"), [F.round("bm25", 9).asc(), F.asc("rowid")], most).drop("bm25")
+    full = pools.join(memories, "rowid").join(texts, "qid")
+    missed = with_terms.join(pools.select("qid").distinct(), "qid", "left_anti")
     # few queries get here; each must look at every text
     substring = _numbered(memories.join(missed, _fits(include_archived) & like(F.col("query"))), important_first(), most)
     hot = _numbered(memories.join(without, _fits(include_archived)), hot_first(), most)

@@ -96,6 +96,5 @@ class MemoryTable:
 
     def close(self) -> None:
         if self._index is not None:
-            self._index[1].postings.unpersist()
-            self._index[1].stats.unpersist()
+            self._index[1].unpersist()
             self._index = None
