@@ -58,20 +58,25 @@ def end_words(n: Column) -> Column:
     return F.least(F.floor(low / 2), F.floor(n / 2)).cast("int")
 
 
-def ends(line: Column, n: Column) -> Column:
-    """Structs (key, end): the screen's keys. end 0 is the head and 1 the tail; 2 is for a pair with a longer line.
+def ends(line: Column, n: Column) -> dict[str, Column]:
+    """The screen's keys: ``head``, ``tail``, and ``more`` for a pair with a longer line.
 
     Of two lines within one edit, the longer of n words, either both heads or
     both tails of ``end_words(n)`` words are equal. A line whose length begins no
     new class as the shorter one needs no further keys.
     """
-    cut_at = lambda m: F.call_function("substring_index", line, F.lit(" "), m)
-    key = lambda m, end, to: F.struct(F.xxhash64(F.lit(end), m, cut_at(m if end == 0 else -m)).alias("key"), F.lit(to).alias("end"))
+
+    def key(m, end):
+        words = F.call_function("substring_index", line, F.lit(" "), -m if end else m)
+        return F.xxhash64(F.lit(end), m, words)
+
     m, longer = end_words(n), end_words(n + 1)
-    none = F.array().cast("array<struct<key:bigint,end:int>>")
-    own = F.when(n >= MIN_WORDS, F.array(key(m, 0, 0), key(m, 1, 1))).otherwise(none)
-    more = F.when((n >= MIN_WORDS - 1) & ((m != longer) | (n < MIN_WORDS)), F.array(key(longer, 0, 2), key(longer, 1, 2))).otherwise(none)
-    return F.concat(own, more)
+    more = (n >= MIN_WORDS - 1) & ((m != longer) | (n < MIN_WORDS))
+    return {
+        "head": F.when(n >= MIN_WORDS, key(m, 0)),
+        "tail": F.when(n >= MIN_WORDS, key(m, 1)),
+        "more": F.when(more, F.array(key(longer, 0), key(longer, 1))),
+    }
 
 
 def running_xor(values: Column) -> Column:
@@ -175,12 +180,16 @@ def staying_lines(docs: DataFrame) -> DataFrame:
             F.xxhash64("line").alias("h1"),
             F.xxhash64(F.lit(7), "line", "n").alias("h2"),
             F.struct("doc_id", "no").alias("place"),
-            ends(F.col("line"), F.col("n")).alias("ends"),
+            *[c.alias(name) for name, c in ends(F.col("line"), F.col("n")).items()],
         )
     )
-    first = cut(placed.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.first("ends").alias("ends")))
+    first = cut(placed.groupBy("h1", "h2").agg(F.min("place").alias("place"), *[F.first(c).alias(c) for c in ("head", "tail", "more")]))
 
-    screen = first.select("h1", F.inline("ends"))
+    # end: 0 for a head, 1 for a tail, 2 for a pair with a longer line
+    one = lambda k, end: F.struct(k.alias("key"), F.lit(end).alias("end"))
+    own = F.when(F.col("head").isNotNull(), F.array(one(F.col("head"), 0), one(F.col("tail"), 1))).otherwise(F.array().cast("array<struct<key:bigint,end:int>>"))
+    longer = F.coalesce(F.transform("more", lambda k: one(k, 2)), F.array().cast("array<struct<key:bigint,end:int>>"))
+    screen = first.where("head is not null or more is not null").select("h1", F.inline(F.concat(own, longer)))
     shared = screen.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     passed = screen.join(shared, "key", "left_semi").groupBy("h1").agg(F.collect_set("end").alias("ends"))
     passed = passed.join(first.select("h1", "place"), "h1").groupBy("place.doc_id").agg(F.collect_list(F.struct("place.no", "ends")).alias("lines"))
@@ -213,7 +222,10 @@ def staying_lines(docs: DataFrame) -> DataFrame:
     other = lines.select(F.col("id").alias("other"), F.col("w").alias("v"))
     near = candidates.join(words, "id").join(other, "other").where(within_one(F.col("w"), F.col("v"))).select("place").distinct()
 
-    return first.select("place").join(near, "place", "left_anti").groupBy("place.doc_id").agg(F.collect_list("place.no").alias("kept"))
+    # one exchange for both: places of first lines, less those of near copies
+    both = first.select("place.*", F.lit(False).alias("near")).union(near.select("place.*", F.lit(True)))
+    lists = both.groupBy("doc_id").agg(F.collect_list(F.when(~F.col("near"), F.col("no"))).alias("first"), F.collect_list(F.when(F.col("near"), F.col("no"))).alias("near"))
+    return lists.select("doc_id", F.array_except("first", "near").alias("kept"))
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
