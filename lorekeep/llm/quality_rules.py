@@ -51,7 +51,7 @@ RULES = (
     Rule("word_length", "word_chars", "n_words", (2, 1), (20, 1)),
     Rule("symbols", "n_symbols", "n_words", None, (1, 10)),
     Rule("stop_words", "n_stop_words", None, (2, 1), None),
-    Rule("duplicate_lines", "n_dup_lines", "n_lines", None, (3, 10)),
+    Rule("duplicate_lines", "n_dup_lines", "n_lines", None, (1, 2)),
     Rule("bullet_lines", "n_bullet_lines", "n_lines", None, (9, 10)),
     Rule("ellipsis_lines", "n_ellipsis_lines", "n_lines", None, (3, 10)),
 )
