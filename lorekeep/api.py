@@ -104,11 +104,10 @@ class MemoryStore:
     def decay(self, dry_run: bool = True, **limits) -> DataFrame:
         """What fades (id, title, kind, retention, age_days); archived unless it is a dry run."""
         now = self._now()[1]
-        fading = lifecycle.decay_candidates(self.table.current(), now, **limits).where("fades").select("id", "title", "kind", "retention", "age_days")
+        before = self.table.current()  # of one snapshot, whatever is committed later
+        fading = lifecycle.decay_candidates(before, now, **limits).where("fades").select("id", "title", "kind", "retention", "age_days")
         if not dry_run:
-            rows = self.spark.createDataFrame(fading.collect(), fading.schema)
-            self.table.commit(lifecycle.archive(self.table.current(), rows, now), new_log=True)
-            return rows
+            self.table.commit(lifecycle.archive(before, fading.select("id"), now), new_log=True)
         return fading
 
     def import_file(self, path: str, format: str | None = None) -> dict:

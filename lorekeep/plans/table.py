@@ -94,6 +94,14 @@ class MemoryTable:
     def compact(self) -> None:
         self.commit(self.current(), new_log=True)
 
+    def vacuum(self, keep: int = 2) -> None:
+        """Deletes all but the latest snapshots and the logs that no snapshot needs; readers of older ones fail."""
+        m = self.manifest()
+        for n in range(1, m["number"] - keep + 1):
+            self._fs.delete(self._file(f"snapshot-{n}"), True)
+        for n in range(m["log"] - keep + 1):
+            self._fs.delete(self._file(f"access-{n}"), True)
+
     def close(self) -> None:
         if self._index is not None:
             self._index[1].unpersist()

@@ -206,6 +206,12 @@ def test_store(spark, tmp_path):
         assert s.verify()["healthy"] and s.stats()["total"] == 1
         assert "Error: limit" in tools.call(s, "memory_search", {"query": "x", "limit": 99})
         assert "Use Spark" in tools.call(s, "memory_list", {}, "markdown")
+        old = s.remember(scope="p", kind="note", title="Faint", content="A faint memory of little weight.", importance=0.1)
+        s.clock = lambda: datetime(2026, 8, 1)
+        assert [r.id for r in s.decay().collect()] == [old["id"]] and s.get(old["id"])["archived_at"] is None
+        assert [r.id for r in s.decay(dry_run=False).collect()] == [old["id"]] and s.get(old["id"])["archived_at"] is not None
+        s.table.vacuum()
+        assert s.stats()["total"] == 2
         assert s.delete(made["id"]) and not s.delete(made["id"])
 
 
