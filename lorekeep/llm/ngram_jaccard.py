@@ -20,8 +20,9 @@ shingles (|A xor B|). Jaccard similarity of num/den bounds that difference by
    components are candidate clusters; each set goes to its cluster once.
 5. Within a cluster, sets that share a key and are not connected yet are
    compared: Hamming distance of folded sketches (a lower bound again), then the
-   exact intersection. Clusters beyond ``BLOCK`` shingles are dealt into blocks
-   and compared block by block, so no task holds more than two blocks.
+   exact intersection. Clusters beyond ``BLOCK`` shingles, or of more than a fair
+   share of all, are dealt into blocks and compared block by block, so no task
+   holds more than two blocks.
 6. The links' components, by smallest doc_id.
 
 Defined results: null, empty and wordless texts have no shingles and are alone;
@@ -41,6 +42,8 @@ from lorekeep.llm.graph import components
 
 #: Shingles of a block: 8 MB of hashes.
 BLOCK = 1_000_000
+#: Blocks that a cluster is dealt into, at most, for the sake of even work alone.
+SPREAD = 8
 #: Text that is hashed at once, keys that leave a task at once, words that a worker remembers.
 CHUNK_BYTES, FLUSH_KEYS, MEMO_WORDS = 4_000_000, 1_200_000, 400_000
 #: Bits of the folded sketches that are compared before the sets are.
@@ -326,7 +329,10 @@ def cluster_links(docs: DataFrame, members: DataFrame, width: int, bands: Bands)
     size = members.groupBy("cluster").agg(F.sum("n_shingles").alias("total"))
     total = members.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     buckets = max(2 * partitions(docs.sparkSession), int(total // BLOCK) + 1)
-    blocks = F.ceil(F.col("total") / BLOCK).cast("int")
+    # a cluster of more than a fair share of all shingles is spread over tasks as well
+    tasks = partitions(docs.sparkSession)
+    spread = F.least(F.lit(SPREAD), F.ceil(F.sqrt(F.col("total") * (2.0 * tasks / max(total, 1)))))
+    blocks = F.greatest(F.ceil(F.col("total") / BLOCK), F.when(F.col("total") * tasks > 2 * total, spread).otherwise(1)).cast("int")
     members = (
         members.join(size, "cluster")
         .withColumn("blocks", blocks)
