@@ -39,9 +39,9 @@ DROPPED = frozenset(
 )
 #: A whole part of a class, id or role that marks what is no article.
 MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed|s)?|promos?|promotion|banner|sidebar|side|aside|menu|nav|navbar|navigation|breadcrumbs?|"
-    r"header|masthead|topbar|footer|comments?|commentlist|disqus|replies|responses|discussion|notice|notices|cookies?|cookie-?(?:bar|banner|consent|notice)|consent|gdpr|alert|popup|modal|overlay|newsletter|subscribe|signup|"
-    r"login|search|searchbox|share|sharing|social|related|recommended|recommendations|trending|popular|widgets?|toolbar|pagination|pager|copyright|disclaimer|legal|skip-?links?|"
+    r"(?:^|[\s_-])(ads?|adverts?|advertisement|advertising|sponsor(?:ed|s)?|promos?|promotion|banner|sidebar|side|aside|menu|nav|navbar|navigation|breadcrumbs?|"
+    r"header|masthead|topbar|footer|comments?|commentlist|disqus|replies|notice|notices|cookies?|cookie-?(?:bar|banner|consent|notice)|consent|gdpr|alert|popup|modal|overlay|newsletter|subscribe|signup|"
+    r"login|search|searchbox|share|sharing|social|related|recommended|recommendations|trending|widgets?|toolbar|pagination|pager|copyright|disclaimer|skip-?links?|"
     r"complementary|contentinfo)(?:$|[\s_-])",
     re.I,
 )
@@ -150,8 +150,21 @@ def is_marked(node: Node, in_article: bool) -> bool:
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 return True
-        elif name != "aria-hidden" and value and MARKED.search(value):
-            return True
+        elif name != "aria-hidden" and value and (m := MARKED.search(value)):
+            # an article has headers of its own; and "with-sidebar" and the like name what holds the article
+            if not (in_article and m[1].lower() == "header") and not holds_article(node):
+                return True
+    return False
+
+
+def holds_article(node: Node) -> bool:
+    stack = [node]
+    while stack:
+        for k in stack.pop().kids:
+            if type(k) is Node:
+                if k.tag in ("article", "main", "h1"):
+                    return True
+                stack.append(k)
     return False
 
 

@@ -336,6 +336,8 @@ def test_merge_replay_on_any_ranks(seed):
         ("<nav><a href=1>m</a></nav><script>if (a<b) '</p>'</script><style>p{}</style><main><p>Body text here.</p></main><!-- c --><div class='ad'>buy</div>", "Body text here."),
         ("<div id=page><div class='post'><p>First long paragraph of words.</p><p>Second long paragraph of words.</p></div><div class='comments'><p>Great!</p></div></div>", "First long paragraph of words. Second long paragraph of words."),
         ("<article><p title='a>b'>x</p><aside>no</aside><form><input>no</form></article", "x"),
+        ("<div class='with-sidebar'><article><div class='entry-header'><h1>T</h1></div><p>Text.</p></article><div id=sidebar>no</div></div>", "T Text."),
+        ("<header>Site</header><section class='cookie-notice'>We use cookies</section><main><h1>T</h1><p>Text.</p><section id='comments'><p>nice</p></section></main>", "T Text."),
         ("<article>" + "<div>" * 3000 + "deep", "deep"),
     ],
 )
