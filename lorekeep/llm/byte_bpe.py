@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Entries after which a task's cache of encoded words starts anew.
-CACHE_WORDS = 450_000
+CACHE_WORDS = 350_000
 #: Distinct words that are replayed together.
 REPLAY_WORDS = 100_000
 #: Pairs of parts whose ranks a worker remembers (the first ones, which are the frequent ones).
@@ -258,17 +258,17 @@ class Encoder:
         self.keep = keep
         self.seen: dict[str, object] = {}
 
-    def learn(self, words) -> None:
+    def learn(self, words, slim=None) -> None:
         if len(self.seen) > CACHE_WORDS:
             self.seen.clear()
         new = list(words)
         for i in range(0, len(new), REPLAY_WORDS):
             some = new[i : i + REPLAY_WORDS]
             for w, ids in zip(some, self.replay.encode([w.encode("utf-8", "surrogatepass") for w in some]), strict=True):
-                self.seen[w] = self.keep(ids)
+                self.seen[w] = self.keep(ids) if slim is None else slim(w, self.keep(ids))
 
-    def batches(self, texts: list[str | None], chars: int = 4_000_000):
-        """(index, kept parts) of each text; stretches of about ``chars`` characters are replayed together."""
+    def batches(self, texts: list[str | None], slim=None, chars: int = 4_000_000):
+        """(index, words, kept parts) of each text; stretches of about ``chars`` characters are replayed together."""
         i = 0
         while i < len(texts):
             j, total, found, fresh = i, 0, [], set()
@@ -280,10 +280,10 @@ class Encoder:
                 j += 1
             if len(self.seen) > CACHE_WORDS:
                 self.seen.clear()
-            self.learn([w for w in fresh if w not in self.seen])
+            self.learn([w for w in fresh if w not in self.seen], slim)
             seen = self.seen
             for k, words in enumerate(found):
-                yield i + k, [seen[w] for w in words]
+                yield i + k, words, [seen[w] for w in words]
             i = j
 
 
@@ -301,7 +301,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
 
         enc = worker_encoder(path, pattern, "ids", tuple)
         for b in batches:
-            rows = [list(itertools.chain.from_iterable(parts)) for _, parts in enc.batches(b.column(text_col).to_pylist())]
+            rows = [list(itertools.chain.from_iterable(parts)) for _, _, parts in enc.batches(b.column(text_col).to_pylist())]
             cols = [b.column(f.name) for f in keep]
             yield pa.RecordBatch.from_arrays(
                 [*cols, pa.array(rows, pa.list_(pa.int32())), pa.array([len(r) for r in rows], pa.int64())], [*[f.name for f in keep], "ids", "n_tokens"]
@@ -330,8 +330,8 @@ def decode(ids_df: DataFrame, path: str | None = None, ids_col: str = "ids") ->
 def digest(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of the text decoded from them.
 
-    The same encoder; a word's ids are kept as the string that the digest needs
-    and as the bytes that its ids decode to, so long id lists are never built.
+    The same encoder; of a word the ids are kept as the string that the digest
+    needs. What they decode to is kept beside it if it isn't the word itself.
     """
     import pyarrow as pa
 
@@ -339,19 +339,29 @@ def digest(docs: DataFrame, path: str | None = None, pattern: str | None = None)
         path, pattern = vocabulary()
 
     def run(batches):
-        enc = worker_encoder(path, pattern, "digest", lambda ids: (len(ids), " ".join(map(str, ids)), enc.replay.decode(ids)))
+        enc = worker_encoder(path, pattern, "digest", lambda ids: (" ".join(map(str, ids)), enc.replay.decode(ids)))
         for b in batches:
             n, ids, dec = [], [], []
-            for _, parts in enc.batches(b.column("text").to_pylist()):
-                n.append(sum([p[0] for p in parts]))
-                ids.append(hashlib.sha256(" ".join([p[1] for p in parts]).encode()).hexdigest())
-                dec.append(hashlib.sha256(b"".join([p[2] for p in parts])).hexdigest())
+            for _, words, parts in enc.batches(b.column("text").to_pylist(), _as_digest):
+                try:
+                    text, decoded = " ".join(parts), "".join(words).encode()
+                except TypeError:  # some word decodes to other bytes than its own
+                    text = " ".join([p if type(p) is str else p[0] for p in parts])
+                    decoded = b"".join([w.encode() if type(p) is str else p[1] for w, p in zip(words, parts, strict=True)])
+                n.append(text.count(" ") + 1 if text else 0)
+                ids.append(hashlib.sha256(text.encode()).hexdigest())
+                dec.append(hashlib.sha256(decoded).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(dec, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def _as_digest(word: str, kept: tuple[str, bytes]):
+    """The ids' string alone if they decode to the word."""
+    return kept[0] if kept[1] == word.encode("utf-8", "surrogatepass") else kept
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     from lorekeep.llm.common import table
 

@@ -45,7 +45,7 @@ BLOCK = 1_000_000
 #: Blocks that a cluster is dealt into, at most, for the sake of even work alone.
 SPREAD = 8
 #: Text that is hashed at once, keys that leave a task at once, words that a worker remembers.
-CHUNK_BYTES, FLUSH_KEYS, MEMO_WORDS = 4_000_000, 1_200_000, 400_000
+CHUNK_BYTES, FLUSH_KEYS, MEMO_WORDS = 2_000_000, 600_000, 250_000
 #: Bits of the folded sketches that are compared before the sets are.
 FOLDED = 2048
 
@@ -153,6 +153,20 @@ class Bands:
             return np.empty(0, np.uint64), np.empty(0, np.int64)
         return np.concatenate(out_k), np.concatenate(out_i)
 
+    def keys_of_many(self, sets: list[np.ndarray], at_once: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+        """``keys`` of some shingles at a time."""
+        out_k, out_i, i = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+        while i < len(sets):
+            j, size = i, 0
+            while j < len(sets) and (j == i or size < at_once):
+                size += len(sets[j])
+                j += 1
+            k, own = self.keys(sets[i:j])
+            out_k.append(k)
+            out_i.append(own + i)
+            i = j
+        return np.concatenate(out_k), np.concatenate(out_i)
+
 
 def ties(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys with their smallest document, and the ties (document, smallest) of the others."""
@@ -181,7 +195,7 @@ def links_within(sets: list[np.ndarray], side: np.ndarray, bands: Bands) -> list
     """Links that connect what is linked: pairs of indices. side: 0 and 1 are compared across; 2 with all."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
-    keys, own = bands.keys(sets)
+    keys, own = bands.keys_of_many(sets)
     order = np.argsort(keys, kind="stable")
     keys, own = keys[order], own[order]
     start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
