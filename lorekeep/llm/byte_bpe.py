@@ -239,7 +239,7 @@ _ENCODERS: dict[tuple[str, str, str], "Encoder"] = {}
 
 
 def worker_encoder(path: str, pattern: str, kind: str, keep) -> "Encoder":
-    """This worker process's encoder: tasks that follow each other in it share the cache of words."""
+    """This worker process's encoder: tasks that follow each other in it share the vocabulary."""
     key = (path, pattern, kind)
     if key not in _ENCODERS:
         _ENCODERS.clear()
@@ -258,6 +258,11 @@ class Encoder:
         self.keep = keep
         self.seen: dict[str, object] = {}
 
+    def forget(self) -> None:
+        """An idle worker keeps the vocabulary alone."""
+        self.seen.clear()
+        self.replay.pairs.clear()
+
     def learn(self, words, slim=None) -> None:
         if len(self.seen) > CACHE_WORDS:
             self.seen.clear()
@@ -306,6 +311,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
             yield pa.RecordBatch.from_arrays(
                 [*cols, pa.array(rows, pa.list_(pa.int32())), pa.array([len(r) for r in rows], pa.int64())], [*[f.name for f in keep], "ids", "n_tokens"]
             )
+        enc.forget()
 
     return docs.select(*[F.col(f"`{f.name}`") for f in keep]).mapInArrow(run, schema)
 
@@ -352,6 +358,7 @@ def digest(docs: DataFrame, path: str | None = None, pattern: str | None = None)
                 ids.append(hashlib.sha256(text.encode()).hexdigest())
                 dec.append(hashlib.sha256(decoded).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(dec, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        enc.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -268,6 +268,7 @@ def set_hashes(docs: DataFrame, width: int) -> DataFrame:
                 h1.append(int.from_bytes(d[:8], "little", signed=True))
                 h2.append(int.from_bytes(d[8:], "little", signed=True))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], ["doc_id", "n_shingles", "h1", "h2"])
+        _MEMO.clear()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
 
@@ -309,6 +310,7 @@ def candidate_ties(docs: DataFrame, width: int, bands: Bands, parts: int) -> Dat
                     held_k, held_d, held = [], [], 0
         if held:
             yield emit(np.concatenate(held_k), np.concatenate(held_d))
+        _MEMO.clear()
 
     def gather(table: pa.Table) -> pa.Table:
         """The ties of one part of the key space, packed by part of the documents."""
@@ -359,6 +361,7 @@ def cluster_links(docs: DataFrame, members: DataFrame, width: int, bands: Bands)
         for b in batches:
             sets = [shingle_set(t, width).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("cluster"), b.column("blocks"), b.column("block"), pa.array(sets, pa.binary())], ["doc_id", "cluster", "blocks", "block", "hashes"])
+        _MEMO.clear()
 
     sets = joined.mapInArrow(run, "doc_id long, cluster long, blocks int, block int, hashes binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
