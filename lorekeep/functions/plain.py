@@ -9,16 +9,25 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from functools import lru_cache
 
 from lorekeep import lexicon as X
 
 _SPACES = re.compile(r"[\s\x1c-\x1f﻿​]+")
 _STOPS = frozenset(X.STOP_WORDS)
-_NO_MARKS = str.maketrans("", "", X.APOSTROPHES)
 
 
-def _is_word(ch: str) -> bool:
-    return ch == "_" or unicodedata.category(ch)[0] in "LN"
+class _Plain(dict):
+    """Code points to what a canonical text has for them; filled as they come up."""
+
+    def __missing__(self, code: int):
+        ch = chr(code)
+        kept = ch in " -_" or unicodedata.category(ch)[0] in "LN"
+        self[code] = None if ch in X.APOSTROPHES else code if kept else 32
+        return self[code]
+
+
+_PLAIN = _Plain()
 
 
 def squeeze(s: str) -> str:
@@ -26,13 +35,13 @@ def squeeze(s: str) -> str:
 
 
 def canonical(s: str) -> str:
-    low = squeeze(s).lower().translate(_NO_MARKS)
-    return squeeze("".join(c if _is_word(c) or c in " -" else " " for c in low))
+    return squeeze(squeeze(s).lower().translate(_PLAIN))
 
 
-def terms(s: str) -> list[str]:
-    words = "".join(c if _is_word(c) else " " for c in canonical(s)).split(" ")
-    return list(dict.fromkeys(w for w in words if len(w) >= 3 and w not in _STOPS))
+@lru_cache(maxsize=4096)
+def terms(s: str) -> tuple[str, ...]:
+    words = canonical(s).replace("-", " ").split(" ")
+    return tuple(dict.fromkeys(w for w in words if len(w) >= 3 and w not in _STOPS))
 
 
 def _first_cut(term: str, endings, fits, cut) -> str:
@@ -58,7 +67,7 @@ def fingerprint(*parts: str) -> str:
     return hashlib.sha1("\n".join(map(canonical, parts)).encode()).hexdigest()
 
 
-def overlap(a: list[str], b: list[str]) -> float:
+def overlap(a: tuple[str, ...], b: tuple[str, ...]) -> float:
     return len(set(a) & set(b)) / min(len(a), len(b)) if a and b else 0.0
 
 

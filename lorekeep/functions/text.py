@@ -187,7 +187,11 @@ def excerpt(summary: Column, content: Column, terms: Column, most: int = X.EXCER
 
 
 def _window(whole: Column, terms: Column, most: int) -> Column:
-    at = F.array_min(F.filter(F.transform(terms, lambda t: F.call_function("instr", F.lower(whole), t)), lambda p: p > 0)) - 1
+    places = let(F.lower(whole), lambda low: F.transform(terms, lambda t: F.call_function("instr", low, t)))
+    return let(F.array_min(F.filter(places, lambda p: p > 0)) - 1, lambda at: _cut_window(whole, at, most))
+
+
+def _cut_window(whole: Column, at: Column, most: int) -> Column:
     start = F.greatest(at - 40, F.lit(0))
     window = F.substring(whole, start + 1, F.lit(most))
     window = F.when(start > 0, F.concat(F.lit("..."), F.substring(window, F.lit(4), F.length(window)))).otherwise(window)

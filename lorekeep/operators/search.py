@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lorekeep import lexicon as X
 from lorekeep.functions import enrich
-from lorekeep.functions.text import excerpt, index_tokens, normalize_tags, query_terms, search_phrases
+from lorekeep.functions.text import excerpt, index_tokens, let, normalize_tags, query_terms, search_phrases
 from lorekeep.operators.filters import LOWER_ASCII, active, has_tag, hot_first, important_first, like
 from lorekeep.operators.index import Index, build_index
 
@@ -96,10 +96,10 @@ def retrieve(prepared: DataFrame, memories: DataFrame, index: Index, limit: int,
 
 def rank_score(now: Column) -> Column:
     """The explainable score of a row of a pool."""
-    whole = F.lower(F.concat_ws(" ", "title", "summary", "content", "tags_text"))
     n = F.size("terms")
-    covered = F.size(F.filter("terms", lambda t: whole.contains(t)))
-    in_title = F.exists("terms", lambda t: F.lower(F.col("title")).contains(t))
+    whole = F.lower(F.concat_ws(" ", "title", "summary", "content", "tags_text"))
+    covered = let(whole, lambda w: F.size(F.filter("terms", lambda t: w.contains(t))))
+    in_title = let(F.lower("title"), lambda w: F.exists("terms", lambda t: w.contains(t)))
     score = (
         1.15 / (F.col("lex") + 1)
         + F.when(n > 0, 0.95 * covered / n).otherwise(0.0)

@@ -169,11 +169,11 @@ def remember(memories: DataFrame, inputs: DataFrame, now: Column, now_value) ->
     def run(pdf):
         return _fold_group(pdf, now_value)
 
-    folded = work.groupBy("meet").applyInPandas(run, _WORK)
+    folded = work.groupBy("meet").applyInPandas(run, _WORK).persist()  # rows and report come from one fold
     rows = folded.where("action is null").unionByName(alone.withColumn("action", F.lit(None).cast("string"))).select(*COLUMNS, "seq")
     report = folded.where("action is not null").select("seq", "id", "scope", "kind", "title", "action")
     report = report.unionByName(alone.select("seq", "id", "scope", "kind", "title", F.lit("created").alias("action")))
-    return numbered(untouched.select(*COLUMNS, "seq").unionByName(rows), memories), report
+    return untouched.select(COLUMNS).unionByName(numbered(rows, memories)), report
 
 
 def numbered(rows: DataFrame, memories: DataFrame) -> DataFrame:
@@ -182,7 +182,7 @@ def numbered(rows: DataFrame, memories: DataFrame) -> DataFrame:
     Numbers are dealt by range: sorted parts are counted, and each part starts
     after the ones before, so no single task sorts all rows.
     """
-    old, new = rows.where("rowid is not null"), rows.where("rowid is null")
+    old, new = rows.where("rowid is not null"), rows.where("rowid is null").persist()  # sorting looks at them more than once
     top = memories.agg(F.coalesce(F.max("rowid"), F.lit(0)).alias("top"))
     sorted_ = new.orderBy("seq").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
     within = F.row_number().over(Window.partitionBy("part").orderBy("at"))
