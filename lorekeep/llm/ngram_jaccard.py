@@ -403,7 +403,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     hashed = cut(set_hashes(docs, width))
     sets = hashed.where("n_shingles > 0 and doc_id is not null")
-    classes = sets.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
+    # written first, so that the join below has exchanges on both sides and Spark may split a large class
+    classes = cut(sets.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")))
     of = cut(sets.join(classes, ["h1", "h2"]).groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("n_shingles").alias("n_shingles")))
 
     tied = candidate_ties(docs, width, bands, partitions(docs.sparkSession))
