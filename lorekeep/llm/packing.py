@@ -19,8 +19,6 @@ other columns of documents are ignored.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +31,8 @@ LENGTH = 2048
 PAD = 50256
 #: Ids that a task packs together: 64 MB.
 HOLD_IDS = 16_000_000
+#: Rows of matrices in a batch of the result: 16 MB of ids and as much of positions at the usual length.
+BATCH_ROWS = 2000
 
 
 class CapacityTree:
@@ -99,11 +99,10 @@ SCHEMA = (
     "shard long, row long, n_tokens long, ids binary, cu_seqlens array<int>, positions binary, "
     "doc_ids array<long>, doc_nos array<long>, offsets array<long>"
 )
-SLIM = "shard long, row long, n_tokens long, ids_sha256 string, cu_seqlens array<int>, doc_ids array<long>, doc_nos array<long>, offsets array<long>"
 
 
-def pack(docs: DataFrame, length: int = LENGTH, pad: int = PAD, path: str | None = None, pattern: str | None = None, shards: int | None = None, digest: bool = False) -> DataFrame:
-    """Rows of packed matrices; with ``digest`` the ids are given as a hash instead."""
+def pack(docs: DataFrame, length: int = LENGTH, pad: int = PAD, path: str | None = None, pattern: str | None = None, shards: int | None = None) -> DataFrame:
+    """Rows of packed matrices."""
     import pyarrow as pa
 
     if path is None:
@@ -117,35 +116,31 @@ def pack(docs: DataFrame, length: int = LENGTH, pad: int = PAD, path: str | None
         .sortWithinPartitions("shard", "doc_id", F.xxhash64("text"))
     )
 
-    def emit(shard, first_row, held):
-        """Packs what is held: (doc_id, doc_no, ids)."""
-        pieces = [(d, no, o, ids[o : o + length]) for d, no, ids in held for o in range(0, len(ids), length)]
-        rows = best_fit_decreasing([len(p[3]) for p in pieces], length)
-        cols: list[list] = [[] for _ in range(9 - digest)]
-        for n, row in enumerate(rows):
-            own = [pieces[k] for k in row]
+    def matrices(shard, first_row, rows):
+        """One batch of rows of pieces: (doc_id, doc_no, offset, ids)."""
+        cols: list[list] = [[] for _ in range(9)]
+        for n, own in enumerate(rows):
             sizes = [len(p[3]) for p in own]
             total = sum(sizes)
             ids = np.full(length, pad, "<i4")
             ids[:total] = np.concatenate([p[3] for p in own])
             cu = np.r_[0, np.cumsum(sizes)].astype(np.int32)
-            values = [shard, first_row + n, total]
-            if digest:
-                values += [hashlib.sha256(ids.tobytes()).hexdigest(), cu]
-            else:
-                positions = np.arange(length, dtype="<i4")
-                positions[:total] -= np.repeat(cu[:-1], sizes)
-                positions[total:] -= total
-                values += [ids.tobytes(), cu, positions.tobytes()]
-            values += [[p[k] for p in own] for k in range(3)]
+            positions = np.arange(length, dtype="<i4")
+            positions[:total] -= np.repeat(cu[:-1], sizes)
+            positions[total:] -= total
+            values = [shard, first_row + n, total, ids.tobytes(), cu, positions.tobytes(), *[[p[k] for p in own] for k in range(3)]]
             for c, v in zip(cols, values, strict=True):
                 c.append(v)
-        names = [x.split()[0] for x in (SLIM if digest else SCHEMA).split(", ")]
-        kinds = {"ids": pa.binary(), "ids_sha256": pa.string(), "positions": pa.binary(), "cu_seqlens": pa.list_(pa.int32()), **{c: pa.list_(pa.int64()) for c in ("doc_ids", "doc_nos", "offsets")}}
-        arrays = [pa.array(c, kinds.get(n, pa.int64())) for n, c in zip(names, cols, strict=True)]
-        whole = pa.RecordBatch.from_arrays(arrays, names)
-        for i in range(0, whole.num_rows, 2000):
-            yield whole.slice(i, 2000)
+        names = [x.split()[0] for x in SCHEMA.split(", ")]
+        kinds = {"ids": pa.binary(), "positions": pa.binary(), "cu_seqlens": pa.list_(pa.int32()), **{c: pa.list_(pa.int64()) for c in ("doc_ids", "doc_nos", "offsets")}}
+        return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.int64())) for n, c in zip(names, cols, strict=True)], names)
+
+    def emit(shard, first_row, held):
+        """Packs what is held: (doc_id, doc_no, ids)."""
+        pieces = [(d, no, o, ids[o : o + length]) for d, no, ids in held for o in range(0, len(ids), length)]
+        rows = best_fit_decreasing([len(p[3]) for p in pieces], length)
+        for i in range(0, len(rows), BATCH_ROWS):
+            yield matrices(shard, first_row + i, [[pieces[k] for k in row] for row in rows[i : i + BATCH_ROWS]])
         return len(rows)
 
     def run(batches):
@@ -165,7 +160,7 @@ def pack(docs: DataFrame, length: int = LENGTH, pad: int = PAD, path: str | None
         if held:
             yield from emit(at, row, held)
 
-    return dealt.mapInArrow(run, SLIM if digest else SCHEMA)
+    return dealt.mapInArrow(run, SCHEMA)
 
 
 def write(packed: DataFrame, path: str) -> None:
@@ -196,4 +191,4 @@ def unpack(packed: DataFrame) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     from lorekeep.llm.common import table
 
-    return pack(table(spark, sf_dir, "documents"), digest=True)
+    return pack(table(spark, sf_dir, "documents"))

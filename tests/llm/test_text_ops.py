@@ -250,6 +250,23 @@ def test_packing_round_trip(spark):
     assert packing.pack(empty(spark)).count() == 0
 
 
+def test_packing_query_gives_whole_matrices(spark, tmp_path):
+    import numpy as np
+
+    rnd = random.Random(8)
+    df = docs_of(spark, [*ODD, *[passage(rnd, rnd.randrange(1, 400)) for _ in range(40)], passage(rnd, 3000)])
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    packed = packing.query(spark, str(tmp_path)).cache()
+    assert {"ids", "cu_seqlens", "positions"} <= set(packed.columns)
+    for r in packed.collect():
+        ids, pos = np.frombuffer(r.ids, "<i4"), np.frombuffer(r.positions, "<i4")
+        assert len(ids) == packing.LENGTH == len(pos) and (ids[r.n_tokens :] == packing.PAD).all()
+        want = [k for a, b in zip(r.cu_seqlens, r.cu_seqlens[1:]) for k in range(b - a)]
+        assert list(pos) == [*want, *range(packing.LENGTH - r.n_tokens)]
+    got = {r.doc_id: tuple(r.ids) for r in packing.unpack(packed).collect()}
+    assert got == {r.doc_id: tuple(r.ids) for r in byte_bpe.encode(df).collect() if r.n_tokens}
+
+
 # ---- URL filter
 
 
