@@ -1,23 +1,27 @@
-"""LM scoring: an interpolated modified Kneser-Ney bigram model.
+"""LM scoring: an interpolated modified Kneser-Ney model of any order from 2 on (the query's is ``ORDER``).
 
-    p(w | v) = max(c(vw) - D, 0) / c(v) + g(v) p1(w)
-    p1(w)    = (N1+(. w) - D) / N1+(. .) + g1 / (V + 1)
+    p(w | u) = max(c(uw) - D, 0) / c(u) + g(u) p(w | u less its first word)
+    p(w)     = (N1+(. w) - D) / N1+(. .) + g1 / (V + 1)
 
-with discounts D1, D2, D3+ from counts of counts at both levels (Chen, Goodman).
+c counts n-grams at the highest order, distinct predecessors below it. Discounts
+D1, D2, D3+ come from counts of counts at every level (Chen, Goodman). A text has
+order - 1 begin tokens ahead of it.
 
-1. One pass counts unigrams and bigrams of the training texts, task by task;
+1. One pass counts unigrams and n-grams of the training texts, task by task;
    counts leave a task combined, as packed arrays by part of the hash space.
 2. Each part is merged and written to the shared folder as sorted hash arrays:
-   unigram counts, bigram counts, and what their contexts need. Numbers of
-   distinct predecessors go on to a second, smaller exchange, by word.
+   n-gram counts, and what their contexts need. Numbers of distinct predecessors
+   of the n-grams one word shorter go on to the next exchange, down to the words.
 3. Workers memory-map the arrays and score texts by binary search, in sorted
    batches. Only sums of counts reach the driver.
 
 Words are known by 64-bit hashes (48 bits as followers, the rest of 64 for
-pairs); nothing is pruned, so the model grows with the corpus. All counts of one
-context meet in one part, after they are combined: a hot context costs one entry
-for each distinct follower. The arrays are the model: ``train`` returns it for
-use in other jobs; a task that is run again writes the same files again.
+n-grams), contexts by 64-bit hashes; nothing is pruned, so the model grows with
+the corpus. All counts of one context meet in one part, after they are combined:
+a hot context costs one entry for each distinct follower and, below the highest
+order, for each part that its longer contexts lie in. The arrays are the model:
+``train`` returns it for use in other jobs; a task that is run again writes the
+same files again.
 
 Defined results: null and empty texts have the end token alone; the empty
 training set gives the uniform model; a null doc_id counts as the empty string
@@ -42,6 +46,8 @@ U = np.uint64
 END, BEGIN = U(0xE5A1D3F0B6C79284), U(0x1B7C93A5F2D8E460)
 #: Tokens that are counted, and bytes of text that are scored, at once.
 COUNT_TOKENS, SCORE_BYTES = 2_500_000, 3_000_000
+#: Order of the query's model.
+ORDER = 3
 
 
 def part_of(h: np.ndarray, parts: int) -> np.ndarray:
@@ -50,11 +56,25 @@ def part_of(h: np.ndarray, parts: int) -> np.ndarray:
 
 
 def pair_keys(v: np.ndarray, follower: np.ndarray, parts: int) -> np.ndarray:
-    """Keys of bigrams: the context's part in the top bits, then a hash of both."""
+    """Keys of n-grams: the context's part in the top bits, then a hash of both."""
     bits = U(parts.bit_length())
     return (part_of(v, parts).astype(U) << (U(64) - bits)) | (mix(mix(v) + follower) >> bits)
 
 
+def padded(words: np.ndarray, order: int) -> list[np.ndarray]:
+    """A text's tokens."""
+    return [np.full(order - 1, BEGIN), words, np.array([END])]
+
+
+def contexts(tokens: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Places of the tokens that are no BEGIN; hashes of the order - 1, .., 2, 1 tokens before each (one is the token itself)."""
+    at = np.flatnonzero(tokens != BEGIN)
+    out = [tokens[at - 1]]
+    for k in range(2, order):
+        out.append(mix(mix(out[-1]) + tokens[at - k]))
+    return at, out[::-1]
+
+
 def _join(parts: list[np.ndarray], dtype) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty(0, dtype)
 
@@ -67,11 +87,25 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts[:0]
 
 
-def count_chunk(tokens: np.ndarray, parts: int):
-    """tokens: texts in a row, each between BEGIN and END. Rows (kind, part, packed arrays) of the combined counts."""
+def packed_runs(level: int, context: np.ndarray, length: np.ndarray, follower: np.ndarray, n: np.ndarray, parts: int):
+    """Rows (level, part, packed arrays) of n-grams, which lie by context. context: level - 1 rows, sorted by the first."""
+    bounds = np.searchsorted(part_of(context[0], parts), np.arange(parts + 1))
+    ends = np.r_[0, np.cumsum(length)]
+    for p in range(parts):
+        a, b = bounds[p], bounds[p + 1]
+        if b > a:
+            i, j = ends[a], ends[b]
+            f = follower[i:j]
+            yield str(level), p, [np.ascontiguousarray(context[:, a:b]).tobytes(), length[a:b].astype(np.uint32).tobytes(), (f & U(0xFFFFFFFF)).astype(np.uint32).tobytes(), (f >> U(32)).astype(np.uint16).tobytes(), n[i:j].astype(np.uint32).tobytes()]
+
+
+def count_chunk(tokens: np.ndarray, parts: int, order: int):
+    """tokens: texts in a row, each between BEGINs and END. Rows (kind, part, packed arrays) of the combined counts."""
     words, at = np.unique(tokens, return_inverse=True)
-    inner = tokens[1:] != BEGIN
-    pairs, n = np.unique((at[:-1][inner].astype(U) << U(32)) | at[1:][inner].astype(U), return_counts=True)
+    inner, context = contexts(tokens, order)
+    head, first, v = np.unique(context[0], return_index=True, return_inverse=True)
+    context = np.stack([head, *[x[first] for x in context[1:]]])
+    grams, n = np.unique((v.astype(U) << U(32)) | at[inner].astype(U), return_counts=True)
     count = np.bincount(at, minlength=len(words))
     real = words != BEGIN
     words_, count = words[real], count[real]
@@ -80,18 +114,8 @@ def count_chunk(tokens: np.ndarray, parts: int):
         a, b = bounds[p], bounds[p + 1]
         if b > a:
             yield "u", p, [words_[a:b].tobytes(), count[a:b].astype(np.uint32).tobytes()]
-    v, w = (pairs >> U(32)).astype(np.int64), (pairs & U(0xFFFFFFFF)).astype(np.int64)
-    runs = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
-    context, length = words[v[runs]], np.diff(np.r_[runs, len(v)])
-    follower = words[w] >> U(16)
-    bounds = np.searchsorted(part_of(context, parts), np.arange(parts + 1))
-    ends = np.r_[runs, len(v)]
-    for p in range(parts):
-        a, b = bounds[p], bounds[p + 1]
-        if b > a:
-            i, j = ends[a], ends[b]
-            f = follower[i:j]
-            yield "b", p, [context[a:b].tobytes(), length[a:b].astype(np.uint32).tobytes(), (f & U(0xFFFFFFFF)).astype(np.uint32).tobytes(), (f >> U(32)).astype(np.uint16).tobytes(), n[i:j].astype(np.uint32).tobytes()]
+    length = np.bincount((grams >> U(32)).astype(np.int64), minlength=len(head))
+    yield from packed_runs(order, context, length, words[(grams & U(0xFFFFFFFF)).astype(np.int64)] >> U(16), n, parts)
 
 
 def _unpack(table, k: int, dtype) -> np.ndarray:
@@ -130,19 +154,22 @@ class Model:
     """Where the arrays are, and the few numbers beside them."""
 
     uri: str
+    order: int
     parts: int
     tokens: int
     types: int
     pairs: int
-    d_pair: tuple[float, float, float]
+    d_gram: tuple[tuple[float, float, float], ...]  # by level, from 2 on
     d_word: tuple[float, float, float]
     g_word: float  # weight of the uniform distribution in p1
 
 
-def train(texts: DataFrame) -> Model:
+def train(texts: DataFrame, order: int = 2) -> Model:
     """Counts ``text`` of all rows and writes the model to the shared folder."""
     import pyarrow as pa
 
+    if order < 2:
+        raise ValueError("order is less than 2")
     spark = texts.sparkSession
     parts = partitions(spark)
     uri = shared_path(spark, "ngram-lm")
@@ -152,43 +179,57 @@ def train(texts: DataFrame) -> Model:
         for b in batches:
             for t in b.column("text").to_pylist():
                 w = word_hashes(t)
-                held += [np.array([BEGIN]), w, np.array([END])]
-                size += len(w) + 2
+                held += padded(w, order)
+                size += len(w) + order
                 if size >= COUNT_TOKENS:
-                    yield _batch(list(count_chunk(np.concatenate(held), parts)))
+                    yield _batch(list(count_chunk(np.concatenate(held), parts, order)))
                     held, size = [], 0
         if held:
-            yield _batch(list(count_chunk(np.concatenate(held), parts)))
+            yield _batch(list(count_chunk(np.concatenate(held), parts, order)))
 
     def merge(table: pa.Table) -> pa.Table:
         store, kind, p = SharedArrays(uri), table.column("kind")[0].as_py(), table.column("part")[0].as_py()
-        words = _unpack(table, 0, np.uint64)
         if kind == "u":
-            words, n = _summed(words, _unpack(table, 1, np.uint32).astype(np.int64))
+            words, n = _summed(_unpack(table, 0, np.uint64), _unpack(table, 1, np.uint32).astype(np.int64))
             store.write(f"u{p}-key", words)
             store.write(f"u{p}-n", n)
             return pa.Table.from_batches([_batch([("u", p, [np.array([len(words), n.sum()], np.int64).tobytes()])])])
-        v = np.repeat(words, _unpack(table, 1, np.uint32))
+        level = int(kind)
+        context = np.concatenate([np.frombuffer(x, U).reshape(level - 1, -1) for x in table.column("a0").to_pylist()], axis=1)
+        own = np.repeat(np.arange(context.shape[1], dtype=np.int32), _unpack(table, 1, np.uint32))
         follower = _unpack(table, 2, np.uint32).astype(U) | (_unpack(table, 3, np.uint16).astype(U) << U(32))
         n = _unpack(table, 4, np.uint32).astype(np.int64)
-        key = pair_keys(v, follower, parts)
-        order = np.argsort(key, kind="stable")
-        key, v, follower, n = key[order], v[order], follower[order], n[order]
+        key = pair_keys(context[0][own], follower, parts)
+        by = np.argsort(key, kind="stable")
+        key, own, follower, n = key[by], own[by], follower[by], n[by]
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        key, v, follower, n = key[first], v[first], follower[first], np.add.reduceat(n, first)
-        store.write(f"b{p}-key", key)
-        store.write(f"b{p}-n", np.minimum(n, 255).astype(np.uint8))
+        key, own, follower, n = key[first], own[first], follower[first], np.add.reduceat(n, first)
+        store.write(f"b{level}-{p}-key", key)
+        store.write(f"b{level}-{p}-n", np.minimum(n, 255).astype(np.uint8))
         large = n >= 255
-        store.write(f"b{p}-largekey", key[large])
-        store.write(f"b{p}-large", n[large])
+        store.write(f"b{level}-{p}-largekey", key[large])
+        store.write(f"b{level}-{p}-large", n[large])
         del key
-        order = np.argsort(v, kind="stable")
-        v, n_of = v[order], n[order]
+        v = context[0][own]
+        by = np.argsort(v, kind="stable")
+        v, n_of = v[by], n[by]
         runs = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
-        store.write(f"v{p}-key", v[runs])
-        store.write(f"v{p}-n", np.stack([np.add.reduceat(x.astype(np.int64), runs) for x in (n_of, n_of == 1, n_of == 2, n_of > 2)], axis=1))
+        store.write(f"v{level}-{p}-key", v[runs])
+        stats = np.stack([np.add.reduceat(x.astype(np.int64), runs) for x in (n_of, n_of == 1, n_of == 2, n_of > 2)], axis=1)
+        store.write(f"v{level}-{p}-n", stats.astype(np.uint32) if stats.max() < 1 << 32 else stats)
         rows = [("s", p, [np.array([len(n), *counts_of_counts(n)], np.int64).tobytes()])]
-        del order, v, n_of
+        del by, v, n_of, stats, n
+        if level > 2:
+            # one entry for each n-gram, of the n-gram less its first word: sums are numbers of distinct predecessors
+            by = np.lexsort((follower, context[1][own]))
+            own, follower = own[by], follower[by]
+            v = context[1][own]
+            first = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (follower[1:] != follower[:-1])])
+            before, own, follower = np.diff(np.r_[first, len(v)]), own[first], follower[first]
+            v = v[first]
+            runs = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+            rows += packed_runs(level - 1, context[1:, own[runs]], np.diff(np.r_[runs, len(v)]), follower, before, parts)
+            return pa.Table.from_batches([_batch(rows)])
         word, before = np.unique(follower, return_counts=True)
         bounds = np.searchsorted(part_of(word << U(16), parts), np.arange(parts + 1))
         for q in range(parts):
@@ -207,16 +248,24 @@ def train(texts: DataFrame) -> Model:
         return pa.table({"n": pa.array([len(n)], pa.int64()), **{f"n{k + 1}": pa.array([c], pa.int64()) for k, c in enumerate(counts_of_counts(n))}})
 
     merged = cut(texts.select("text").mapInArrow(count, _SCHEMA).groupBy("kind", "part").applyInArrow(merge, _SCHEMA))
-    sums = {"u": np.zeros(2, np.int64), "s": np.zeros(5, np.int64)}
-    for r in merged.where("kind in ('u', 's')").select("kind", "a0").collect():  # two rows of numbers a part
-        sums[r.kind] = sums[r.kind] + np.frombuffer(r.a0, np.int64)
+    sums, of_grams = np.zeros(2, np.int64), []
+    for level in range(order, 1, -1):
+        if level < order:
+            merged = cut(merged.where(F.col("kind") == str(level)).groupBy("kind", "part").applyInArrow(merge, _SCHEMA))
+        own = np.zeros(5, np.int64)
+        for r in merged.where("kind in ('u', 's')").select("kind", "a0").collect():  # two rows of numbers a part
+            if r.kind == "u":
+                sums = sums + np.frombuffer(r.a0, np.int64)
+            else:
+                own = own + np.frombuffer(r.a0, np.int64)
+        of_grams.insert(0, own.tolist())
     words = merged.where("kind = 'c'").groupBy("part").applyInArrow(merge_words, "n long, n1 long, n2 long, n3 long, n4 long")
     c = words.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("n", "n1", "n2", "n3", "n4")]).first()
-    (types, tokens), (pairs, *of_pairs) = sums["u"].tolist(), sums["s"].tolist()
+    (types, tokens), pairs = sums.tolist(), of_grams[0][0]
     d = discounts(*c[1:])
     rest = c[0] - c[1] - c[2]
     g = (d[0] * c[1] + d[1] * c[2] + d[2] * rest) / pairs if pairs else 1.0
-    return Model(uri, parts, tokens, types, pairs, discounts(*of_pairs), d, g)
+    return Model(uri, order, parts, tokens, types, pairs, tuple(discounts(*x[1:]) for x in of_grams), d, g)
 
 
 class Scorer:
@@ -255,7 +304,9 @@ class Scorer:
         hashes = [word_hashes(t) for t in texts]
         size = np.array([len(h) + 1 for h in hashes], np.int64)
         start = np.cumsum(size) - size
-        tokens = np.concatenate([x for h in hashes for x in (h, np.array([END]))])
+        tokens = np.concatenate([x for h in hashes for x in padded(h, m.order)])
+        inner, context = contexts(tokens, m.order)
+        tokens = tokens[inner]
         words, at = np.unique(tokens, return_inverse=True)
         count = self.find("u", words, part_of(words, m.parts))[:, 0]
         base = np.log10((count + 1) / (m.tokens + m.types + 1))
@@ -265,29 +316,27 @@ class Scorer:
         p1 = np.full(len(words), m.g_word / (m.types + 1))
         if m.pairs:
             p1 += (before - d[np.minimum(before, 3)]) / m.pairs
-        # what a context gives away, by word; the last one is BEGIN
-        context = np.r_[words, BEGIN]
-        order = np.argsort(context, kind="stable")
-        stats = np.empty((len(context), 4), np.int64)
-        stats[order] = self.find("v", context[order], part_of(context[order], m.parts), 4)
-        total = stats[:, 0]
-        g = np.where(total > 0, (stats[:, 1:] @ np.array(m.d_pair)) / np.maximum(total, 1), 1.0)
-        prev = np.r_[0, at[:-1]]
-        prev[start] = len(words)
-        pairs, back = np.unique((prev.astype(U) << U(32)) | at.astype(U), return_inverse=True)
-        v, w = (pairs >> U(32)).astype(np.int64), (pairs & U(0xFFFFFFFF)).astype(np.int64)
-        key = pair_keys(context[v], words[w] >> U(16), m.parts)
-        order = np.argsort(key, kind="stable")
-        part = part_of(context[v[order]], m.parts)
-        found = self.find("b", key[order], part)[:, 0]
-        big = found == 255
-        if big.any():
-            found[big] = self.find("b", key[order][big], part[big], suffix="large")[:, 0]
-        n = np.empty(len(key), np.int64)
-        n[order] = found
-        d = np.array([0.0, *m.d_pair])
-        p = g[v] * p1[w] + np.where(n > 0, (n - d[np.minimum(n, 3)]) / np.maximum(total[v], 1), 0.0)
-        logs = np.log10(p)[back]
+        p = p1[at]
+        for level in range(2, m.order + 1):
+            # what a context gives away
+            own, v_at = np.unique(context[m.order - level], return_inverse=True)
+            in_part = part_of(own, m.parts)
+            stats = self.find(f"v{level}-", own, in_part, 4)
+            total, d = stats[:, 0], np.array([0.0, *m.d_gram[level - 2]])
+            g = np.where(total > 0, (stats[:, 1:] @ d[1:]) / np.maximum(total, 1), 1.0)
+            grams, back = np.unique((v_at.astype(U) << U(32)) | at.astype(U), return_inverse=True)
+            v, w = (grams >> U(32)).astype(np.int64), (grams & U(0xFFFFFFFF)).astype(np.int64)
+            key = pair_keys(own[v], words[w] >> U(16), m.parts)
+            order = np.argsort(key, kind="stable")
+            part = in_part[v[order]]
+            found = self.find(f"b{level}-", key[order], part)[:, 0]
+            big = found == 255
+            if big.any():
+                found[big] = self.find(f"b{level}-", key[order][big], part[big], suffix="large")[:, 0]
+            n = np.empty(len(key), np.int64)
+            n[order] = found
+            p = g[v_at] * p + np.where(n > 0, (n - d[np.minimum(n, 3)]) / np.maximum(total[v], 1), 0.0)[back]
+        logs = np.log10(p)
         return size, np.add.reduceat((count > 0)[at].astype(np.int64), start), np.add.reduceat(base[at], start), np.add.reduceat(logs, start)
 
 
@@ -337,5 +386,5 @@ def query(spark, sf_dir: str) -> DataFrame:
     from lorekeep.llm.common import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", fold(F.col("doc_id"), 7) == 2)
-    model = train(docs.where("not held_out"))
+    model = train(docs.where("not held_out"), ORDER)
     return score(docs, model).drop("perplexity")

@@ -70,6 +70,51 @@ def test_ngram_lm(spark, size):
     assert ngram_lm.score(empty(spark), model).count() == 0
 
 
+def plain_scores(texts, asked, order):
+    """Log10 scores by the recursion over all levels, with distinct predecessors counted as sets."""
+    tokens = lambda t: [*["begin of text"] * (order - 1), *WORD.findall((t or "").translate(LOWER)), "end of text"]
+    counts, types = {order: Counter()}, set()
+    for t in texts:
+        w = tokens(t)
+        types.update(w[order - 1 :])
+        counts[order].update(tuple(w[i - order + 1 : i + 1]) for i in range(order - 1, len(w)))
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    d = {k: ngram_lm.discounts(*[sum(v == n for v in c.values()) for n in (1, 2, 3, 4)]) for k, c in counts.items()}
+    total, taken = Counter(), defaultdict(float)
+    for k, c in counts.items():
+        for g, n in c.items():
+            total[g[:-1]] += n
+            taken[g[:-1]] += d[k][min(n, 3) - 1]
+
+    def p(g):
+        low = p(g[1:]) if len(g) > 1 else 1 / (len(types) + 1)
+        n = counts[len(g)][g]
+        return taken[g[:-1]] / total[g[:-1]] * low + ((n - d[len(g)][min(n, 3) - 1]) / total[g[:-1]] if n else 0) if total[g[:-1]] else low
+
+    return [sum(math.log10(p(tuple(w[i - order + 1 : i + 1]))) for i in range(order - 1, len(w))) for w in map(tokens, asked)], p, types
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_ngram_lm_of_any_order(spark, order):
+    rnd = random.Random(order)
+    train = [*ODD[:8], *[passage(rnd, rnd.randrange(40), 12) for _ in range(60)], "a b c " * 400, "x b c"]
+    texts = [*ODD, "a b c a b", "x b c", "never seen words", *[passage(rnd, rnd.randrange(40), 14) for _ in range(20)]]
+    want, p, types = plain_scores(train, texts, order)
+    model = ngram_lm.train(docs_of(spark, train).repartition(3), order)
+    for r in ngram_lm.score(docs_of(spark, texts), model).collect():
+        assert math.isclose(r.score, want[r.doc_id], rel_tol=1e-9, abs_tol=1e-9)
+    assert math.isclose(sum(p((*["a", "b", "c"][-order + 1 :], w)) for w in types) + p((*["a", "b", "c"][-order + 1 :], "not a word")), 1.0)
+
+
+def test_query_models_trigrams(spark, tmp_path):
+    texts = [f"{'a' if k % 2 else 'b'} link {'c' if k % 2 else 'd'}" for k in range(60)]
+    docs = docs_of(spark, texts).select("doc_id", "text")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want, _, _ = plain_scores([t for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 7 != 2], texts, 3)
+    assert all(math.isclose(r.score, want[r.doc_id], rel_tol=1e-9) for r in ngram_lm.query(spark, str(tmp_path)).collect())
+
+
 def test_large_counts_are_kept(spark):
     texts = ["x y " * 1000, "x z"]
     model = ngram_lm.train(docs_of(spark, texts))
