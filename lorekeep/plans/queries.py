@@ -539,6 +539,23 @@ def import_upsert(spark, sf_dir):
     return after.select("id", "title", "importance")
 
 
+@_query(f"""with {MEM}, v as (select * from m where title <> '' and content <> ''), r as (
+  select id, rowid, title, importance, rowid as seq from v
+  union all select id, rowid, 'changed', importance / 2, rowid + 1000000000000 from v
+  union all select 'new-' || id, rowid, title, importance, rowid + 2000000000000 from v
+), l as (select *, row_number() over (partition by id order by seq desc) as n from r)
+select id, title, importance from l where n = 1
+union all select id, title, importance from m where id not in (select id from l)""")
+def import_upsert_whole(spark, sf_dir):
+    """The whole table is stored; all of it is imported as it is, then changed, then under new ids."""
+    m = memories(spark, sf_dir)
+    first = m.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in IMPORT.fields], F.col("rowid").alias("seq")).where("title <> '' and content <> ''")
+    later = first.withColumns({"title": F.lit("changed"), "importance": F.col("importance") / 2, "seq": F.col("seq") + 1_000_000_000_000})
+    new = first.withColumns({"id": F.concat(F.lit("new-"), "id"), "seq": F.col("seq") + 2_000_000_000_000})
+    after, _ = upsert.import_memories(m, first.unionByName(later).unionByName(new), now())
+    return after.select("id", "title", "importance")
+
+
 _SEEN = f"""with a as (
   select user_id, count(*) as access_count, max(ts) as last_seen from events group by user_id
 ), r as (
