@@ -15,9 +15,11 @@ encoding.
 
 Documents are encoded where they are read: no shuffle, one narrow stage, memory
 bounded by the Arrow batch and the cache. A lost executor's partitions are just
-read again. Defined results: null or empty text has no tokens; repeated rows are
-encoded each; extra columns are kept by ``encode`` unless they clash with
-``ids``/``n_tokens``.
+read again. Defined results: null or empty text has no tokens and decodes to
+nothing; a text of which no bytes merge has a token for each byte; very long
+texts are encoded whole; repeated rows are encoded each; a null doc_id stays
+null; an empty table gives an empty table; extra columns, dots in their names
+included, are kept by ``encode`` unless they clash with ``ids``/``n_tokens``.
 """
 
 from __future__ import annotations
@@ -114,7 +116,8 @@ class MergeReplay:
         order = np.argsort(r, kind="stable")
         at, r = at[order], r[order]
         found, bounds = np.unique(r, return_index=True)
-        index = {q: x.tolist() for q, x in zip(found.tolist(), np.split(at, bounds[1:]), strict=True)}
+        # a replay may hold no mergeable pair at all; np.split would make one part of nothing
+        index = {q: x.tolist() for q, x in zip(found.tolist(), np.split(at, bounds[1:]), strict=True)} if len(found) else {}
         heap = list(index)
         while heap:
             r = heappop(heap)

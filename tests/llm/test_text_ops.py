@@ -324,6 +324,22 @@ def test_byte_bpe(spark):
     assert byte_bpe.digest(empty(spark)).count() == 0
 
 
+def test_byte_bpe_of_one_text_a_partition(spark):
+    """A replay without a mergeable pair, and long texts, each alone in its task; repeated rows; a null id."""
+    rnd = random.Random(80)
+    enc, _ = reference()
+    texts = [*ODD, "   ", "\x01\x02", "\x7f", "\x00" * 5, "\t", "é", "漢", passage(rnd, 60_000)]
+    df = docs_of(spark, texts)
+    for some in [df.where(F.col("doc_id") == k) for k in range(9, len(texts))] + [df.unionByName(df).repartitionByRange(2 * len(texts), "doc_id")]:
+        for r in byte_bpe.digest(some).collect():
+            ids = enc.encode_ordinary(texts[r.doc_id] or "")
+            assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()), texts[r.doc_id]
+            assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
+    assert byte_bpe.digest(df.unionByName(df)).count() == 2 * len(texts)
+    none = byte_bpe.digest(spark.createDataFrame([(None, "a b")], "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.n_tokens) for r in none] == [(None, 2)]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_merge_replay_on_any_ranks(seed):
     """Vocabularies in which a merge may bring up a lower rank."""
