@@ -29,10 +29,33 @@ def split_words(c: Column, separators: str = SPACE) -> Column:
     return F.array_remove(F.split(F.coalesce(c, F.lit("")), separators), "")
 
 
+def set_aside(df: DataFrame, added: tuple[str, ...], needed: tuple[str, ...], used_up: tuple[str, ...] = ()):
+    """(df, back): columns other than ``needed`` under names that no operator uses, and what gives them their names back.
+
+    Columns named like one of ``added`` go. ``back(out, *results)`` selects df's
+    columns in their order, less those ``used_up``, then the results.
+    """
+    kept = [c for c in df.columns if c.lower() not in added]
+    hidden = {c: c if c in needed else f"__aside_{k}" for k, c in enumerate(kept)}
+    away = df.select(*[F.col(quoted(c)).alias(h) for c, h in hidden.items()])
+    return away, lambda out, *results: out.select(*[F.col(h).alias(c) for c, h in hidden.items() if c not in used_up], *results)
+
+
+def quoted(name: str) -> str:
+    """A column's name that may hold dots or backticks."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one under the warehouse if that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session (tests) gets a folder under its warehouse;
+    on a cluster such a folder might be one machine's own, so it is refused.
+    """
     own = spark.conf.get("spark.checkpoint.dir", None)
     if not own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     return own
 
