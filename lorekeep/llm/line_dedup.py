@@ -26,8 +26,9 @@ the earliest stays. Lines without words are layout and always stay.
 Defined results: null text stays null and has no lines; rows of one doc_id are one
 document and lose the same lines (if their texts differ, a line stays if its
 number stays for one of them); without a doc_id a line has no place, stays, and
-no other goes for it; an empty table gives an empty table. Extra columns stay; the added names replace columns
-that clash.
+no other goes for it; very long texts and lines are treated whole; an empty table
+gives an empty table. Extra columns stay, whatever their names; ``n_lines`` and
+``n_removed`` replace columns so named.
 """
 
 from __future__ import annotations
@@ -35,11 +36,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import cut, let
+from lorekeep.llm.common import cut, let, set_aside
 
 MIN_WORDS = 8
-#: Documents with screened lines that may be broadcast (a few numbers each); beyond that their texts are joined by a shuffle.
-BROADCAST_ROWS = 500_000
 BLANK = " \t\r"
 
 
@@ -190,12 +189,11 @@ def staying_lines(docs: DataFrame) -> DataFrame:
     own = F.when(F.col("head").isNotNull(), F.array(one(F.col("head"), 0), one(F.col("tail"), 1))).otherwise(F.array().cast("array<struct<key:bigint,end:int>>"))
     longer = F.coalesce(F.transform("more", lambda k: one(k, 2)), F.array().cast("array<struct<key:bigint,end:int>>"))
     screen = first.where("head is not null or more is not null").select("h1", F.inline(F.concat(own, longer)))
-    shared = screen.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    # written first, so that the join has an exchange on both sides and Spark may split a hot key
+    shared = cut(screen.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
     passed = screen.join(shared, "key", "left_semi").groupBy("h1").agg(F.collect_set("end").alias("ends"))
     passed = passed.join(first.select("h1", "place"), "h1").groupBy("place.doc_id").agg(F.collect_list(F.struct("place.no", "ends")).alias("lines"))
     passed = cut(passed)
-    if passed.count() <= BROADCAST_ROWS:
-        passed = F.broadcast(passed)
 
     # the words of the lines that passed, from a second look at their documents, numbered in the order of their places
     lines = texts.join(passed, "doc_id").select(
@@ -213,7 +211,7 @@ def staying_lines(docs: DataFrame) -> DataFrame:
     rows = lines.select("id", F.inline(variants(F.col("w"), F.col("ends"))))
     least = lambda role: F.min(F.when(F.col("role") == role, F.col("id")))
     # what an earlier near copy is for each role: same gap, a line that lacks a word of this key's line, the key's line
-    groups = rows.groupBy("key").agg(F.count("*").alias("c"), least(0).alias("p0"), least(2).alias("p1"), least(1).alias("p2")).where("c > 1").drop("c")
+    groups = cut(rows.groupBy("key").agg(F.count("*").alias("c"), least(0).alias("p0"), least(2).alias("p1"), least(1).alias("p2")).where("c > 1").drop("c"))
     met = rows.join(groups, "key").select(
         "id", F.when(F.col("role") == 0, F.col("p0")).when(F.col("role") == 1, F.col("p1")).otherwise(F.col("p2")).alias("other")
     )
@@ -230,8 +228,8 @@ def staying_lines(docs: DataFrame) -> DataFrame:
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """Replaces text by the lines that stay; adds n_lines (with words) and n_removed."""
-    docs = docs.drop("n_lines", "n_removed")
-    joined = docs.join(staying_lines(docs).withColumnRenamed("kept", "_kept"), "doc_id", "left")
+    away, back = set_aside(docs, ("n_lines", "n_removed"), ("doc_id", "text"))
+    joined = away.join(staying_lines(away), "doc_id", "left")
 
     def rebuild(parts):
         blank = F.transform(parts, lambda x: F.btrim(x, F.lit(BLANK)) == "")
@@ -240,15 +238,15 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
         def stay(w):
             none = F.array().cast("array<int>")
-            gone = F.when(F.col("doc_id").isNull(), none).otherwise(F.array_except(w, F.coalesce("_kept", none)))
+            gone = F.when(F.col("doc_id").isNull(), none).otherwise(F.array_except(w, F.coalesce("kept", none)))
             text = let(gone, lambda g: F.array_join(F.transform(F.array_except(numbers, g), lambda i: F.get(parts, i)), "\n"))
             return F.struct(text.alias("text"), F.size(w).cast("long").alias("n"), F.size(gone).cast("long").alias("gone"))
 
         return let(worded, stay)
 
-    joined = joined.withColumn("_r", let(F.split(F.coalesce("text", F.lit("")), "\n"), rebuild))
-    cols = [F.when(F.col("text").isNotNull(), F.col("_r.text")).alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return joined.select(*cols, F.col("_r.n").alias("n_lines"), F.col("_r.gone").alias("n_removed"))
+    joined = joined.withColumn("r", let(F.split(F.coalesce("text", F.lit("")), "\n"), rebuild))
+    joined = joined.withColumn("text", F.when(F.col("text").isNotNull(), F.col("r.text")))
+    return back(joined, F.col("r.n").alias("n_lines"), F.col("r.gone").alias("n_removed"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
