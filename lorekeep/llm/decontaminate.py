@@ -22,8 +22,9 @@ keys. Nothing is collected but the set of shingle lengths (five numbers at most)
 Defined results: null, empty and wordless texts have no words and are clean;
 wordless items have no windows; repeated documents are judged each, repeated
 items count each by its id; without documents or items the result is empty or
-clean. Extra columns of documents are kept by ``decontaminate`` unless they clash
-with the added names.
+clean; a null doc_id is judged by its text; very long texts are judged whole.
+Extra columns of documents stay, whatever their names; the added names replace
+columns so named.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import NOT_ALNUM, ascii_lower, cut, let, split_words
+from lorekeep.llm.common import NOT_ALNUM, ascii_lower, cut, let, set_aside, split_words
 
 WINDOW = 13
 SHINGLE = 5
@@ -81,7 +82,7 @@ def covered(spans: Column) -> Column:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, share: int = 20) -> DataFrame:
     """Adds n_words, n_hit, n_items, items_sha256 and contaminated (n_hit > 0 and share * n_hit >= n_words)."""
     added = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    docs = docs.drop(*added)
+    docs, back = set_aside(docs, added, ("doc_id", "text"))
     key = F.struct(F.col("doc_id"), F.xxhash64(F.col("text"))).alias("_key")
     items, shingles = windows_of(benchmark, window, shingle)
     shingles = cut(shingles)
@@ -142,8 +143,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     )
     empty = F.array().cast("array<string>")
     out = judged.join(by_doc, "_key", "left").withColumn("_items", F.coalesce("_items", empty))
-    return out.select(
-        *docs.columns,
+    return back(
+        out,
         "n_words",
         "n_hit",
         F.size("_items").cast("long").alias("n_items"),
