@@ -20,15 +20,18 @@ shingles (|A xor B|). Jaccard similarity of num/den bounds that difference by
    components are candidate clusters; each set goes to its cluster once.
 5. Within a cluster, sets that share a key and are not connected yet are
    compared: Hamming distance of folded sketches (a lower bound again), then the
-   exact intersection. Clusters beyond ``BLOCK`` shingles, or of more than a fair
+   exact intersection; if links are counted, also those that are connected.
+   Clusters beyond ``BLOCK`` shingles, or of more than a fair
    share of all, are dealt into blocks and compared block by block, so no task
    holds more than two blocks.
 6. The links' components, by smallest doc_id.
 
 Defined results: null, empty and wordless texts have no shingles and are alone;
-texts of fewer words than a shingle have one, the whole sequence; rows of the
-same doc_id are one document; a null doc_id has a null component; an empty table
-gives an empty table; extra columns stay unless they clash with the added names.
+texts of fewer words than a shingle have one, the whole sequence; very long texts
+are taken whole; rows of the same doc_id are one document, linked by any of its
+texts; a null doc_id has a null component and no links; an empty table gives an
+empty table; ids of a type that is no integer are refused; other columns are not
+read and not returned.
 """
 
 from __future__ import annotations
@@ -36,6 +39,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lorekeep.llm.common import cut, partitions
 from lorekeep.llm.graph import components
@@ -186,14 +190,41 @@ def folded(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.uint64)
 
 
-def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return den * common >= num * (len(a) + len(b) - common)
+class Members:
+    """The sets of a cluster with their shingles numbered, so that an intersection is a look-up in a mask."""
 
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        distinct, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
+        self.start = np.cumsum(self.sizes) - self.sizes
+        self.mask = np.zeros(len(distinct), bool)
 
-def links_within(sets: list[np.ndarray], side: np.ndarray, bands: Bands) -> list[tuple[int, int]]:
-    """Links that connect what is linked: pairs of indices. side: 0 and 1 are compared across; 2 with all."""
+    def of(self, i: int) -> np.ndarray:
+        return self.flat[self.start[i] : self.start[i] + self.sizes[i]]
+
+    def common(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of set i with others."""
+        self.mask[self.of(i)] = True
+        if 4 * self.sizes[others].sum() > len(self.flat):
+            out = np.add.reduceat(self.mask[self.flat].astype(np.int64), self.start)[others]
+        else:
+            out = np.array([np.count_nonzero(self.mask[self.of(j)]) for j in others.tolist()], np.int64)
+        self.mask[self.of(i)] = False
+        return out
+
+
+def links_within(sets: list[np.ndarray], side: np.ndarray, bands: Bands, copies: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(links that connect what is linked, as pairs of indices; number of linked documents by set).
+
+    side: sets of 0 and 1 are compared across, 2 with all; none is empty. Without
+    ``copies``, the documents that each set stands for, pairs that are connected
+    already are passed over and nothing is counted.
+    """
     n = len(sets)
+    degree = np.zeros(n, np.int64)
+    out: list[tuple[int, int]] = []
+    if n < 2:
+        return out, degree
     sizes = np.array([len(s) for s in sets], np.int64)
     keys, own = bands.keys_of_many(sets)
     order = np.argsort(keys, kind="stable")
@@ -206,9 +237,9 @@ def links_within(sets: list[np.ndarray], side: np.ndarray, bands: Bands) -> list
     for g, (a, b) in enumerate(zip(start.tolist(), stop.tolist(), strict=True)):
         for i in own[a:b].tolist():
             groups_of[i].append(g)
-    sketch = np.stack([folded(s) for s in sets]) if n else np.empty((0, FOLDED // 64), np.uint64)
+    sketch = np.stack([folded(s) for s in sets])
+    members = Members(sets)
     label = np.arange(n)
-    out: list[tuple[int, int]] = []
     seen = np.zeros(n, bool)
     # those that share the most come first: they tie the others together early
     weight = np.array([sum(int(stop[g] - start[g]) for g in gs) for gs in groups_of], np.int64)
@@ -223,22 +254,29 @@ def links_within(sets: list[np.ndarray], side: np.ndarray, bands: Bands) -> list
         for g in groups_of[i]:
             seen[own[start[g] : stop[g]]] = True
         cand = np.flatnonzero(seen)
-        cand = cand[(rank[cand] > rank[i]) & (label[cand] != label[i])]
+        cand = cand[rank[cand] > rank[i]]
+        if copies is None:
+            cand = cand[label[cand] != label[i]]
         if side[i] != 2:
             cand = cand[side[cand] != side[i]]
-        if not len(cand):
-            continue
         a, b = sizes[i], sizes[cand]
-        cand = cand[(num * np.maximum(a, b) <= den * np.minimum(a, b))]
+        cand = cand[num * np.maximum(a, b) <= den * np.minimum(a, b)]
         if not len(cand):
             continue
         far = np.bitwise_count(sketch[cand] ^ sketch[i]).sum(axis=1, dtype=np.int64)
         cand = cand[far * (den + num) <= (den - num) * (a + sizes[cand])]
+        if not len(cand):
+            continue
+        common = members.common(i, cand)
+        cand = cand[den * common >= num * (a + sizes[cand] - common)]
+        if copies is not None:
+            degree[i] += copies[cand].sum()
+            degree[cand] += copies[i]
         for j in cand.tolist():
-            if label[j] != label[i] and linked(sets[i], sets[j], num, den):
+            if label[j] != label[i]:
                 out.append((i, j))
                 label[label == label[j]] = label[i]
-    return out
+    return out, degree
 
 
 def _chunks(texts: list[str | None]):
@@ -338,8 +376,11 @@ def candidate_ties(docs: DataFrame, width: int, bands: Bands, parts: int) -> Dat
     return packed.groupBy("part").applyInArrow(distinct, "u long, v long")
 
 
-def cluster_links(docs: DataFrame, members: DataFrame, width: int, bands: Bands) -> DataFrame:
-    """Links (u, v) inside candidate clusters. members: doc_id, cluster, n_shingles."""
+def cluster_links(docs: DataFrame, members: DataFrame, width: int, bands: Bands, count: bool) -> DataFrame:
+    """Links inside candidate clusters. members: doc_id, cluster, n_shingles, copies.
+
+    Rows (u, v, null) connect what is linked; with ``count``, rows (u, null, n) sum up to the documents linked with u.
+    """
     import pyarrow as pa
 
     size = members.groupBy("cluster").agg(F.sum("n_shingles").alias("total"))
@@ -353,17 +394,18 @@ def cluster_links(docs: DataFrame, members: DataFrame, width: int, bands: Bands)
         members.join(size, "cluster")
         .withColumn("blocks", blocks)
         .withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).otherwise(F.lit(0)).cast("int"))
-        .select("doc_id", "cluster", "blocks", "block")
+        .select("doc_id", "cluster", "blocks", "block", "copies")
     )
     joined = docs.join(members, "doc_id")
 
     def run(batches):
         for b in batches:
             sets = [shingle_set(t, width).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("cluster"), b.column("blocks"), b.column("block"), pa.array(sets, pa.binary())], ["doc_id", "cluster", "blocks", "block", "hashes"])
+            names = ["doc_id", "cluster", "blocks", "block", "copies"]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(sets, pa.binary())], [*names, "hashes"])
         _MEMO.clear()
 
-    sets = joined.mapInArrow(run, "doc_id long, cluster long, blocks int, block int, hashes binary")
+    sets = joined.mapInArrow(run, "doc_id long, cluster long, blocks int, block int, copies long, hashes binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = sets.select("*", other).select(
         F.when(F.col("blocks") > 1, F.col("cluster")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(buckets))).alias("g"),
@@ -373,6 +415,7 @@ def cluster_links(docs: DataFrame, members: DataFrame, width: int, bands: Bands)
         "cluster",
         "block",
         "doc_id",
+        "copies",
         "hashes",
     )
 
@@ -383,22 +426,42 @@ def cluster_links(docs: DataFrame, members: DataFrame, width: int, bands: Bands)
         block = table.column("block").to_numpy()
         order = np.lexsort((ids, cluster))
         starts = np.flatnonzero(np.r_[True, cluster[order][1:] != cluster[order][:-1]])
+        copies = table.column("copies").to_numpy()
         hashes = table.column("hashes")
-        u, v = [], []
+        u, v, n = [], [], []
         for a, b in zip(starts, np.r_[starts[1:], len(order)], strict=True):
-            own = order[a:b]
-            sets = [np.frombuffer(hashes[int(k)].as_buffer(), np.uint64) for k in own]
+            own, sets, last = [], [], None
+            for k in order[a:b].tolist():
+                raw = hashes[k].as_py()
+                if raw and (ids[k], raw) != last:  # repeated rows of a document are one
+                    last = (ids[k], raw)
+                    own.append(k)
+                    sets.append(np.frombuffer(raw, np.uint64))
+            own = np.array(own, np.int64)
             side = np.full(len(own), 2) if i == j else (block[own] == j).astype(np.int64)
-            for x, y in links_within(sets, side, bands):
+            found, degree = links_within(sets, side, bands, copies[own] if count else None)
+            for x, y in found:
                 u.append(int(ids[own[x]]))
                 v.append(int(ids[own[y]]))
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+                n.append(None)
+            for x in np.flatnonzero(degree).tolist():
+                u.append(int(ids[own[x]]))
+                v.append(None)
+                n.append(int(degree[x]))
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "n": pa.array(n, pa.int64())})
+
+    return dealt.groupBy("g", "large", "i", "j").applyInArrow(compare, "u long, v long, n long")
 
-    return dealt.groupBy("g", "large", "i", "j").applyInArrow(compare, "u long, v long")
 
+def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, count: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id: documents of a Jaccard similarity of num / den or more are linked.
 
-def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id: documents of a Jaccard similarity of num / den or more are linked."""
+    With ``count`` also n_links: how many other documents each one is linked with,
+    copies included. That verifies every pair that shares a key, not only what
+    connects the component.
+    """
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError("doc_id must be of an integer type")
     bands = Bands(num, den)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     hashed = cut(set_hashes(docs, width))
@@ -406,20 +469,27 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     # written first, so that the join below has exchanges on both sides and Spark may split a large class
     classes = cut(sets.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")))
     of = cut(sets.join(classes, ["h1", "h2"]).groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("n_shingles").alias("n_shingles")))
+    size = cut(of.groupBy("rep").agg(F.count("*").alias("copies")))
 
     tied = candidate_ties(docs, width, bands, partitions(docs.sparkSession))
     rep = lambda c: of.select(F.col("doc_id").alias(c), F.col("rep").alias(f"{c}r"))
     tied = tied.join(rep("u"), "u").join(rep("v"), "v").where("ur <> vr").select(F.col("ur").alias("u"), F.col("vr").alias("v"))
     clusters = components(tied)
-    members = clusters.join(of, clusters.node == of.doc_id).select("doc_id", F.col("component").alias("cluster"), "n_shingles")
-    links = cut(cluster_links(docs, cut(members), width, bands))
-    found = components(links)
+    members = clusters.join(of, clusters.node == of.doc_id).join(size, "rep").select("doc_id", F.col("component").alias("cluster"), "n_shingles", "copies")
+    links = cut(cluster_links(docs, cut(members), width, bands, count))
+    found = components(links.where("v is not null").select("u", "v"))
 
-    of = of.join(found, of.rep == found.node, "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
-    return hashed.select("doc_id", "n_shingles").join(of, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    of = of.join(found, of.rep == found.node, "left").select("doc_id", "rep", F.coalesce("component", "rep").alias("component_id"))
+    columns = ["doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")]
+    if count:
+        linked = links.where("n is not null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
+        counted = cut(size.join(linked, "rep", "left").select("rep", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("links")))
+        of = of.join(counted, "rep")
+        columns.append(F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    return hashed.select("doc_id", "n_shingles").join(of, "doc_id", "left").select(*columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     from lorekeep.llm.common import table
 
-    return jaccard_components(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
+    return jaccard_components(table(spark, sf_dir, "documents"), width=4, num=85, den=100, count=True)
