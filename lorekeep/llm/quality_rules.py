@@ -6,9 +6,15 @@ points in words, symbols, repeated lines, words inside repeated 3-word windows.
 a document is read, judged and written in a single narrow stage: no shuffle, no
 user function.
 
+The stop-word rule asks for two function words of English, French, German or
+Spanish; texts in other languages need a list of their own in ``STOP_WORDS``, or
+``RULES`` without that rule. No length is too long.
+
 Defined results: null or empty text has no words and is rejected by the base
-rule; repeated rows are judged each on its own; extra columns are kept, but a
-column named like a result is replaced by the result.
+rule; very long texts are judged whole; repeated rows are judged each on its
+own; a null doc_id stays null; an empty table gives an empty table; extra columns
+are kept, whatever their names, but a column named like a result is replaced by
+the result.
 """
 
 from __future__ import annotations
@@ -18,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import SPACE, let, split_words
+from lorekeep.llm.common import let, set_aside, split_words
 
 SYMBOLS = "#*$%&|<>"
 #: Frequent function words of the four languages.
@@ -47,7 +53,7 @@ class Rule:
 
 #: Thresholds after published web-corpus filters.
 RULES = (
-    Rule("length", "n_words", None, (50, 1), (1_000_000, 1)),
+    Rule("length", "n_words", None, (50, 1), None),
     Rule("word_length", "word_chars", "n_words", (2, 1), (20, 1)),
     Rule("symbols", "n_symbols", "n_words", None, (1, 10)),
     Rule("stop_words", "n_stop_words", None, (2, 1), None),
@@ -57,6 +63,13 @@ RULES = (
 )
 
 
+#: What ``quality_rules`` adds.
+RESULTS = (
+    "word_chars", "n_symbols", "n_words", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_bullet_lines", "n_ellipsis_lines",
+    "base_failed", "kept",
+)
+
+
 def compile_rules(rules: tuple[Rule, ...], value=F.col) -> Column:
     """One Boolean expression that is true if every rule of the table holds."""
     ok = F.lit(True)
@@ -129,10 +142,10 @@ def measures(text: Column) -> dict[str, Column]:
 
 def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """Adds the counts, ``base_failed`` and ``kept`` to every document."""
-    m = measures(F.col(text_col))
+    docs, back = set_aside(docs, RESULTS, (text_col,))
     stop = STOP_WORDS.split()
     w, lines = F.col("_words"), F.col("_lines")
-    df = docs.withColumns(m)
+    df = docs.withColumns(measures(F.col(text_col)))
     df = df.withColumns(
         {
             "n_words": F.size(w).cast("long"),
@@ -143,9 +156,9 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: st
             "n_bullet_lines": F.size(F.filter(lines, lambda x: x.rlike(r"^[\x20\x09]*[-*•]"))).cast("long"),
             "n_ellipsis_lines": F.size(F.filter(lines, lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09\x0D]*$"))).cast("long"),
         }
-    ).drop("_words", "_lines")
+    )
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    return df.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
+    return back(df.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & compile_rules(rules)), *RESULTS)
 
 
 def rules_sql(rules: tuple[Rule, ...] = RULES) -> str:
