@@ -5,15 +5,17 @@ suffix. Each level is a beta-binomial: its prior has the mean of the level above
 and a strength fitted by moments over all groups of the level. A host is blocked
 if the lower bound of its posterior bad rate (mean - Z sd) is above ``BOUND``.
 
-Counts are aggregated by host before anything is joined; domains and suffixes
-come from the host counts. Only four fitted numbers reach the driver. Pages meet
-the table of hosts in one join on the host, where Spark may split a hot one.
+Counts are aggregated by host and written once, before anything else is joined;
+domains and suffixes come from the host counts. Only four fitted numbers reach
+the driver. Pages meet the table of hosts in one join on the host, where Spark
+may split a hot one.
 
 Defined results: a null url, or one without ``://``, has an empty host and path
 and gets the method's verdict for the empty host; repeated pages are judged
 each; repeated labels of one page count once (bad if any says so); without any
-label every host has the prior alone and passes. Other columns of pages are
-kept; the added names replace columns that clash.
+label every host has the prior alone and passes; without pages the result is
+empty; very long urls are read whole. Other columns of pages are kept, whatever
+their names; the added names replace columns so named.
 """
 
 from __future__ import annotations
@@ -21,12 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import UPPER
+from lorekeep.llm.common import UPPER, cut, set_aside
 
 #: (rule, verdict): host, then path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: Second-level labels that act as part of the suffix.
-SECOND_LEVEL = ("co", "com", "org", "net", "gov", "edu", "ac")
+#: Second-level labels that act as part of the suffix before a country code.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gen", "go", "gob", "gouv", "gov", "gv", "ltd", "mil", "ne", "net", "nhs", "nom", "or", "org", "plc", "sch")
 Z = 1.645
 BOUND = 0.5
 #: Limits of a fitted prior strength.
@@ -88,9 +90,8 @@ def _strength(groups: DataFrame, parent: str) -> float:
     return max(WEAKEST, 1 / rho - 1)
 
 
-def reputation(counts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, dict]:
-    """From (host, n, k): posterior parameters by host, domain and suffix, and the fitted numbers."""
-    counts = counts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("domain")))
+def reputation(counts: DataFrame) -> tuple[DataFrame, DataFrame, dict]:
+    """From (host, domain, suffix, n, k): means by domain and suffix, and the fitted numbers."""
     n, k = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
     mean = (k + 0.5) / (n + 1)
     suffixes = counts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("m0", F.lit(float(mean)))
@@ -100,36 +101,29 @@ def reputation(counts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, dict
     m_domain = _strength(domains, "suffix_mean")
     domains = domains.select("domain", ((F.col("k") + m_domain * F.col("suffix_mean")) / (F.col("n") + m_domain)).alias("domain_mean"))
     hosts = counts.select("host", "domain", "n", "k").join(domains, "domain")
-    m_host = _strength(hosts, "domain_mean")
-    fitted = {"mean": float(mean), "suffix": m_suffix, "domain": m_domain, "host": m_host}
-    return counts.select("host", "n", "k"), domains, suffixes, fitted
+    fitted = {"mean": float(mean), "suffix": m_suffix, "domain": m_domain, "host": _strength(hosts, "domain_mean")}
+    return domains, suffixes, fitted
 
 
 def url_filter(pages: DataFrame, outcomes: DataFrame, rules=RULES, bound: float = BOUND, z: float = Z) -> DataFrame:
     """``outcomes``: page_id, bad (Boolean). Adds host, path, rule, verdict, bad_rate and bad_rate_low."""
     added = ("host", "path", "rule", "verdict", "bad_rate", "bad_rate_low")
-    pages = pages.drop(*added).withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
-    bad = outcomes.where(F.col("bad").isNotNull()).groupBy("page_id").agg(F.max(F.col("bad").cast("int")).alias("_bad"))
-    counts = pages.select("page_id", "host").join(bad, "page_id").groupBy("host").agg(F.count("*").alias("n"), F.sum("_bad").alias("k"))
-    counts, domains, suffixes, fit = reputation(counts)
-    hosts = pages.select("host").distinct().withColumn("_domain", domain_of(F.col("host"))).withColumn("_suffix", suffix_of(F.col("_domain")))
-    hosts = (
-        hosts.join(counts, "host", "left")
-        .join(domains.withColumnRenamed("domain", "_domain"), "_domain", "left")
-        .join(suffixes.withColumnRenamed("suffix", "_suffix"), "_suffix", "left")
-    )
+    pages, back = set_aside(pages, added, ("page_id", "url"))
+    pages = pages.withColumn("host", host_of(F.col("url")))
+    bad = outcomes.where(F.col("bad").isNotNull()).groupBy("page_id").agg(F.max(F.col("bad").cast("int")).alias("bad"))
+    labelled = pages.select("page_id", "host").join(bad, "page_id", "left")
+    hosts = labelled.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
+    hosts = cut(hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("domain"))))
+    domains, suffixes, fit = reputation(hosts.where("n > 0"))
     prior = F.coalesce("domain_mean", "suffix_mean", F.lit(fit["mean"]))
-    a = F.coalesce("k", F.lit(0)) + fit["host"] * prior
-    b = F.coalesce(F.col("n") - F.col("k"), F.lit(0)) + fit["host"] * (1 - prior)
-    hosts = hosts.select("host", a.alias("_a"), b.alias("_b"))
-    rate = F.col("_a") / (F.col("_a") + F.col("_b"))
-    total = F.col("_a") + F.col("_b")
-    hosts = hosts.select("host", rate.alias("bad_rate"), (rate - z * F.sqrt(rate * (1 - rate) / (total + 1))).alias("bad_rate_low"))
+    a, b = F.col("k") + fit["host"] * prior, F.col("n") - F.col("k") + fit["host"] * (1 - prior)
+    hosts = hosts.join(domains, "domain", "left").join(suffixes, "suffix", "left").select("host", a.alias("a"), (a + b).alias("total"))
+    rate = F.col("a") / F.col("total")
+    hosts = hosts.select("host", rate.alias("bad_rate"), (rate - z * F.sqrt(rate * (1 - rate) / (F.col("total") + 1))).alias("bad_rate_low"))
+    judged = pages.withColumn("path", path_of(F.col("url"))).join(hosts, "host", "left")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    judged = pages.join(hosts, "host", "left")
-    return judged.withColumn("rule", rule).withColumn(
-        "verdict", F.coalesce(verdict, F.when(F.col("bad_rate_low") > bound, "block").otherwise("allow"))
-    )
+    verdict = F.coalesce(verdict, F.when(F.col("bad_rate_low") > bound, "block").otherwise("allow"))
+    return back(judged.withColumn("rule", rule).withColumn("verdict", verdict), *added)
 
 
 def outcomes_of(labels: DataFrame) -> DataFrame:
