@@ -31,9 +31,10 @@ from heapq import heappop, heappush
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lorekeep.llm.common import set_aside
+
 #: Entries after which a task's cache of encoded words starts anew.
 CACHE_WORDS = 350_000
 #: Distinct words that are replayed together.
@@ -301,7 +302,8 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
 
     if path is None:
         path, pattern = vocabulary()
-    keep = [f for f in docs.schema.fields if f.name not in ("ids", "n_tokens")]
+    away, back = set_aside(docs, ("ids", "n_tokens"), (text_col,))
+    keep = away.schema.fields
     schema = T.StructType([*keep, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())])
 
     def run(batches):
@@ -316,7 +318,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
             )
         enc.forget()
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in keep]).mapInArrow(run, schema)
+    return back(away.mapInArrow(run, schema), "ids", "n_tokens")
 
 
 def decode(ids_df: DataFrame, path: str | None = None, ids_col: str = "ids") -> DataFrame:
@@ -324,7 +326,8 @@ def decode(ids_df: DataFrame, path: str | None = None, ids_col: str = "ids") ->
     import pyarrow as pa
 
     path = path or vocabulary()[0]
-    keep = [f for f in ids_df.schema.fields if f.name != "decoded"]
+    away, back = set_aside(ids_df, ("decoded",), (ids_col,))
+    keep = away.schema.fields
     schema = T.StructType([*keep, T.StructField("decoded", T.BinaryType())])
 
     def run(batches):
@@ -333,7 +336,7 @@ def decode(ids_df: DataFrame, path: str | None = None, ids_col: str = "ids") ->
             out = [None if ids is None else m.decode(ids) for ids in b.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in keep], pa.array(out, pa.binary())], [*[f.name for f in keep], "decoded"])
 
-    return ids_df.select(*[F.col(f"`{f.name}`") for f in keep]).mapInArrow(run, schema)
+    return back(away.mapInArrow(run, schema), "decoded")
 
 
 def digest(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:

@@ -28,6 +28,8 @@ from html import unescape
 
 from pyspark.sql import DataFrame
 
+from lorekeep.llm.common import set_aside
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noframes iframe".split())
 INLINE = frozenset(
@@ -317,7 +319,8 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     import pyarrow as pa
     from pyspark.sql import types as T
 
-    keep = [f for f in pages.schema.fields if f.name not in ("text", "n_chars", html_col)]
+    away, back = set_aside(pages, ("text", "n_chars"), (html_col,), (html_col,))
+    keep = [f for f in away.schema.fields if f.name != html_col]
     schema = T.StructType([*keep, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches):
@@ -325,7 +328,7 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
             out = [main_text(h) for h in b.column(html_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in keep], pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], [*[f.name for f in keep], "text", "n_chars"])
 
-    return pages.select(*[f"`{f.name}`" for f in keep], f"`{html_col}`").mapInArrow(run, schema)
+    return back(away.mapInArrow(run, schema), "text", "n_chars")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

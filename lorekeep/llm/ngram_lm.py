@@ -37,7 +37,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import cut, partitions, shared_path
+from lorekeep.llm.common import cut, partitions, set_aside, shared_path
 from lorekeep.llm.ngram_jaccard import mix, word_hashes
 from lorekeep.llm.shared_arrays import SharedArrays
 
@@ -349,7 +349,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     from pyspark.sql import types as T
 
     added = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
-    keep = [f for f in docs.schema.fields if f.name not in added and f.name != "text"]
+    away, back = set_aside(docs, tuple(added), ("text",), ("text",))
+    keep = [f for f in away.schema.fields if f.name != "text"]
     kinds = [T.LongType()] * 3 + [T.DoubleType()] * 3
     schema = T.StructType([*keep, *[T.StructField(n, k) for n, k in zip(added, kinds, strict=True)]])
 
@@ -374,7 +375,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             cols = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), model.tokens), pa.int64()), pa.array(base), pa.array(own), pa.array(10.0 ** (-own / n))]
             yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in keep], *cols], [*[f.name for f in keep], *added])
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in keep], "text").mapInArrow(run, schema)
+    return back(away.mapInArrow(run, schema), *added)
 
 
 def fold(doc_id: Column, folds: int) -> Column:

@@ -28,6 +28,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep.llm.common import set_aside
+
 #: Labelled rows of each class that the classifier is fitted on, at most.
 SAMPLE = {0: 4000, 1: 2500}
 #: A feature needs this many documents of the sample.
@@ -184,7 +186,8 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float], threshold: flo
     weights, bias = model
     given = docs.sparkSession.sparkContext.broadcast(weights)  # bounded by the sample
     added = ["score", "predicted"] + ["offending"] * locate
-    keep = [f for f in docs.schema.fields if f.name not in added]
+    away, back = set_aside(docs, tuple(added), ("text",))
+    keep = away.schema.fields
     types = [T.DoubleType(), T.IntegerType(), T.ArrayType(T.StringType())]
     schema = T.StructType([*keep, *[T.StructField(n, k) for n, k in zip(added, types, strict=False)]])
 
@@ -207,7 +210,7 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float], threshold: flo
             cols += [pa.array(named, pa.list_(pa.string()))] * locate
             yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in keep], *cols], [*[f.name for f in keep], *added])
 
-    return docs.mapInArrow(run, schema) if keep == docs.schema.fields else docs.select(*[F.col(f"`{f.name}`") for f in keep]).mapInArrow(run, schema)
+    return back(away.mapInArrow(run, schema), *added)
 
 
 def blame(text: str, lower: str, scores: Scores, bias: float) -> list[str]:

@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from lorekeep.llm import byte_bpe, decontaminate, graph, html_extract, line_dedup, ngram_jaccard, packing, quality_rules, toxicity, url_filter
+from lorekeep.llm import byte_bpe, decontaminate, graph, html_extract, line_dedup, ngram_jaccard, ngram_lm, packing, quality_rules, toxicity, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -51,6 +51,8 @@ def test_quality_rules(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, symbols, dup, rep), t
         assert r.base_failed == (n < 50 or 100 * rep > 50 * n) and (not r.kept or not r.base_failed) and r.other == 1
     assert got[len(texts) - 2].kept and not got[len(texts) - 1].kept
+    long = docs_of(spark, [" ".join(f"the{k} of w{k}" for k in range(400_000))])  # no length is too long
+    assert [(r.n_words, r.kept) for r in quality_rules.quality_rules(long).collect()] == [(1_200_000, True)]
     assert quality_rules.quality_rules(empty(spark)).count() == 0
 
 
@@ -163,7 +165,8 @@ def brute_components(texts, width, num, den):
             if a and b and den * len(a & b) >= num * len(a | b):
                 x, y = sorted((find(i), find(j)))
                 parent[y] = x
-    return [(len(sets[i]), find(i)) for i in range(len(sets))]
+    links = [sum(bool(a and b) and den * len(a & b) >= num * len(a | b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)]
+    return [(len(sets[i]), find(i), links[i]) for i in range(len(sets))]
 
 
 @pytest.mark.parametrize("width,num,den,block", [(4, 85, 100, 1_000_000), (5, 80, 100, 1_000_000), (4, 85, 100, 300)])
@@ -182,16 +185,29 @@ def test_ngram_jaccard(spark, monkeypatch, width, num, den, block):
     rnd.shuffle(texts)
     monkeypatch.setattr(ngram_jaccard, "BLOCK", block)
     df = docs_of(spark, texts).withColumn("n_shingles", F.lit("clash"))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.jaccard_components(df.repartition(6), width, num, den).collect()}
-    for k, want in enumerate(brute_components(texts, width, num, den)):
-        assert got[k] == want, (k, texts[k])
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_jaccard.jaccard_components(df.repartition(6), width, num, den, count=True).collect()}
+    want = brute_components(texts, width, num, den)
+    assert max(n for _, _, n in want) > 3
+    for k in range(len(texts)):
+        assert got[k] == want[k], (k, texts[k])
+    if block == 1_000_000:  # the shorter way, without numbers of links
+        again = ngram_jaccard.jaccard_components(df, width, num, den).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in again} == {k: w[:2] for k, w in enumerate(want)}
 
 
 def test_ngram_jaccard_odd_tables(spark):
     assert ngram_jaccard.jaccard_components(empty(spark)).count() == 0
     df = spark.createDataFrame([(None, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (1, "A b c d e f")], "doc_id long, text string")
-    got = sorted((r.doc_id or 0, r.component_id) for r in ngram_jaccard.jaccard_components(df).collect())
-    assert got == [(0, None), (1, 1), (2, 1), (2, 1)]
+    got = sorted((r.doc_id or 0, r.component_id, r.n_links) for r in ngram_jaccard.jaccard_components(df, count=True).collect())
+    assert got == [(0, None, 0), (1, 1, 1), (2, 1, 1), (2, 1, 1)]
+    rnd = random.Random(41)
+    words = passage(rnd, 200)
+    near = [words, words + " end", words + " end", words + " stop"]
+    rows = docs_of(spark, near).unionByName(docs_of(spark, near))
+    got = sorted((r.doc_id, r.component_id, r.n_links) for r in ngram_jaccard.jaccard_components(rows, count=True).collect())
+    assert got == [(k, 0, 3) for k in range(4) for _ in range(2)]
+    with pytest.raises(TypeError):
+        ngram_jaccard.jaccard_components(df.withColumn("doc_id", F.lit("x")))
 
 
 def test_parity_sketch_bounds_the_difference():
@@ -409,3 +425,42 @@ def test_toxicity(spark):
     assert got[600].score == got[601].score < 0.5
     nothing = toxicity.train(df, labels.where("toxic = 0"))
     assert all(r.predicted == 0 for r in toxicity.score(df, nothing).collect())
+
+
+# ---- extra columns
+
+NAMES = ["_kept", "kept2", "_r", "r", "a.b", "_key", "_t", "_found", "_w", "_words", "_lines", "n", "w", "place", "lines", "x`y", "a b"]
+
+
+@pytest.mark.parametrize("run", ["line_dedup", "decontaminate", "quality_rules", "encode", "score_lm", "toxicity", "extract", "url_filter"])
+def test_extra_columns_stay(spark, run):
+    bench = spark.createDataFrame([(1, passage(random.Random(1), 20))], "item_id long, text string")
+    calls = {
+        "line_dedup": line_dedup.line_dedup,
+        "decontaminate": lambda d: decontaminate.decontaminate(d, bench),
+        "quality_rules": quality_rules.quality_rules,
+        "encode": byte_bpe.encode,
+        "score_lm": lambda d: ngram_lm.score(d, ngram_lm.train(d)),
+        "toxicity": lambda d: toxicity.score(d, ({"a": 1.0}, -1.0)),
+        "extract": html_extract.extract,
+        "url_filter": lambda d: url_filter.url_filter(d.withColumnsRenamed({"doc_id": "page_id", "text": "url"}), outcomes).withColumnsRenamed({"page_id": "doc_id", "url": "text"}),
+    }
+    outcomes = spark.createDataFrame([(1, True)], "page_id long, bad boolean")
+    df = docs_of(spark, [passage(random.Random(1), 60), None, "a b", "a b"])
+    if run == "extract":
+        df = df.withColumnRenamed("text", "html")
+    quoted = ["`" + n.replace("`", "``") + "`" for n in NAMES]
+    for n in NAMES:
+        df = df.withColumn(n, F.concat(F.lit(n), F.col("doc_id").cast("string")))
+    out = calls[run](df)
+    assert out.columns[: len(df.columns)] == df.columns or run in ("score_lm", "extract")  # the text is used up
+    rows = out.select("doc_id", *quoted).collect()
+    assert len(rows) == 4 and all(list(r)[1:] == [n + str(r.doc_id) for n in NAMES] for r in rows)
+
+
+def test_line_dedup_of_many_lines_of_one_template(spark):
+    """Distinct lines that share all deletion keys but one word: the first stays, no pairs are made."""
+    n = 100_000
+    lines = spark.range(n, numPartitions=8).select(F.col("id").alias("doc_id"), F.concat(F.lit("User "), F.col("id"), F.lit(" logged in to the console from the office")).alias("text"))
+    got = line_dedup.line_dedup(lines).agg(F.sum("n_removed"), F.min(F.when(F.col("n_removed") == 0, F.col("doc_id")))).first()
+    assert tuple(got) == (n - 1, 0)
