@@ -1,23 +1,29 @@
 """Main text of web pages by composite text density.
 
-For every node of the parsed page: C characters and T tags in its subtree, LC
-characters and LT tags inside links. Its density is the characters per tag,
-adjusted by links (Sun, Song, Liao: DOM based content extraction via text
-density)::
+Every block of the parsed page has C characters and T tags in its subtree, LC
+characters and LT tags of links. Its density is the characters per tag, adjusted
+by links (Sun, Song, Liao: DOM based content extraction via text density)::
 
     C / T * log(C/LC * T/LT) / log(ln(C/(C-LC) * LC + LCb/Cb * C + e))
 
-with LCb and Cb of the body. A node's density sum adds its children's densities.
-The node of the largest sum is content; the lowest density on the path from the
-body to it is the threshold: subtrees that reach it give their node of largest
-sum as content too. What HTML itself marks as no article (menus, forms, scripts,
-...; also by class or id) is taken out before densities are computed, and
-content inside an ``article`` or ``main`` element is widened to that element, so
-that headings and short paragraphs stay.
+with LCb and Cb of the body. Inline formatting counts as text: only blocks and
+links are tags. A block's density sum adds the densities of its child blocks and
+of the text that it holds itself, as if that were a block. The block of the
+largest sum is content. The lowest density on the path from below the body to it is the
+threshold: subtrees that reach it give their block of largest sum as content too,
+with what lies between two such blocks of one parent, and the nearest heading
+before the first. Whether a page has an ``article`` element makes no difference.
+
+Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
+reader comments are taken out before densities are computed, as far as the tag,
+class, id or role says so; a header inside an article or around its h1 stays.
 
 Pages are independent: one narrow stage of Arrow batches, no shuffle. Defined
 results: null or empty html gives the empty text; unclosed and stray tags are
-tolerated; repeated pages are extracted each; nothing is cut off.
+tolerated; very long and very deep pages are read whole; a page without any text
+that stays gives the empty text; repeated pages are extracted each; an empty
+table gives an empty table; extra columns stay, whatever their names, but for
+``text`` and ``n_chars``, which are replaced, and the html, which goes.
 """
 
 from __future__ import annotations
@@ -39,14 +45,14 @@ INLINE = frozenset(
 DROPPED = frozenset(
     "head script style noscript template nav footer aside form button select option input textarea iframe object embed svg canvas audio video dialog menu title math noframes".split()
 )
-#: A whole part of a class, id or role that marks what is no article.
+#: A whole part of a class, id or role that marks what is no article: menus, headers, footers, sidebars, notices, adverts, forms, comments.
 MARKED = re.compile(
-    r"(?:^|[\s_-])(ads?|adverts?|advertisement|advertising|sponsor(?:ed|s)?|promos?|promotion|banner|sidebar|side|aside|menu|nav|navbar|navigation|breadcrumbs?|"
-    r"header|masthead|topbar|footer|comments?|commentlist|disqus|replies|notice|notices|cookies?|cookie-?(?:bar|banner|consent|notice)|consent|gdpr|alert|popup|modal|overlay|newsletter|subscribe|signup|"
-    r"login|search|searchbox|share|sharing|social|related|recommended|recommendations|trending|widgets?|toolbar|pagination|pager|copyright|disclaimer|skip-?links?|"
-    r"complementary|contentinfo)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(menu|nav|navbar|navigation|breadcrumbs?|header|masthead|topbar|footer|contentinfo|sidebar|aside|complementary|"
+    r"notices?|cookies?|consent|gdpr|banner|ads?|adverts?|advertisement|advertising|sponsor(?:ed|s)?|promos?|promotion|"
+    r"form|newsletter|subscribe|signup|login|search|comments?|commentlist|replies)(?:$|[\s_-])",
     re.I,
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
 )
@@ -59,7 +65,7 @@ ATTR = re.compile(r"""(?:^|[\s/])(class|id|role|hidden|aria-hidden|style)(?:\s*=
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "parent", "chars", "tags", "lchars", "ltags", "density", "sum", "out")
+    __slots__ = ("tag", "attrs", "kids", "parent", "chars", "tags", "lchars", "ltags", "own", "block", "density", "sum", "out")
 
     def __init__(self, tag: str, attrs: str, parent: "Node | None"):
         self.tag, self.attrs, self.parent = tag, attrs, parent
@@ -174,13 +180,14 @@ def measure(root: Node) -> list[Node]:
     """Takes marked nodes out and counts upwards, without recursion. Returns the nodes that stay, parents first."""
     order: list[Node] = []
     stack = [(root, False, False)]
-    link_of: dict[int, bool] = {}
+    linked: set[int] = set()
     while stack:
         node, in_article, in_link = stack.pop()
         order.append(node)
         in_article = in_article or node.tag in ("article", "main")
         in_link = in_link or node.tag == "a"
-        link_of[id(node)] = in_link
+        if in_link:
+            linked.add(id(node))
         for k in node.kids:
             if type(k) is Node:
                 if is_marked(k, in_article):
@@ -188,87 +195,86 @@ def measure(root: Node) -> list[Node]:
                 else:
                     stack.append((k, in_article, in_link))
     for node in reversed(order):
-        chars = tags = lchars = ltags = 0
+        total, own = [0, 0, 0, 0], [0, 0, 0, 0]  # characters, tags, characters and tags of links
+        node.block = node.tag not in INLINE and node.tag not in VOID
         for k in node.kids:
             if type(k) is not Node:
-                chars += len(" ".join(k.split()))
-            elif not k.out:
-                chars += k.chars
-                tags += k.tags + 1
-                lchars += k.lchars
-                ltags += k.ltags + (k.tag == "a")
-        if link_of[id(node)]:
-            lchars, ltags = chars, tags
-        node.chars, node.tags, node.lchars, node.ltags = chars, tags, lchars, ltags
+                n = len(" ".join(k.split()))
+                counts, block = (n, 0, n * (id(node) in linked), 0), False
+            elif k.out:
+                continue
+            else:
+                link = k.tag == "a"
+                counts, block = (k.chars, k.tags + (k.block or link), k.lchars, k.ltags + link), k.block
+            for x in (total,) if block else (total, own):
+                for i in range(4):
+                    x[i] += counts[i]
+            node.block = node.block or block
+        node.chars, node.tags, node.lchars, node.ltags = total
+        node.own = own
     return order
 
 
-def densities(order: list[Node], body: Node) -> None:
-    ratio = body.lchars / body.chars if body.chars else 0.0
-    for node in order:
-        c, t = node.chars, max(node.tags, 1)
-        lc, lt = max(node.lchars, 1), max(node.ltags, 1)
-        if not c:
-            node.density = 0.0
-            continue
-        base = math.log(math.log(c / max(c - node.lchars, 1) * node.lchars + ratio * c + math.e) + 1e-9)
-        # the base is ln(...) >= 1; at 1 (no link at all) the plain characters per tag stand
-        node.density = c / t if base < 0.1 else c / t * max(math.log(c / lc * t / lt), 0.0) / base
-    for node in order:
-        node.sum = sum(k.density for k in node.kids if type(k) is Node and not k.out) + sum(len(k.strip()) for k in node.kids if type(k) is not Node)
-
-
-def widened(node: Node) -> Node:
-    """The outermost article around a node, else main, else the node itself."""
-    article = main = None
-    at: Node | None = node
-    while at is not None:
-        if at.tag == "article":
-            article = at
-        elif at.tag == "main":
-            main = at
-        at = at.parent
-    return article or main or node
+def density(chars: int, tags: int, lchars: int, ltags: int, body_links: float) -> float:
+    """Characters per tag, adjusted by links; ``body_links``: the body's share of characters in links."""
+    if not chars:
+        return 0.0
+    base = math.log(math.log(chars / max(chars - lchars, 1) * lchars + body_links * chars + math.e) + 1e-9)
+    # the base is ln(...) >= 1; at 1 (no link at all) the plain characters per tag stand
+    plain = chars / max(tags, 1)
+    return plain if base < 0.1 else plain * max(math.log(chars / max(lchars, 1) * max(tags, 1) / max(ltags, 1)), 0.0) / base
+
+
+def densities(blocks: list[Node], body: Node) -> None:
+    """Density and density sum of every block."""
+    body_links = body.lchars / body.chars if body.chars else 0.0
+    for x in blocks:
+        x.density = density(x.chars, x.tags, x.lchars, x.ltags, body_links)
+    for x in blocks:
+        x.sum = density(*x.own, body_links) + sum(k.density for k in x.kids if type(k) is Node and not k.out and k.block)
 
 
 def content(root: Node) -> list[Node]:
-    """The content nodes in page order; none holds another."""
+    """The content blocks in page order; none holds another."""
     order = measure(root)
     body = next((x for x in order if x.tag == "body"), root)
     if not body.chars:
         body = root
-    densities(order, body)
-    inside = {id(body)}
-    nodes = [body]
+    if not body.chars:
+        return []
+    inside, blocks = {id(body)}, [body]
     for x in order:
-        if x.parent is not None and id(x.parent) in inside and x is not body:
+        if x is not body and x.block and x.parent is not None and id(x.parent) in inside:
             inside.add(id(x))
-            nodes.append(x)
-    best = max(nodes, key=lambda x: x.sum)
-    if not best.chars:
-        return []
+            blocks.append(x)
+    densities(blocks, body)
+    best = max(blocks, key=lambda x: x.sum)
     threshold, at = best.density, best
-    while at is not body and at is not None:
+    while at is not body:  # the body itself averages over whatever else the page holds
         threshold, at = min(threshold, at.density), at.parent
-    threshold = min(threshold, body.density)
-    top: dict[int, Node] = {}  # by node: the node of the largest sum in its subtree
-    for x in reversed(nodes):
+    top: dict[int, Node] = {}  # by block: the block of the largest sum in its subtree
+    for x in reversed(blocks):
         mine = x
         for k in x.kids:
             if type(k) is Node and id(k) in top and top[id(k)].sum > mine.sum:
                 mine = top[id(k)]
         top[id(x)] = mine
-    chosen: dict[int, Node] = {}
+    chosen = {id(best)}
     stack = [body]
     while stack:
         x = stack.pop()
-        if x.density >= threshold and x.chars and (pick := top[id(x)]) is x:
-            w = widened(x)
-            chosen[id(w)] = w
-            continue
-        stack += [k for k in x.kids if type(k) is Node and id(k) in inside]
-    w = widened(best)
-    chosen[id(w)] = w
+        if x.density >= threshold and x.chars and top[id(x)] is x:
+            chosen.add(id(x))
+        else:
+            stack += [k for k in x.kids if type(k) is Node and id(k) in inside]
+    for x in blocks:  # what lies between the content blocks of one parent
+        at = [n for n, k in enumerate(x.kids) if type(k) is Node and id(k) in chosen]
+        for k in x.kids[at[0] : at[-1]] if at else ():
+            if type(k) is Node and not k.out:
+                chosen.add(id(k))
+    first = next(x for x in order if id(x) in chosen)
+    if (heading := heading_before(first, body)) is not None:
+        chosen.add(id(heading))
     kept = []
     for x in order:
         if id(x) in chosen:
@@ -280,6 +286,30 @@ def content(root: Node) -> list[Node]:
     return kept
 
 
+def heading_before(node: Node, body: Node) -> Node | None:
+    """The nearest h1 in front of a node, next to it or to what holds it; a smaller heading only right in front of it."""
+    while node is not body and node.parent is not None:
+        earlier = []
+        for k in node.parent.kids:
+            if k is node:
+                break
+            if type(k) is Node and not k.out:
+                earlier.append(k)
+        if earlier and earlier[-1].tag in HEADINGS:
+            return earlier[-1]
+        stack = earlier
+        found = None
+        while stack and found is None:
+            x = stack.pop()
+            if x.tag == "h1":
+                found = x
+            stack += [k for k in x.kids if type(k) is Node and not k.out]
+        if found is not None:
+            return found
+        node = node.parent
+    return None
+
+
 def text_of(nodes: list[Node]) -> str:
     """Blocks in page order, white space as one space."""
     wanted = {id(x) for x in nodes}

@@ -1,6 +1,7 @@
 """The corpus operators on small tables, against brute force, with the odd cases of real tables."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -394,6 +395,97 @@ def test_main_text(html, text):
     assert html_extract.main_text(html) == text
 
 
+def naive_density(node, body):
+    """Density and density sum of a block, by recursion over its subtree; no text is marked."""
+
+    def count(x, in_link=False):
+        """Characters, tags, characters and tags of links; whether x is or holds a block; the same of what x holds itself."""
+        in_link = in_link or x.tag == "a"
+        total, own, block = [0] * 4, [0] * 4, x.tag not in html_extract.INLINE | html_extract.VOID
+        for k in x.kids:
+            if isinstance(k, str):
+                n = len(" ".join(k.split()))
+                got, inner = [n, 0, n if in_link else 0, 0], False
+            else:
+                got, _, inner = count(k, in_link)
+                got = [got[0], got[1] + (inner or k.tag == "a"), got[2], got[3] + (k.tag == "a")]
+            total = [a + b for a, b in zip(total, got)]
+            own = own if inner else [a + b for a, b in zip(own, got)]
+            block = block or inner
+        return total, own, block
+
+    def of(c, t, lc, lt):
+        if not c:
+            return 0.0
+        t, b = max(t, 1), count(body)[0]
+        base = math.log(math.log(c / max(c - lc, 1) * lc + b[2] / b[0] * c + math.e) + 1e-9)
+        return c / t if base < 0.1 else c / t * max(math.log(c / max(lc, 1) * t / max(lt, 1)), 0.0) / base
+
+    total, own, _ = count(node)
+    kids = [count(k)[0] for k in node.kids if not isinstance(k, str) and count(k)[2]]
+    return of(*total), of(*own) + sum(of(*k) for k in kids)
+
+
+def random_page(rnd, depth=0):
+    if depth > 4 or rnd.random() < 0.3:
+        words = passage(rnd, rnd.randrange(1, 30))
+        return rnd.choice((words, f"<p>{words}</p>", f"<p>{words} <a href=x>{passage(rnd, 3)}</a> <b>x</b></p>", f"<ul><li><a href=1>{passage(rnd, 2)}</a><li>{passage(rnd, 2)}</ul>"))
+    tag = rnd.choice(("div", "section", "div", "span"))
+    return f"<{tag}>" + "".join(random_page(rnd, depth + 1) for _ in range(rnd.randrange(1, 5))) + f"</{tag}>"
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_density_against_recursion(seed):
+    rnd = random.Random(seed)
+    root = html_extract.parse(f"<html><body>{''.join(random_page(rnd) for _ in range(4))}</body></html>")
+    found = html_extract.content(root)
+    body = next(k for k in root.kids[0].kids if k.tag == "body")
+    blocks, stack = [], [body]
+    while stack:
+        x = stack.pop(0)
+        blocks.append(x)
+        stack += [k for k in x.kids if not isinstance(k, str) and k.block]
+    for x in blocks:
+        d, total = naive_density(x, body)
+        assert math.isclose(d, x.density, abs_tol=1e-9) and math.isclose(total, x.sum, abs_tol=1e-9)
+    best = max(blocks, key=lambda x: naive_density(x, body)[1])
+    at = best
+    while at is not None and at not in found:
+        at = at.parent
+    assert at is not None  # the block of the largest sum is content
+
+
+SPREAD_OUT = (
+    "<body><div>" + "".join(f"<div><a href='/{k}'>short item {k}</a></div>" for k in range(30)) + "</div><div><h1>Title</h1>"
+    + "".join(f"<p>Paragraph {k} has many words of running text and only <a href=x>one</a> link in it, as articles have.</p>" for k in range(4)) + "</div></body>"
+)
+
+
+def test_density_decides(monkeypatch):
+    want = " ".join(["Title", *[f"Paragraph {k} has many words of running text and only one link in it, as articles have." for k in range(4)]])
+    assert html_extract.main_text(SPREAD_OUT) == want
+    monkeypatch.setattr(html_extract, "density", lambda *counts: 1.0)
+    assert html_extract.main_text(SPREAD_OUT) != want
+
+
+def test_pages_without_article_elements(spark):
+    """The article element makes no difference; without any mark on menu, advert and footer, no text is lost and most pages stay equal."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    plain = [re.sub(r"<(/?)(article|main)\b", r"<\1div", h) for h in pages]
+    bare = [re.sub(r"<(/?)(nav|footer)\b", r"<\1div", h).replace(' class="ad"', "") for h in plain]
+    want = [html_extract.main_text(h) for h in pages]
+    assert all(want) and [html_extract.main_text(h) for h in plain] == want
+    got = [html_extract.main_text(h) for h in bare]
+    assert all(w in g for w, g in zip(want, got)) and sum(w == g for w, g in zip(want, got)) >= 0.8 * len(pages)
+
+
+def test_long_and_repeated_pages(spark):
+    body = " ".join(f"<p>{passage(random.Random(k), 40)}.</p>" for k in range(5000))
+    df = spark.createDataFrame([(1, "u", f"<body><nav>no</nav>{body}"), (1, "u", "<p>again"), (1, "u", "<p>again")], "page_id long, url string, html string")
+    got = sorted(r.text for r in html_extract.extract(df).collect())
+    assert got[:2] == ["again", "again"] and got[2] == " ".join(passage(random.Random(k), 40) + "." for k in range(5000))
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, "u", "<article>a</article>"), (2, None, None)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     assert sorted(map(tuple, html_extract.extract(df).select("page_id", "text", "n_chars").collect())) == [(1, "a", 1), (2, "", 0)]
