@@ -7,6 +7,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorekeep.operators.lineage import cut, shared_dir
+
+__all__ = ["NOT_ALNUM", "SPACE", "UPPER", "ascii_lower", "cut", "let", "partitions", "quoted", "set_aside", "shared_dir", "shared_path", "split_words", "table"]
+
 #: ASCII white space: the separators of plain words.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Everything in ASCII that is neither a digit nor a lower-case letter.
@@ -46,32 +50,10 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where that is unset, a local session (tests) gets a folder under its warehouse;
-    on a cluster such a folder might be one machine's own, so it is refused.
-    """
-    own = spark.conf.get("spark.checkpoint.dir", None)
-    if not own:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    return own
-
-
 def shared_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder; it survives lost executors."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
