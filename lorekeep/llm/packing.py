@@ -12,9 +12,11 @@ same rows again. A row of the result is a row of a matrix: ids (little-endian
 int32, padded), cumulative segment lengths, positions that start anew with each
 segment, and where each segment comes from.
 
-Defined results: null and empty texts have no ids and no segment; repeated rows
-are packed each (``doc_nos`` tells them apart); an empty table gives no rows;
-other columns of documents are ignored.
+Defined results: null and empty texts have no ids and no segment; very long texts
+are cut into pieces of ``length`` ids, none lost; repeated rows are packed each
+(``doc_nos`` tells them apart); rows without a doc_id are packed under a null one,
+dealt by their text; ids may be of any type; an empty table gives no rows; other
+columns of documents are not read.
 """
 
 from __future__ import annotations
@@ -95,9 +97,10 @@ def _tokenizer(path: str, pattern: str):
     return lambda text: enc.encode_to_numpy(text, disallowed_special=())
 
 
+#: Columns of a row; {0} is the type of doc_id.
 SCHEMA = (
     "shard long, row long, n_tokens long, ids binary, cu_seqlens array<int>, positions binary, "
-    "doc_ids array<long>, doc_nos array<long>, offsets array<long>"
+    "doc_ids array<{0}>, doc_nos array<long>, offsets array<long>"
 )
 
 
@@ -108,15 +111,16 @@ def pack(docs: DataFrame, length: int = LENGTH, pad: int = PAD, path: str | None
     if path is None:
         path, pattern = vocabulary()
     shards = shards or partitions(docs.sparkSession)
-    shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard")
+    shard = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(shards)).alias("shard")
+    schema = SCHEMA.format(docs.schema["doc_id"].dataType.simpleString())
     dealt = (
-        docs.select(shard, F.col("doc_id").cast("long").alias("doc_id"), "text")
+        docs.select(shard, "doc_id", "text")
         .where("text is not null and text != ''")
         .repartition(shards, "shard")
         .sortWithinPartitions("shard", "doc_id", F.xxhash64("text"))
     )
 
-    def matrices(shard, first_row, rows):
+    def matrices(shard, first_row, rows, id_type):
         """One batch of rows of pieces: (doc_id, doc_no, offset, ids)."""
         cols: list[list] = [[] for _ in range(9)]
         for n, own in enumerate(rows):
@@ -132,24 +136,25 @@ def pack(docs: DataFrame, length: int = LENGTH, pad: int = PAD, path: str | None
             for c, v in zip(cols, values, strict=True):
                 c.append(v)
         names = [x.split()[0] for x in SCHEMA.split(", ")]
-        kinds = {"ids": pa.binary(), "positions": pa.binary(), "cu_seqlens": pa.list_(pa.int32()), **{c: pa.list_(pa.int64()) for c in ("doc_ids", "doc_nos", "offsets")}}
+        kinds = {"ids": pa.binary(), "positions": pa.binary(), "cu_seqlens": pa.list_(pa.int32()), **{c: pa.list_(pa.int64()) for c in ("doc_nos", "offsets")}, "doc_ids": pa.list_(id_type)}
         return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.int64())) for n, c in zip(names, cols, strict=True)], names)
 
-    def emit(shard, first_row, held):
+    def emit(shard, first_row, held, id_type):
         """Packs what is held: (doc_id, doc_no, ids)."""
         pieces = [(d, no, o, ids[o : o + length]) for d, no, ids in held for o in range(0, len(ids), length)]
         rows = best_fit_decreasing([len(p[3]) for p in pieces], length)
         for i in range(0, len(rows), BATCH_ROWS):
-            yield matrices(shard, first_row + i, [[pieces[k] for k in row] for row in rows[i : i + BATCH_ROWS]])
+            yield matrices(shard, first_row + i, [[pieces[k] for k in row] for row in rows[i : i + BATCH_ROWS]], id_type)
         return len(rows)
 
     def run(batches):
         encode = _tokenizer(path, pattern)
-        at, held, size, row, no = None, [], 0, 0, 0
+        at, held, size, row, no, id_type = None, [], 0, 0, 0, None
         for b in batches:
+            id_type = b.column("doc_id").type
             for s, d, text in zip(b.column("shard").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 if held and (s != at or size >= HOLD_IDS):
-                    row += yield from emit(at, row, held)
+                    row += yield from emit(at, row, held, id_type)
                     held, size = [], 0
                 if s != at:
                     at, row, no = s, 0, 0
@@ -158,9 +163,9 @@ def pack(docs: DataFrame, length: int = LENGTH, pad: int = PAD, path: str | None
                 size += len(ids)
                 no += 1
         if held:
-            yield from emit(at, row, held)
+            yield from emit(at, row, held, id_type)
 
-    return dealt.mapInArrow(run, SCHEMA)
+    return dealt.mapInArrow(run, schema)
 
 
 def write(packed: DataFrame, path: str) -> None:
@@ -180,10 +185,11 @@ def unpack(packed: DataFrame) -> DataFrame:
                 for k in range(len(d)):
                     for c, v in zip(out, (s, n[k], d[k], o[k], flat[cu[k] : cu[k + 1]]), strict=True):
                         c.append(v)
-            kinds = [pa.int64()] * 4 + [pa.list_(pa.int32())]
+            kinds = [pa.int64(), pa.int64(), b.column("doc_ids").type.value_type, pa.int64(), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["shard", "doc_no", "doc_id", "offset", "ids"])
 
-    pieces = packed.select("shard", "ids", "cu_seqlens", "doc_ids", "doc_nos", "offsets").mapInArrow(run, "shard long, doc_no long, doc_id long, offset long, ids array<int>")
+    id_type = packed.schema["doc_ids"].dataType.elementType.simpleString()
+    pieces = packed.select("shard", "ids", "cu_seqlens", "doc_ids", "doc_nos", "offsets").mapInArrow(run, f"shard long, doc_no long, doc_id {id_type}, offset long, ids array<int>")
     whole = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("offset", "ids"))), lambda x: x["ids"]))
     return pieces.groupBy("shard", "doc_no", "doc_id").agg(whole.alias("ids"))
 
