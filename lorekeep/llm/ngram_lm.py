@@ -25,8 +25,9 @@ same files again.
 
 Defined results: null and empty texts have the end token alone; the empty
 training set gives the uniform model; a null doc_id counts as the empty string
-in the split; repeated rows count and are scored each; extra columns stay unless
-they clash with the added names.
+in the split; very long texts are read whole; repeated rows count and are scored
+each; an empty table gives an empty table; extra columns, whatever their names,
+stay unless they clash with the added names.
 """
 
 from __future__ import annotations
@@ -46,8 +47,10 @@ U = np.uint64
 END, BEGIN = U(0xE5A1D3F0B6C79284), U(0x1B7C93A5F2D8E460)
 #: Tokens that are counted, and bytes of text that are scored, at once.
 COUNT_TOKENS, SCORE_BYTES = 2_500_000, 3_000_000
-#: Order of the query's model.
+#: Order of a model, and of the query's.
 ORDER = 3
+#: Characters of training text for each part of the hash space, at most: what one task merges.
+PART_CHARS = 30_000_000
 
 
 def part_of(h: np.ndarray, parts: int) -> np.ndarray:
@@ -162,16 +165,18 @@ class Model:
     d_gram: tuple[tuple[float, float, float], ...]  # by level, from 2 on
     d_word: tuple[float, float, float]
     g_word: float  # weight of the uniform distribution in p1
+    written: frozenset[tuple[str, int]]  # kinds of arrays ("u", "w", or a level) and parts that have entries
 
 
-def train(texts: DataFrame, order: int = 2) -> Model:
+def train(texts: DataFrame, order: int = ORDER) -> Model:
     """Counts ``text`` of all rows and writes the model to the shared folder."""
     import pyarrow as pa
 
     if order < 2:
         raise ValueError("order is less than 2")
     spark = texts.sparkSession
-    parts = partitions(spark)
+    chars = texts.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()[0]
+    parts = max(partitions(spark), -(-chars // PART_CHARS))
     uri = shared_path(spark, "ngram-lm")
 
     def count(batches):
@@ -245,43 +250,44 @@ def train(texts: DataFrame, order: int = 2) -> Model:
         word, n = _summed(word, _unpack(table, 2, np.uint32).astype(np.int64))
         store.write(f"w{p}-key", word)
         store.write(f"w{p}-n", n)
-        return pa.table({"n": pa.array([len(n)], pa.int64()), **{f"n{k + 1}": pa.array([c], pa.int64()) for k, c in enumerate(counts_of_counts(n))}})
+        return pa.table({"part": pa.array([p], pa.int64()), "n": pa.array([len(n)], pa.int64()), **{f"n{k + 1}": pa.array([c], pa.int64()) for k, c in enumerate(counts_of_counts(n))}})
 
     merged = cut(texts.select("text").mapInArrow(count, _SCHEMA).groupBy("kind", "part").applyInArrow(merge, _SCHEMA))
-    sums, of_grams = np.zeros(2, np.int64), []
+    sums, of_grams, written = np.zeros(2, np.int64), [], set()
     for level in range(order, 1, -1):
         if level < order:
             merged = cut(merged.where(F.col("kind") == str(level)).groupBy("kind", "part").applyInArrow(merge, _SCHEMA))
         own = np.zeros(5, np.int64)
-        for r in merged.where("kind in ('u', 's')").select("kind", "a0").collect():  # two rows of numbers a part
+        for r in merged.where("kind in ('u', 's')").select("kind", "part", "a0").collect():  # two rows of numbers a part
+            written.add((r.kind if r.kind == "u" else str(level), r.part))
             if r.kind == "u":
                 sums = sums + np.frombuffer(r.a0, np.int64)
             else:
                 own = own + np.frombuffer(r.a0, np.int64)
         of_grams.insert(0, own.tolist())
-    words = merged.where("kind = 'c'").groupBy("part").applyInArrow(merge_words, "n long, n1 long, n2 long, n3 long, n4 long")
-    c = words.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("n", "n1", "n2", "n3", "n4")]).first()
+    words = merged.where("kind = 'c'").groupBy("part").applyInArrow(merge_words, "part long, n long, n1 long, n2 long, n3 long, n4 long").collect()  # a row of numbers a part
+    written |= {("w", r.part) for r in words}
+    c = [sum(r[k] for r in words) for k in range(1, 6)]
     (types, tokens), pairs = sums.tolist(), of_grams[0][0]
     d = discounts(*c[1:])
     rest = c[0] - c[1] - c[2]
     g = (d[0] * c[1] + d[1] * c[2] + d[2] * rest) / pairs if pairs else 1.0
-    return Model(uri, order, parts, tokens, types, pairs, tuple(discounts(*x[1:]) for x in of_grams), d, g)
+    return Model(uri, order, parts, tokens, types, pairs, tuple(discounts(*x[1:]) for x in of_grams), d, g, frozenset(written))
 
 
 class Scorer:
-    """A worker's view of the model: maps arrays when a part is first asked for."""
+    """A worker's view of the model: maps arrays when a part is first asked for; one that was written and isn't there fails the task."""
 
     def __init__(self, model: Model):
         self.m = model
         self.store = SharedArrays(model.uri)
         self.maps: dict[str, np.ndarray] = {}
 
-    def array(self, name: str):
+    def array(self, kind: str, part: int, suffix: str):
+        name = f"{kind}{part}-{suffix}"
         if name not in self.maps:
-            try:
-                self.maps[name] = self.store.read(name)
-            except FileNotFoundError:  # a part without entries
-                self.maps[name] = np.empty(0, np.uint64)
+            there = (kind.strip("bv-") or kind, part) in self.m.written
+            self.maps[name] = self.store.read(name) if there else np.empty(0, np.uint64)
         return self.maps[name]
 
     def find(self, kind: str, keys: np.ndarray, part: np.ndarray, width: int = 1, suffix: str = "n") -> np.ndarray:
@@ -290,12 +296,12 @@ class Scorer:
         bounds = np.searchsorted(part, np.arange(self.m.parts + 1))
         for p in np.flatnonzero(np.diff(bounds)).tolist():
             a, b = bounds[p], bounds[p + 1]
-            have = self.array(f"{kind}{p}-{'largekey' if suffix == 'large' else 'key'}")
+            have = self.array(kind, p, "largekey" if suffix == "large" else "key")
             if not len(have):
                 continue
             at = np.minimum(np.searchsorted(have, keys[a:b]), len(have) - 1)
             hit = have[at] == keys[a:b]
-            out[a:b][hit] = self.array(f"{kind}{p}-{suffix}")[at[hit]].reshape(-1, width)
+            out[a:b][hit] = self.array(kind, p, suffix)[at[hit]].reshape(-1, width)
         return out
 
     def score(self, texts: list[str | None]):
