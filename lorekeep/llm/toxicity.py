@@ -14,9 +14,11 @@ alone; whole texts are used. Weights go to the workers; scoring is one narrow
 stage over all documents, with a bounded memory of words.
 
 Defined results: null and empty texts are one empty sentence and get the bias
-alone; rows without a label teach nothing, repeated labels of a document count
-once (toxic if any says so); without labels of both classes every score is 0.
-Extra columns stay unless they clash with the added names.
+alone; very long texts are read whole; rows without a label teach nothing,
+repeated labels of a document count once (toxic if any says so); of repeated rows
+of a document the least text teaches, and each row is scored; without labels of
+both classes every score is 0; an empty table gives an empty table. Extra columns
+stay, whatever their names, unless they clash with the added names.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ ROUNDS, RATE, DECAY = 120, 0.25, 2e-4
 MEMO_WORDS = 600_000
 #: A sentence from this probability on is named as offending.
 OFFENDING = 0.5
+#: The bias of a model that has seen one class alone: nothing is toxic.
+NEVER = float("-inf")
 TOKENS = re.compile(r"[^\W_]+|[.!?\n]")
 STOPS = frozenset(".!?\n")
 
@@ -61,7 +65,7 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = ROUNDS) -> tup
     """Weights of features, and the bias."""
     y = np.array(labels, np.float64)
     if not (y == 0).any() or not (y == 1).any():
-        return {}, -50.0
+        return {}, NEVER
     bags = [sentences(t) for t in texts]
     df: Counter[str] = Counter()
     for bag in bags:
@@ -127,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, sizes: dict[int, int] = SAMPLE) ->
     """Fits the classifier in one task on the sample; returns weights and bias."""
     import pyarrow as pa
 
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample(labels, sizes)), "doc_id").dropDuplicates(["doc_id"])
+    chosen = docs.select("doc_id", "text").join(F.broadcast(sample(labels, sizes)), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
     def run(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
@@ -137,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, sizes: dict[int, int] = SAMPLE) ->
 
     rows = chosen.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(run, "f string, w double").collect()  # the model: features of the sample
     weights = {r.f: r.w for r in rows}
-    bias = weights.pop(None, -50.0)
+    bias = weights.pop(None, NEVER)
     return weights, bias
 
 
