@@ -479,13 +479,14 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     links = cut(cluster_links(docs, cut(members), width, bands, count))
     found = components(links.where("v is not null").select("u", "v"))
 
-    of = of.join(found, of.rep == found.node, "left").select("doc_id", "rep", F.coalesce("component", "rep").alias("component_id"))
+    by_class = size.join(found, size.rep == found.node, "left").select("rep", "copies", F.coalesce("component", "rep").alias("component_id"))
     columns = ["doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")]
     if count:
         linked = links.where("n is not null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
-        counted = cut(size.join(linked, "rep", "left").select("rep", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("links")))
-        of = of.join(counted, "rep")
+        by_class = by_class.join(linked, "rep", "left").withColumn("links", F.col("copies") - 1 + F.coalesce("n", F.lit(0)))
         columns.append(F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    # a row by class, written first: Spark may split a large class in the one join that its documents need
+    of = of.select("doc_id", "rep").join(cut(by_class), "rep")
     return hashed.select("doc_id", "n_shingles").join(of, "doc_id", "left").select(*columns)
 
 
