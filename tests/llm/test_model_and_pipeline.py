@@ -56,7 +56,7 @@ def test_ngram_lm(spark, size):
     rnd = random.Random(size)
     train = [*ODD[:8], *[passage(rnd, rnd.randrange(40), 50) for _ in range(50)], "a b " * 400][:size]
     texts = [*ODD, "a b a b", "never seen words", *[passage(rnd, rnd.randrange(40), 60) for _ in range(20)]]
-    model = ngram_lm.train(docs_of(spark, train).repartition(3))
+    model = ngram_lm.train(docs_of(spark, train).repartition(3), order=2)
     want, p, words = plain_model(train)
     df = docs_of(spark, texts).withColumn("score", F.lit("clash")).withColumn("x", F.lit(1))
     for r in ngram_lm.score(df.unionByName(df), model).collect():
@@ -117,12 +117,29 @@ def test_query_models_trigrams(spark, tmp_path):
 
 def test_large_counts_are_kept(spark):
     texts = ["x y " * 1000, "x z"]
-    model = ngram_lm.train(docs_of(spark, texts))
+    model = ngram_lm.train(docs_of(spark, texts), order=2)
     want, _, _ = plain_model(texts)
     got = ngram_lm.score(docs_of(spark, texts), model).collect()
     assert all(math.isclose(r.score, want(texts[r.doc_id])[4], rel_tol=1e-9) for r in got)
 
 
+def test_parts_follow_the_text_and_a_lost_array_fails(spark, monkeypatch):
+    from lorekeep.llm.shared_arrays import SharedArrays
+
+    monkeypatch.setattr(ngram_lm, "PART_CHARS", 500)
+    rnd = random.Random(12)
+    texts = [passage(rnd, 60, 300) for _ in range(40)]
+    model = ngram_lm.train(docs_of(spark, texts))
+    assert model.parts > 20 and model.order == ngram_lm.ORDER == 3
+    want, _, _ = plain_scores(texts, texts, 3)
+    scorer = ngram_lm.Scorer(model)
+    assert all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(scorer.score(texts)[3], want))
+    level, part = next((k, p) for k, p in sorted(model.written) if k == "3")
+    os.remove(f"{SharedArrays(model.uri).local}/b{level}-{part}-key.npy")
+    with pytest.raises(FileNotFoundError):
+        ngram_lm.Scorer(model).score(texts)
+
+
 def test_fold(spark):
     df = spark.createDataFrame([(i,) for i in (0, 1, 17, 123456789)] + [(None,)], "doc_id long")
     got = {r.doc_id: r.f for r in df.select("doc_id", ngram_lm.fold(F.col("doc_id"), 7).alias("f")).collect()}

@@ -284,6 +284,53 @@ def test_packing_query_gives_whole_matrices(spark, tmp_path):
     assert got == {r.doc_id: tuple(r.ids) for r in byte_bpe.encode(df).collect() if r.n_tokens}
 
 
+def test_written_matrices(spark, tmp_path):
+    """What ``write`` leaves, read without Spark: every id in its place, positions that start anew, nothing lost; ids of any type."""
+    import numpy as np
+    import pyarrow.dataset as ds
+
+    rnd = random.Random(81)
+    enc, _ = reference()
+    texts = [*ODD, *[passage(rnd, rnd.randrange(1, 400)) for _ in range(30)], "no id"]
+    df = docs_of(spark, texts).withColumn("doc_id", F.when(F.col("text") == "no id", None).otherwise(F.concat(F.lit("d"), "doc_id")))
+    packing.write(packing.pack(df, length=128, shards=3), f"{tmp_path}/m")
+    pieces, widths = {}, set()
+    rows = ds.dataset(f"{tmp_path}/m", partitioning="hive").to_table().to_pylist()
+    for r in rows:
+        ids, pos = np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["positions"], "<i4")
+        widths.add((len(ids), len(pos)))
+        for k, (d, n, o) in enumerate(zip(r["doc_ids"], r["doc_nos"], r["offsets"])):
+            a, b = r["cu_seqlens"][k], r["cu_seqlens"][k + 1]
+            pieces.setdefault((d, r["shard"], n), {})[o] = ids[a:b].tolist()
+            assert pos[a:b].tolist() == list(range(b - a))
+    got = {d: [i for o in sorted(p) for i in p[o]] for (d, _, _), p in pieces.items()}
+    assert widths == {(128, 128)}
+    assert got == {(None if t == "no id" else f"d{k}"): enc.encode_ordinary(t) for k, t in enumerate(texts) if t}
+    # brute force: the rows themselves, shard by shard
+    for s in {r["shard"] for r in rows}:
+        own = sorted((r for r in rows if r["shard"] == s), key=lambda r: r["row"])
+        sizes = {}
+        for r in own:
+            for k, piece in enumerate(zip(r["doc_nos"], r["offsets"])):
+                sizes[piece] = r["cu_seqlens"][k + 1] - r["cu_seqlens"][k]
+        free, want = [], []
+        for piece in sorted(sizes, key=lambda p: (-sizes[p], p)):
+            fits = [(c, -k) for k, c in enumerate(free) if c >= sizes[piece]]
+            if fits:
+                least = min(c for c, _ in fits)
+                k = max((age[j], j) for j, c in enumerate(free) if c == least)[1]
+            else:
+                k = len(free)
+                free.append(128)
+                want.append([])
+                if k == 0:
+                    age = {}
+            free[k] -= sizes[piece]
+            age[k] = len(sizes) + sum(map(len, want))  # of equal capacities the latest
+            want[k].append(piece)
+        assert [list(zip(r["doc_nos"], r["offsets"])) for r in own] == want
+
+
 # ---- URL filter
 
 
@@ -516,7 +563,34 @@ def test_toxicity(spark):
             assert any("grumbo" in s or "flarn" in s for s in got[k].offending)
     assert got[600].score == got[601].score < 0.5
     nothing = toxicity.train(df, labels.where("toxic = 0"))
-    assert all(r.predicted == 0 for r in toxicity.score(df, nothing).collect())
+    assert all((r.predicted, r.score) == (0, 0.0) for r in toxicity.score(df, nothing).collect())
+    assert toxicity.train(df.where("doc_id is null"), labels)[0] == {} and toxicity.score(empty(spark), model).count() == 0
+    twice = df.where("doc_id = 3")
+    other = twice.withColumn("text", F.lit("zzz other text"))
+    assert toxicity.train(df.unionByName(other).repartition(7), labels) == toxicity.train(other.unionByName(df), labels)
+
+
+def test_toxicity_against_plain_scores(spark):
+    """Noisy-or over sentences, written out; long texts, repeated rows, odd texts."""
+    rnd = random.Random(90)
+    weights = {f"w{k}": rnd.uniform(-2, 2) for k in range(0, 200, 3)} | {"^w1": 0.3, "one": 4.0}
+    texts = [*ODD, *[". ".join(passage(rnd, rnd.randrange(1, 9), 200) for _ in range(rnd.randrange(1, 9))) for _ in range(40)], passage(rnd, 50_000), "W7! w9?\nw10"]
+
+    def plain(text):
+        none = 1.0
+        for s in re.split(r"[.!?\n]", (text or "").lower()):
+            words = re.findall(r"[^\W_]+", s)
+            if words or not re.search(r"[^\W_]", text or ""):
+                z = -3.0 + sum(weights.get(w, 0.0) + sum(weights.get("^" + w[:k], 0.0) for k in range(3, min(len(w), 6) + 1)) for w in words)
+                none *= 1 - 1 / (1 + math.exp(-z)) if z > -700 else 1.0
+            if not re.search(r"[^\W_]", text or ""):
+                break
+        return 1 - none
+
+    df = docs_of(spark, texts)
+    for r in toxicity.score(df.unionByName(df), (weights, -3.0)).collect():
+        assert math.isclose(r.score, plain(texts[r.doc_id]), abs_tol=1e-9), texts[r.doc_id]
+        assert r.predicted == int(r.score >= 0.7)
 
 
 # ---- extra columns
