@@ -43,12 +43,26 @@ class MemoryStore:
     def remember_many(self, inputs: DataFrame) -> list[dict]:
         """inputs with ``seq``; all or none. Returns the report in order."""
         value, now = self._now()
-        valid = upsert.checked(inputs)
-        after, report = upsert.remember(self.table.current(), valid, now, value)
-        rows = [r.asDict() for r in report.orderBy("seq").collect()]  # one row by input of the call
-        self.table.commit(after, new_log=True)
+        m = self.table.manifest()
+        with upsert.remember(self.table.current(m), upsert.checked(inputs), now, value) as (after, report):
+            rows = [r.asDict() for r in report.orderBy("seq").collect()]  # one row by input of the call
+            self.table.commit(after, m, new_log=True)
         return rows
 
+    def remember_all(self, inputs: DataFrame) -> dict[str, int]:
+        """``remember_many`` for tables of inputs: the report is counted, not collected."""
+        value, now = self._now()
+        m = self.table.manifest()
+        with upsert.remember(self.table.current(m), upsert.checked(inputs), now, value) as (after, report):
+            counts = {r.action: r.n for r in upsert.action_counts(report).collect()}
+            self.table.commit(after, m, new_log=True)
+        return counts
+
+    def _change(self, act) -> None:
+        """Commits ``act(memories, now)``, made from one manifest."""
+        m = self.table.manifest()
+        self.table.commit(act(self.table.current(m), self._now()[1]), m, new_log=True)
+
     def remember(self, **fields) -> dict:
         row = [tuple(fields.get(n) for n in INPUT.fieldNames())]
         return self.remember_many(self.spark.createDataFrame(row, INPUT).withColumn("seq", F.lit(0).cast("long")))[0]
@@ -65,9 +79,12 @@ class MemoryStore:
         return {"stored": len(report), "created": made, "updated": len(report) - made, "items": report}
 
     def update(self, id: str, **fields) -> dict:
+        fields = {k: v for k, v in fields.items() if v is not None}
+        if not fields:
+            raise ValueError("update needs at least one field")
         self._need(id)
         row = self.spark.createDataFrame([(id, *fields.values())], T.StructType([T.StructField("id", T.StringType()), *[INPUT[k] for k in fields]]))
-        self.table.commit(lifecycle.update_memories(self.table.current(), row, self._now()[1]), new_log=True)
+        self._change(lambda before, now: lifecycle.update_memories(before, row, now))
         return self.get(id)
 
     def _need(self, *ids: str) -> None:
@@ -78,7 +95,7 @@ class MemoryStore:
     def delete(self, id: str) -> bool:
         there = self.get(id) is not None
         if there:
-            self.table.commit(lifecycle.delete_memories(self.table.current(), self._ids(id)), new_log=True)
+            self._change(lambda before, now: lifecycle.delete_memories(before, self._ids(id)))
         return there
 
     def archive(self, id: str) -> bool:
@@ -90,7 +107,7 @@ class MemoryStore:
     def _flag(self, id, act) -> bool:
         there = self.get(id) is not None
         if there:
-            self.table.commit(act(self.table.current(), self._ids(id), self._now()[1]), new_log=True)
+            self._change(lambda before, now: act(before, self._ids(id), now))
         return there
 
     def revise(self, new_id: str, old_id: str) -> dict:
@@ -98,22 +115,24 @@ class MemoryStore:
             raise ValueError("a memory cannot supersede itself")
         self._need(new_id, old_id)
         pairs = self.spark.createDataFrame([(old_id, new_id)], "old_id string, new_id string")
-        self.table.commit(lifecycle.supersede(self.table.current(), pairs, self._now()[1]), new_log=True)
+        self._change(lambda before, now: lifecycle.supersede(before, pairs, now))
         return self.get(old_id)
 
     def decay(self, dry_run: bool = True, **limits) -> DataFrame:
         """What fades (id, title, kind, retention, age_days); archived unless it is a dry run."""
         now = self._now()[1]
-        before = self.table.current()  # of one snapshot, whatever is committed later
+        m = self.table.manifest()
+        before = self.table.current(m)  # of one snapshot, whatever is committed later
         fading = lifecycle.decay_candidates(before, now, **limits).where("fades").select("id", "title", "kind", "retention", "age_days")
         if not dry_run:
-            self.table.commit(lifecycle.archive(before, fading.select("id"), now), new_log=True)
+            self.table.commit(lifecycle.archive(before, fading.select("id"), now), m, new_log=True)
         return fading
 
     def import_file(self, path: str, format: str | None = None) -> dict:
-        after, report = upsert.import_memories(self.table.current(), files.read_import(self.spark, path, format), self._now()[1])
-        counts = {r.action: r.n for r in upsert.action_counts(report).collect()}
-        self.table.commit(after, new_log=True)
+        m = self.table.manifest()
+        with upsert.import_memories(self.table.current(m), files.read_import(self.spark, path, format), self._now()[1]) as (after, report):
+            counts = {r.action: r.n for r in upsert.action_counts(report).collect()}
+            self.table.commit(after, m, new_log=True)
         return {"imported": sum(counts.values()), "created": counts.get("created", 0), "updated": counts.get("updated", 0)}
 
     # reads
@@ -143,7 +162,7 @@ class MemoryStore:
         return self._packed(packs, results)
 
     def wake_up(self, budget: int = 800, limit: int = 6, scope=None, threshold: float = X.NEAR_DUPLICATE) -> dict:
-        packs, results = pack.wake_up_packs(self._query("", scope, None, ()).select("qid", "scope"), self.table.current(), self._now()[1], budget, limit, threshold, self.table.index())
+        packs, results = pack.wake_up_packs(self._query("", scope, None, ()).select("qid", "scope"), self.table.current(), self._now()[1], budget, limit, threshold)
         return self._packed(packs, results)
 
     def _packed(self, packs: DataFrame, results: DataFrame) -> dict:
@@ -161,7 +180,7 @@ class MemoryStore:
         if not fix or before["healthy"]:
             return {**before, "repaired": 0}
         bad = verify.drift(self.table.memories()).count()
-        self.table.commit(verify.repair(self.table.current()), new_log=True)
+        self._change(lambda memories, now: verify.repair(memories))
         return {**verify.verify(self.table.memories(), self.table.index()).first().asDict(), "repaired": bad}
 
     def export_jsonl(self, path: str, **wanted) -> None:

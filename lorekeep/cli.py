@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 
 from lorekeep import lexicon as X
 from lorekeep.api import MemoryStore
+from lorekeep.plans.table import ConflictError
 
 KIND = ("--kind", {"choices": X.KINDS})
 SCOPE, TAGS = ("--scope", {}), ("--tags", {"nargs": "*"})
@@ -31,7 +32,7 @@ COMMANDS = {
         lambda s, a: s.remember(**_given(a, "scope", "kind", "title", "content", "summary", "tags", "source", "importance", "certainty")),
     ),
     "ingest": (
-        [("--scope", {"required": True}), ("--text", {}), ("--file", {}), ("--source", {}), KIND, TAGS, ("--max-items", {"type": int, "default": X.SEGMENTS}), *NUMBERS, ("--dry-run", {"action": "store_true"})],
+        [SCOPE, ("--text", {}), ("--file", {}), ("--source", {}), KIND, TAGS, ("--max-items", {"type": int, "default": X.SEGMENTS}), *NUMBERS, ("--dry-run", {"action": "store_true"}), ("--interactive", {"action": "store_true"})],
         lambda s, a: _ingest(s, a),
     ),
     "search": ([("query", {}), SCOPE, KIND, TAGS, _limit(5)], lambda s, a: s.search(a.query, a.limit, a.scope, a.kind, a.tags or ())),
@@ -71,7 +72,45 @@ def _given(a, *names) -> dict:
     return {n: v for n in names if (v := getattr(a, n)) is not None}
 
 
+def _asked(what: str, given: str | None) -> str:
+    return input(f"{what} [{given}]: " if given else f"{what}: ").strip() or given or ""
+
+
+def _typed() -> str:
+    """Lines up to the end of the input."""
+    print("Text (end with Ctrl-D):", file=sys.stderr)
+    lines = []
+    try:
+        while True:
+            lines.append(input())
+    except EOFError:
+        return "\n".join(lines)
+
+
+def _ingest_by_dialogue(store, a):
+    """Asks for what is missing, shows what would be stored, and stores it once that is confirmed."""
+    if a.text is not None or a.file is not None or a.dry_run:
+        raise ValueError("--interactive goes with none of --text, --file and --dry-run")
+    if not (scope := _asked("Scope", a.scope)):
+        raise ValueError("scope is required")
+    source, tags = _asked("Source", a.source), _asked("Tags", " ".join(a.tags or ())).split()
+    if not (text := _typed()).strip():
+        raise ValueError("no text was given")
+    given = (text, scope, source, tags, a.max_items, a.kind, a.importance, a.certainty)
+    found = store.preview_ingest(*given)
+    if not found:
+        raise ValueError("the text holds nothing to remember")
+    print(show(found, False))
+    if not input(f"Store these {len(found)}? [y/N]: ").strip().lower().startswith("y"):
+        return "Nothing was stored."
+    return store.ingest(*given)
+
+
 def _ingest(store, a):
+    if a.interactive:
+        return _ingest_by_dialogue(store, a)
+    if not a.scope:
+        raise ValueError("give a --scope")
     if (a.text is None) == (a.file is None):
         raise ValueError("give either --text or --file")
     text, source = a.text, a.source or ""
@@ -159,7 +198,29 @@ def show(result, as_json: bool) -> str:
     if isinstance(result, dict) and "rendered" in result:
         return result["rendered"]
     rows = result if isinstance(result, list) else [result]
-    return "\n".join("\n".join(f"{k}: {v}" for k, v in r.items()) if isinstance(r, dict) else str(r) for r in rows) or "nothing found"
+    return "\n".join(_line(r) for r in rows) or "nothing found"
+
+
+def _line(r) -> str:
+    """A result to read: memories and candidates as a line or two, others field by field."""
+    if not isinstance(r, dict):
+        return str(r)
+    if isinstance(r.get("items"), list) and "stored" in r:
+        return "\n".join([f"{r['stored']} stored: {r['created']} new, {r['updated']} merged", *map(_line, r["items"])])
+    if {"stems_mismatches", "healthy"} <= r.keys():
+        wrong = ", ".join(f"{r[k]} {k.replace('_', ' ')}" for k in ("stems_mismatches", "fingerprint_mismatches", "index_mismatches"))
+        return f"{'healthy' if r['healthy'] else 'not healthy'}, version {r['version']}: {wrong}" + (f", {r['repaired']} repaired" if r.get("repaired") else "")
+    if "action" in r:
+        return f"{r['action']}: [{r['kind']}/{r['scope']}] {r['title']} ({r['id']})"
+    if {"retention", "age_days"} <= r.keys():
+        return f"[{r['kind']}] {r['title']} ({r['id']}): retention {r['retention']}, {r['age_days']:.0f} days old"
+    if {"kind", "title"} <= r.keys():
+        score = f"{r['score']:.4f} " if "score" in r else ""
+        state = " (archived)" if r.get("archived_at") else " (superseded)" if r.get("superseded_by") else ""
+        head = f"{score}[{r['kind']}{'/' + r['scope'] if r.get('scope') else ''}] {r['title']}{state}" + (f" ({r['id']})" if r.get("id") else "")
+        text = r.get("excerpt") or r.get("summary")
+        return f"{head}\n    {text}" if text else head
+    return "\n".join(f"{k}: {v}" for k, v in r.items())
 
 
 def main(argv=None, spark: SparkSession | None = None) -> int:
@@ -176,7 +237,7 @@ def main(argv=None, spark: SparkSession | None = None) -> int:
                 serve(store, sys.stdin, sys.stdout)
                 return 0
             result = COMMANDS[a.command][1](store, a)
-    except (NotFound, KeyError, ValueError) as e:
+    except (NotFound, KeyError, ValueError, ConflictError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
     print(show(result, a.json))

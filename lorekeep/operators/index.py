@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lorekeep import lexicon as X
 from lorekeep.functions.text import index_tokens
+from lorekeep.operators.lineage import cut
 
 
 @dataclass(frozen=True)
@@ -20,6 +21,11 @@ class Index:
     terms: DataFrame
     stats: DataFrame
 
+    def written(self) -> "Index":
+        """The index over postings that are computed once, in the shared folder."""
+        postings = cut(self.postings)
+        return Index(postings, vocabulary(postings), cut(self.stats))
+
     def persist(self) -> "Index":
         postings = self.postings.persist()
         return Index(postings, vocabulary(postings).persist(), self.stats.persist())

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lorekeep import lexicon as X
 from lorekeep.functions.text import jaccard, semantic_terms
 from lorekeep.operators.index import Index, build_index
-from lorekeep.operators.search import search
+from lorekeep.operators.lineage import cut
+from lorekeep.operators.search import search, search_hot
 
 ITEM = "struct<id:string,kind:string,scope:string,title:string,excerpt:string,score:double>"
 
@@ -69,10 +70,10 @@ def context_packs(queries: DataFrame, memories: DataFrame, now: Column, budget:
     """(packs, results): a pack by query; queries that match nothing show hot memories and say so."""
     index = index or build_index(memories)
     most = 4 * limit
-    direct = search(queries, memories, now, most, index).persist()  # 4 x limit rows a query, used for packs and for what missed
+    direct = cut(search(queries, memories, now, most, index))  # 4 x limit rows a query, used for packs and for what missed
     asked = queries.select("qid", F.coalesce("query", F.lit("")).alias("query"))
     missed = queries.join(direct.select("qid").distinct(), "qid", "left_anti").where(F.trim(F.coalesce("query", F.lit(""))) != "")
-    hot = search(missed.withColumn("query", F.lit("")), memories, now, most, index)
+    hot = search_hot(missed, memories, now, most)
     asked = asked.join(missed.select("qid", F.lit(True).alias("hot")), "qid", "left")
     results = direct.unionByName(hot)
     title = F.concat(F.lit("Context pack for: "), F.col("query"))
@@ -80,7 +81,7 @@ def context_packs(queries: DataFrame, memories: DataFrame, now: Column, budget:
     return render(results, asked, header, budget, limit, threshold), results
 
 
-def wake_up_packs(scopes: DataFrame, memories: DataFrame, now: Column, budget: int = 800, limit: int = 6, threshold: float = X.NEAR_DUPLICATE, index: Index | None = None) -> tuple[DataFrame, DataFrame]:
+def wake_up_packs(scopes: DataFrame, memories: DataFrame, now: Column, budget: int = 800, limit: int = 6, threshold: float = X.NEAR_DUPLICATE) -> tuple[DataFrame, DataFrame]:
     """(packs, results) for scopes (qid, scope; a null scope is all): the hottest memories."""
-    results = search(scopes.withColumn("query", F.lit("")), memories, now, 4 * limit, index)
+    results = search_hot(scopes, memories, now, 4 * limit)
     return render(results, scopes.select("qid"), F.lit("Wake-up pack"), budget, limit, threshold), results

@@ -44,21 +44,27 @@ def _fits(include_archived: bool = False) -> Column:
     return ok if include_archived else ok & active()
 
 
-def match(prepared: DataFrame, index: Index) -> DataFrame:
-    """(qid, rowid, bm25): all rows that hold a phrase of the query, over the whole index. Lower is better."""
-    phrases = prepared.select("qid", F.posexplode("phrases").alias("no", "p")).select(
-        "qid", "no", F.explode(index_tokens(F.col("p.text"))).alias("text"), F.col("p.scoped").alias("scoped")
-    )
-    # prefixes meet the vocabulary; postings are then joined on whole terms
-    phrases = phrases.withColumn("head", F.substring("text", 1, 2))
+def match(prepared: DataFrame, index: Index, memories: DataFrame) -> DataFrame:
+    """(qid, rowid, bm25): all rows that hold a phrase of the query, over the whole index. Lower is better.
+
+    A phrase is one token or, for a term with an underscore, several in a row; the
+    last token of an open phrase is a prefix. A phrase counts by the rows that
+    hold it and by how often they do.
+    """
+    tokens = prepared.select("qid", F.posexplode("phrases").alias("no", "p")).select("qid", "no", index_tokens(F.col("p.text")).alias("t"), F.col("p.scoped").alias("scoped"))
+    single = tokens.where(F.size("t") == 1).select("qid", "no", F.col("t")[0].alias("text"), "scoped")
+    # prefixes meet the vocabulary by their first letters; postings are then joined on whole terms
     fits = F.when(F.col("scoped"), F.col("term") == F.col("text")).otherwise(F.col("term").startswith(F.col("text")))
-    wanted = index.terms.join(phrases, "head").where(fits).drop("head")
+    long, short = F.length("text") >= 2, F.length("text") < 2
+    wanted = index.terms.join(single.where(long).withColumn("head", F.substring("text", 1, 2)), "head").where(fits).drop("head")
+    letter = index.terms.withColumn("letter", F.substring("term", 1, 1)).join(single.where(short), F.col("letter") == F.col("text")).where(fits)
+    wanted = wanted.unionByName(letter.select(wanted.columns))
     joined = index.postings.join(wanted, "term").where(~F.col("scoped") | (F.col("stems") > 0))
-    per_row = joined.groupBy("qid", "no", "text", "rowid").agg(
-        F.sum(F.when(F.col("scoped"), F.col("stems").cast("double")).otherwise(F.col("weight"))).alias("f"), F.first("dl").alias("dl")
-    )
-    df = per_row.groupBy("qid", "no", "text").agg(F.count("*").alias("df"))
-    scored = per_row.join(df, ["qid", "no", "text"]).join(F.broadcast(index.stats))  # one row of statistics
+    in_column = F.when(F.col("scoped"), F.col("stems").cast("double")).otherwise(F.col("weight"))
+    per_row = joined.groupBy("qid", "no", "rowid").agg(F.sum(in_column).alias("f"), F.first("dl").alias("dl"))
+    per_row = per_row.unionByName(_in_a_row(tokens.where(F.size("t") > 1), index, memories).select(per_row.columns))
+    df = per_row.groupBy("qid", "no").agg(F.count("*").alias("df"))
+    scored = per_row.join(df, ["qid", "no"]).join(F.broadcast(index.stats))  # one row of statistics
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw <= 0, F.lit(X.BM25_IDF_FLOOR)).otherwise(raw)
     k1, b = X.BM25_K1, X.BM25_B
@@ -66,6 +72,31 @@ def match(prepared: DataFrame, index: Index) -> DataFrame:
     return scored.groupBy("qid", "rowid").agg((-F.sum(part)).alias("bm25"))
 
 
+def _in_a_row(phrases: DataFrame, index: Index, memories: DataFrame) -> DataFrame:
+    """(qid, no, rowid, f, dl) of phrases of several tokens: rows that hold all of them are read again for where they stand."""
+    each = phrases.select("qid", "no", "scoped", F.size("t").alias("many"), F.posexplode("t").alias("k", "text"))
+    last = (F.col("k") == F.col("many") - 1) & ~F.col("scoped")
+    exact = each.where(~last).withColumnRenamed("text", "term")
+    letter = lambda c: F.substring(c, 1, 1).alias("letter")
+    opened = index.terms.select("term", letter("term")).join(each.where(last).select("*", letter("text")), "letter").where(F.col("term").startswith(F.col("text")))
+    wanted = exact.unionByName(opened.select(exact.columns))
+    rows = index.postings.join(wanted, "term").groupBy("qid", "no", "many", "rowid").agg(F.count_distinct("k").alias("n"), F.first("dl").alias("dl")).where("n = many")
+    rows = rows.join(phrases, ["qid", "no"]).join(memories.select("rowid", *X.WEIGHTS), "rowid")
+
+    def times(column):
+        tokens, m = index_tokens(F.col(column)), F.size("t")
+
+        def here(w, i):
+            head = F.slice(w, i + 1, m - 1) == F.slice("t", 1, m - 1)
+            end = F.get(w, i + m - 1)
+            return head & F.when(F.col("scoped"), end == F.element_at("t", -1)).otherwise(end.startswith(F.element_at("t", -1)))
+
+        return let(tokens, lambda w: F.when(F.size(w) < m, 0).otherwise(F.size(F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - m, F.lit(0))), lambda i: here(w, i)))))
+
+    found = [F.when(~F.col("scoped") | F.lit(c == "stems_text"), times(c) * F.lit(1.0 if c == "stems_text" else w)).otherwise(0.0) for c, w in X.WEIGHTS.items()]
+    return rows.withColumn("f", sum(found[1:], found[0])).where("f > 0").select("qid", "no", "rowid", "f", "dl")
+
+
 def pool_size(limit: int) -> int:
     return max(5 * limit, 25)
 
@@ -83,15 +114,38 @@ def retrieve(prepared: DataFrame, memories: DataFrame, index: Index, limit: int,
     with_terms, without = texts.where(F.size("terms") > 0), texts.where(F.size("terms") == 0)
     # hits are filtered and cut on narrow rows; only the pools meet the texts
     narrow = memories.select("rowid", "scope", "kind", "tags", "archived_at", "superseded_by")
-    hits = match(prepared, index).join(narrow, "rowid").join(texts.select("qid", "q_scope", "q_kind", "q_tags"), "qid").where(_fits(include_archived))
+    hits = match(prepared, index, memories).join(narrow, "rowid").join(texts.select("qid", "q_scope", "q_kind", "q_tags"), "qid").where(_fits(include_archived))
     pools = _numbered(hits.select("qid", "rowid", "bm25"), [F.round("bm25", 9).asc(), F.asc("rowid")], most).drop("bm25")
-    full = pools.join(memories, "rowid").join(texts, "qid")
     missed = with_terms.join(pools.select("qid").distinct(), "qid", "left_anti")
-    # few queries get here; each must look at every text
-    substring = _numbered(memories.join(missed, _fits(include_archived) & like(F.col("query"))), important_first(), most)
-    hot = _numbered(memories.join(without, _fits(include_archived)), hot_first(), most)
-    columns = [*prepared.drop("phrases").columns, *memories.columns, "lex"]
-    return full.select(columns).unionByName(substring.select(columns)).unionByName(hot.select(columns))
+    # few queries get here; each must look at every text (a stated query set), and no row goes on but for the pools
+    seen = memories.select("rowid", "scope", "kind", "tags", "archived_at", "superseded_by", "title", "summary", "content", "importance", "certainty", "updated_at")
+    substring = _numbered(seen.join(missed, _fits(include_archived) & like(F.col("query"))), important_first(), most).select("qid", "rowid", "lex")
+    pools = pools.unionByName(substring).unionByName(hottest(without, memories, most, include_archived))
+    columns = [*texts.columns, *memories.columns, "lex"]
+    return pools.join(memories, "rowid").join(texts, "qid").select(columns)
+
+
+def hottest(asked: DataFrame, memories: DataFrame, most: int, include_archived: bool = False) -> DataFrame:
+    """(qid, rowid, lex): for each query the hottest rows that fit its filters.
+
+    Memories meet the distinct filters, by equality of scope and of kind or of an
+    open kind, and are cut to each filter's best before anything else is joined.
+    Filters without scope and tags are one for each kind and one for all, so they
+    may be broadcast.
+    """
+    fid = F.xxhash64("q_scope", "q_kind", F.to_json("q_tags")).alias("fid")
+    filters = asked.select(fid, F.coalesce("q_scope", F.lit("")).alias("s"), F.coalesce("q_kind", F.lit("")).alias("k"), "q_tags").dropDuplicates(["fid"])
+    narrow = memories.select("rowid", "scope", "tags", "archived_at", "superseded_by", "importance", "certainty", "access_count", "updated_at", F.explode(F.array("kind", F.lit(""))).alias("k"))
+    narrow = narrow if include_archived else narrow.where(active())
+    scoped = narrow.withColumn("s", F.col("scope")).join(filters.where("s <> ''"), ["s", "k"])
+    open_ = filters.where("s = ''").drop("s")
+    plain = narrow.join(F.broadcast(open_.where(F.size("q_tags") == 0)), "k")
+    tagged = narrow.join(open_.where(F.size("q_tags") > 0), "k")
+    columns = ["fid", "rowid", "tags", "q_tags", "importance", "certainty", "access_count", "updated_at"]
+    rows = scoped.select(columns).unionByName(plain.select(columns)).unionByName(tagged.select(columns)).where(F.forall("q_tags", lambda t: has_tag(t)))
+    n = F.row_number().over(Window.partitionBy("fid").orderBy(*hot_first()))
+    best = rows.withColumn("lex", n - 1).where(F.col("lex") < most).select("fid", "rowid", "lex")
+    return asked.select("qid", fid).join(best, "fid").select("qid", "rowid", "lex")
 
 
 def rank_score(now: Column) -> Column:
@@ -128,6 +182,14 @@ def search(queries: DataFrame, memories: DataFrame, now: Column, limit: int = 5,
     return out.drop("lex", "q_scope", "q_kind", "q_tags")
 
 
+def search_hot(queries: DataFrame, memories: DataFrame, now: Column, limit: int = 5, include_archived: bool = False) -> DataFrame:
+    """What ``search`` gives for the queries' filters alone, whatever they ask; no index is needed."""
+    prepared = prepare(queries.withColumn("query", F.lit("")), False).drop("phrases")
+    pool = hottest(prepared, memories, pool_size(limit), include_archived).join(memories, "rowid").join(prepared, "qid")
+    out = rank(pool.select(*prepared.columns, *memories.columns, "lex"), now, limit)
+    return out.drop("lex", "q_scope", "q_kind", "q_tags")
+
+
 def access_records(results: DataFrame, now: Column) -> DataFrame:
     """What recalling the results adds to the access log."""
     return results.select("id", now.alias("at"))

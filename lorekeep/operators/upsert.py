@@ -1,22 +1,53 @@
 """Writing memories: validation, duplicate-aware upsert, import.
 
 The sequence matters: a later input may merge into an earlier one. Inputs and
-stored rows can only meet if their canonical scope, kind and title (cut as merges
-cut it) agree, so that triple deals the work out; rows that are alone with it are
-plain inserts and never leave the JVM. Only groups with something to merge are
-folded in order, in Arrow batches.
+stored rows can only meet if their canonical scope, kind and beginning of the
+title agree, so that triple deals the work out; rows that are alone with it are
+plain inserts and never leave the JVM. Only what may merge goes through Python:
+sorted by that triple within partitions and folded in order, group by group, as
+Arrow batches stream by.
 """
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorekeep import lexicon as X
 from lorekeep.functions import text as t
+from lorekeep.operators.lineage import cut
 from lorekeep.schema import COLUMNS, IMPORT, MEMORIES
 
+#: Canonical characters of a title that rows have in common where they may meet, up to a whole word. A title that a merge
+#: has cut after 72 characters still has them, unless a very long word or much punctuation stands among the first 72.
+MEETING_CHARS = 48
+
+
+class Change:
+    """Memories after a change, and its report; unpacks to both. What both were made from is held until ``free``."""
+
+    def __init__(self, memories: DataFrame, report: DataFrame, held: tuple[DataFrame, ...] = ()):
+        self.memories, self.report, self.held = memories, report, held
+
+    def __iter__(self):
+        return iter((self.memories, self.report))
+
+    def __getitem__(self, k: int) -> DataFrame:
+        return (self.memories, self.report)[k]
+
+    def __enter__(self):
+        return self.memories, self.report
+
+    def __exit__(self, *_):
+        self.free()
+
+    def free(self) -> None:
+        for df in self.held:
+            df.unpersist()
+
 
 def normalized(inputs: DataFrame) -> DataFrame:
     """Inputs with defaults and clean texts; ``problem`` says what is wrong, null if nothing is."""
@@ -68,82 +99,115 @@ def _derived(df: DataFrame) -> DataFrame:
 
 
 def _meeting_key() -> Column:
-    return F.xxhash64(t.canonicalize(F.col("scope")), F.col("kind"), t.canonicalize(t.cut_at_word(F.col("title"), X.TITLE_CHARS)))
+    title = t.cut_at_word(t.canonicalize(F.col("title")), MEETING_CHARS)
+    return F.xxhash64(t.canonicalize(F.col("scope")), F.col("kind"), title)
 
 
-#: The pending row: a memory, where it came from, and what happened to it.
+#: A row of the fold: a memory, the input it is (null: stored), what happened to it (reports only), and where it belongs.
 _WORK = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in MEMORIES.fields], T.StructField("seq", T.LongType()), T.StructField("action", T.StringType()), T.StructField("meet", T.LongType())])
 
 
-def _fold_group(pdf, now):
-    """Applies the inputs of one group in order to its stored rows. seq is null for stored rows."""
-    import pandas as pd
-
-    from lorekeep.functions import plain as p
-
-    stored = pdf[pdf["seq"].isna()].sort_values("rowid").to_dict("records")
-    inputs = pdf[pdf["seq"].notna()].sort_values("seq").to_dict("records")
-    rows = [{**r, "_new": None, "_terms": None, "tags": list(r["tags"])} for r in stored]
-    log = []
-    by_print: dict[str, list[int]] = {}
-    by_title: dict[tuple, list[int]] = {}
-
-    def enlist(k):
-        r = rows[k]
-        by_print.setdefault(r["fingerprint"], []).append(k)
-        by_title.setdefault((r["scope"], r["kind"], r["title"]), []).append(k)
-
-    for k in range(len(rows)):
-        enlist(k)
-    for new in inputs:
-        new["tags"] = list(new["tags"])
-        own = p.terms(new["content"])
-        same = [k for k in by_print.get(new["fingerprint"], ()) if rows[k]["fingerprint"] == new["fingerprint"]]
-        found = min(same) if same else None
-        if found is None:
-            peers = [k for k in dict.fromkeys(by_title.get((new["scope"], new["kind"], new["title"]), ())) if rows[k]["title"] == new["title"]]
-            peers.sort(key=lambda k: (rows[k]["updated_at"], k), reverse=True)
-            for k in peers[: X.DUPLICATE_CANDIDATES]:
-                if rows[k]["_terms"] is None:
-                    rows[k]["_terms"] = p.terms(rows[k]["content"])
-                if p.overlap(rows[k]["_terms"], own) >= X.NEAR_DUPLICATE:
-                    found = k
-                    break
-        if found is None:
-            rows.append({**new, "_new": new["seq"], "_terms": own})
-            enlist(len(rows) - 1)
-            log.append((new["seq"], len(rows) - 1, "created"))
-            continue
-        r = rows[found]
-        r["tags"] = list(dict.fromkeys([*r["tags"], *new["tags"]]))
-        r["title"] = p.richer(r["title"], new["title"], X.TITLE_CHARS)
-        r["content"] = p.richer(r["content"], new["content"])
+class _Fold:
+    """The inputs of one group, applied in order to its rows."""
+
+    def __init__(self, now):
+        from lorekeep.functions import plain
+
+        self.plain, self.now = plain, now
+        self.rows: list[dict] = []
+        self.by_print: dict[str, list[int]] = {}
+        self.by_title: dict[tuple, list[int]] = {}
+        self.report: list[dict] = []
+
+    def enlist(self, k: int) -> None:
+        r = self.rows[k]
+        self.by_print.setdefault(r["fingerprint"], []).append(k)
+        self.by_title.setdefault((r["scope"], r["kind"], r["title"]), []).append(k)
+
+    def terms(self, k: int):
+        r = self.rows[k]
+        if r["_terms"] is None:
+            r["_terms"] = self.plain.terms(r["content"])
+        return r["_terms"]
+
+    def match(self, new: dict) -> int | None:
+        """The row that an input merges into: of its fingerprint, else a similar one of the newest of its title."""
+        same = [k for k in self.by_print.get(new["fingerprint"], ()) if self.rows[k]["fingerprint"] == new["fingerprint"]]
+        if same:
+            return min(same)
+        peers = {k for k in self.by_title.get((new["scope"], new["kind"], new["title"]), ()) if self.rows[k]["title"] == new["title"]}
+        if not peers:
+            return None
+        own = new["_terms"] = self.plain.terms(new["content"])
+        newest = sorted(peers, key=lambda k: (self.rows[k]["updated_at"], k), reverse=True)[: X.DUPLICATE_CANDIDATES]
+        return next((k for k in newest if self.plain.overlap(self.terms(k), own) >= X.NEAR_DUPLICATE), None)
+
+    def add(self, row: dict) -> None:
+        row["_terms"] = None
+        k = None if row["seq"] is None else self.match(row)
+        if k is None:
+            self.rows.append(row)
+            self.enlist(len(self.rows) - 1)
+            if row["seq"] is not None:
+                self.report.append({**row, "action": "created"})
+            return
+        p, r = self.plain, self.rows[k]
+        r["tags"] = list(dict.fromkeys([*r["tags"], *row["tags"]]))
+        r["title"] = p.richer(r["title"], row["title"], X.TITLE_CHARS)
+        r["content"] = p.richer(r["content"], row["content"])
         r["summary"] = p.dots(r["content"], X.SUMMARY_CHARS)
-        r["source"] = p.sources(r["source"], new["source"])
-        r["importance"] = max(r["importance"], new["importance"])
-        r["certainty"] = min(1.0, max(r["certainty"], new["certainty"]) + 0.02)
+        r["source"] = p.sources(r["source"], row["source"])
+        r["importance"] = max(r["importance"], row["importance"])
+        r["certainty"] = min(1.0, max(r["certainty"], row["certainty"]) + 0.02)
         r["tags_text"] = " ".join(r["tags"])
-        r["stems_text"] = p.stems(r["title"], r["content"], r["tags"])
         r["fingerprint"] = p.fingerprint(r["scope"], r["kind"], r["title"], r["content"])
-        r["updated_at"], r["archived_at"], r["_terms"] = now, None, None
-        enlist(found)
-        log.append((new["seq"], found, "updated"))
-    columns = [f.name for f in MEMORIES.fields]
-    out = [{**{c: r[c] for c in columns}, "seq": r["_new"], "action": None, "meet": r["meet"]} for r in rows]
-    out += [{**{c: rows[k][c] for c in columns}, "seq": seq, "action": action, "meet": rows[k]["meet"]} for seq, k, action in log]
-    pdf = pd.DataFrame(out, columns=[f.name for f in _WORK.fields])
-    for c in ("seq", "rowid"):
-        pdf[c] = pdf[c].astype("Int64")
-    return pdf
-
-
-def remember(memories: DataFrame, inputs: DataFrame, now: Column, now_value) -> tuple[DataFrame, DataFrame]:
-    """(memories after the inputs, report of (seq, id, scope, kind, title, action)).
-
-    inputs: valid inputs with ``seq``, a number that orders them. ``now`` as a
-    column and ``now_value`` as a datetime are the same instant.
+        r["updated_at"], r["archived_at"], r["_terms"], r["_stale"] = self.now, None, None, True
+        self.enlist(k)
+        self.report.append({**r, "seq": row["seq"], "action": "updated"})
+
+    def result(self) -> list[dict]:
+        for r in self.rows:
+            if r.get("_stale"):
+                r["stems_text"] = self.plain.stems(r["title"], r["content"], r["tags"])
+        return self.rows + [{c: r[c] for c in ("seq", "id", "scope", "kind", "title", "action")} for r in self.report]
+
+
+def _folded(work: DataFrame, now_value) -> DataFrame:
+    """Rows after the fold (action null), and the reports of the inputs. One group is held at a time."""
+    from datetime import timezone
+
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(_WORK)
+    now = now_value.replace(tzinfo=timezone.utc)
+
+    def run(batches):
+        rows = (r for b in batches for r in b.to_pylist())
+        out: list[dict] = []
+        for _, group in groupby(rows, key=lambda r: r["meet"]):
+            fold = _Fold(now)
+            for r in group:
+                fold.add(r)
+            out += fold.result()
+            if len(out) >= 500:
+                yield pa.RecordBatch.from_pylist(out, schema)
+                out = []
+        yield pa.RecordBatch.from_pylist(out, schema)
+
+    # stored rows first, by rowid; then the inputs in their order
+    ordered = work.repartition("meet").sortWithinPartitions("meet", F.asc_nulls_first("seq"), "rowid")
+    return ordered.select([f.name for f in _WORK.fields]).mapInArrow(run, _WORK)
+
+
+def remember(memories: DataFrame, inputs: DataFrame, now: Column, now_value) -> Change:
+    """Memories after the inputs, and a report of (seq, id, scope, kind, title, action).
+
+    inputs: valid inputs with ``seq``, a distinct number for each that orders them.
+    ``now`` as a column and ``now_value`` as a datetime are the same instant (UTC).
     """
-    fresh = _derived(inputs.withColumn("seq", F.col("seq").cast("long"))).withColumns(
+    fresh = inputs.withColumn("seq", F.col("seq").cast("long"))
+    fresh = _derived(fresh).withColumns(
         {
             "rowid": F.lit(None).cast("long"),
             "id": F.md5(F.concat_ws("\x1f", F.col("seq").cast("string"), F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), "fingerprint")),
@@ -153,44 +217,40 @@ def remember(memories: DataFrame, inputs: DataFrame, now: Column, now_value) ->
             "last_accessed_at": F.lit(None).cast("timestamp"),
             "archived_at": F.lit(None).cast("timestamp"),
             "superseded_by": F.lit(None).cast("string"),
+            "meet": _meeting_key(),
         }
-    )
-    key = _meeting_key()
-    fresh = fresh.select(*COLUMNS, "seq").withColumn("meet", key)
-    stored = memories.select(*COLUMNS).withColumn("seq", F.lit(None).cast("long")).withColumn("meet", key)
-    touched = fresh.groupBy("meet").agg(F.count("*").alias("inputs"))
-    met = stored.join(touched.select("meet"), "meet", "left_semi").groupBy("meet").agg(F.count("*").alias("rows"))
-    shared = touched.join(met, "meet", "left").where((F.col("inputs") > 1) | F.col("rows").isNotNull()).select("meet")
-
-    alone = fresh.join(shared, "meet", "left_anti")
-    untouched = stored.join(shared, "meet", "left_anti")
-    work = fresh.unionByName(stored).join(shared, "meet", "left_semi").withColumn("action", F.lit(None).cast("string")).select([f.name for f in _WORK.fields])
-
-    def run(pdf):
-        return _fold_group(pdf, now_value)
-
-    folded = work.groupBy("meet").applyInPandas(run, _WORK).persist()  # rows and report come from one fold
-    rows = folded.where("action is null").unionByName(alone.withColumn("action", F.lit(None).cast("string"))).select(*COLUMNS, "seq")
+    ).select(*COLUMNS, "seq", "meet")
+    stored = memories.select(*COLUMNS, F.lit(None).cast("long").alias("seq")).withColumn("meet", _meeting_key())
+    # keys alone: the derived columns are not computed for this
+    sides = fresh.select("meet", F.lit(1).alias("i"), F.lit(0).alias("s")).unionByName(stored.select("meet", F.lit(0).alias("i"), F.lit(1).alias("s")))
+    shared = cut(sides.groupBy("meet").agg(F.sum("i").alias("i"), F.sum("s").alias("s")).where("i > 1 or i > 0 and s > 0").select("meet"))
+
+    alone = fresh.join(shared, "meet", "left_anti").withColumn("action", F.lit(None).cast("string"))
+    work = fresh.unionByName(stored).join(shared, "meet", "left_semi").withColumn("action", F.lit(None).cast("string"))
+    folded = _folded(work, now_value).persist()  # rows and report come from one fold
+    rows = folded.where("action is null").select(*COLUMNS, "seq").unionByName(alone.select(*COLUMNS, "seq"))
+    keys = folded.where("action is null").select("rowid", "seq", "id").unionByName(alone.select("rowid", "seq", "id"))
     report = folded.where("action is not null").select("seq", "id", "scope", "kind", "title", "action")
     report = report.unionByName(alone.select("seq", "id", "scope", "kind", "title", F.lit("created").alias("action")))
-    return untouched.select(COLUMNS).unionByName(numbered(rows, memories)), report
+    untouched = stored.join(shared, "meet", "left_anti").select(COLUMNS)
+    return Change(untouched.unionByName(numbered(rows, keys, memories)), report, (folded,))
 
 
-def numbered(rows: DataFrame, memories: DataFrame) -> DataFrame:
-    """Gives new rows (no rowid) the next numbers in the order of seq.
+def numbered(rows: DataFrame, keys: DataFrame, memories: DataFrame) -> DataFrame:
+    """Gives new rows (no rowid) the next numbers in the order of seq. keys: rowid, seq and id of the rows.
 
-    Numbers are dealt by range: sorted parts are counted, and each part starts
-    after the ones before, so no single task sorts all rows.
+    Numbers are dealt by range over (seq, id) alone: sorted parts are written once
+    to the shared folder and counted, and each part starts after the ones before.
+    No single task sorts all rows, and a lost executor can't change a number.
     """
-    old, new = rows.where("rowid is not null"), rows.where("rowid is null").persist()  # sorting looks at them more than once
+    new = keys.where("rowid is null").select("seq", "id").orderBy("seq", "id")
+    new = cut(new.select("seq", "id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("k")))
     top = memories.agg(F.coalesce(F.max("rowid"), F.lit(0)).alias("top"))
-    sorted_ = new.orderBy("seq").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
-    within = F.row_number().over(Window.partitionBy("part").orderBy("at"))
-    counts = sorted_.groupBy("part").agg(F.count("*").alias("c"))
-    before = counts.withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row per part
-    dealt = sorted_.withColumn("k", within).join(F.broadcast(before.select("part", "before")), "part").join(F.broadcast(top))
-    dealt = dealt.withColumn("rowid", F.col("top") + F.col("before") + F.col("k"))
-    return old.select(*COLUMNS).unionByName(dealt.select(*COLUMNS))
+    counts = new.groupBy("part").agg(F.count("*").alias("c"))
+    before = counts.select("part", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row per part
+    dealt = new.join(F.broadcast(before), "part").join(F.broadcast(top)).select("seq", "id", (F.col("top") + F.col("before") + F.col("k") + 1).alias("number"))
+    given = rows.where("rowid is null").join(dealt, ["seq", "id"]).withColumn("rowid", F.col("number"))
+    return rows.where("rowid is not null").select(*COLUMNS).unionByName(given.select(*COLUMNS))
 
 
 def action_counts(report: DataFrame) -> DataFrame:
@@ -223,7 +283,7 @@ def _time(c: str) -> Column:
     )
 
 
-def import_memories(memories: DataFrame, records: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+def import_memories(memories: DataFrame, records: DataFrame, now: Column) -> Change:
     """Upsert by id: the last record of an id wins, over stored rows too; rowids stay.
 
     records: the export columns (times as text, all optional) and ``seq``.
@@ -236,7 +296,7 @@ def import_memories(memories: DataFrame, records: DataFrame, now: Column) -> tup
     times = {c: _time(c) for c in IMPORT.fieldNames() if c.endswith("_at")}
     rows = checked(named.withColumns(times))
     created = F.coalesce("created_at", now)
-    rows = _derived(rows).withColumns(
+    rows = rows.withColumns(
         {
             "access_count": F.greatest(F.coalesce(F.col("access_count").cast("long"), F.lit(0)), F.lit(0)),
             "created_at": created,
@@ -244,12 +304,12 @@ def import_memories(memories: DataFrame, records: DataFrame, now: Column) -> tup
             "superseded_by": F.when(F.trim(F.coalesce("superseded_by", F.lit(""))) == "", F.lit(None)).otherwise(F.trim("superseded_by")),
         }
     )
-    latest = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("seq")))
+    rows = rows.withColumn("seq", F.col("seq").cast("long"))
+    # by id and combined before the shuffle, so that an id with very many records is no task of its own
     known = memories.select("id", "rowid")
-    first = F.row_number().over(Window.partitionBy("id").orderBy("seq"))
-    report = rows.withColumn("n", first).join(known, "id", "left").select(
-        "seq", "id", "scope", "kind", "title", F.when(F.col("rowid").isNotNull() | (F.col("n") > 1), "updated").otherwise("created").alias("action")
-    )
-    last = rows.withColumn("n", latest).where("n = 1").join(known, "id", "left")
-    kept = memories.join(last.select("id"), "id", "left_anti").select(*COLUMNS).withColumn("seq", F.lit(None).cast("long"))
-    return numbered(kept.unionByName(last.select(*COLUMNS, F.col("seq").cast("long").alias("seq"))), memories), report
+    ids = cut(rows.groupBy("id").agg(F.max("seq").alias("seq"), F.min("seq").alias("first")).join(known, "id", "left"))
+    action = F.when(F.col("rowid").isNotNull() | (F.col("seq") > F.col("first")), "updated").otherwise("created")
+    report = rows.select("seq", "id", "scope", "kind", "title").join(ids.drop("seq"), "id").select("seq", "id", "scope", "kind", "title", action.alias("action"))
+    last = _derived(rows.join(ids.drop("first"), ["id", "seq"])).select(*COLUMNS, "seq")
+    kept = memories.join(ids.select("id"), "id", "left_anti").select(*COLUMNS)
+    return Change(kept.unionByName(numbered(last, ids.select("rowid", "seq", "id"), memories)), report)

@@ -85,6 +85,11 @@ def _ordered(x: str) -> str:
     return f"list_filter({x}, lambda e, i: list_position({x}, e) = i)"
 
 
+def _cut72(x: str) -> str:
+    head = f"regexp_extract(substring({x}, 1, 72), '^(.*) [^ ]*$', 1)"
+    return f"case when length({x}) <= 72 then {x} when {head} <> '' then {head} else substring({x}, 1, 72) end"
+
+
 def _dots(x: str, most: int) -> str:
     return f"case when length({x}) <= {most} then {x} else rtrim(substring({x}, 1, {most - 3})) || '...' end"
 
@@ -130,15 +135,22 @@ POST = f"""{MEM}, st as (
 ), g as (
   select count(*) as n, avg(dl) as avgdl from dl
 )"""
-#: Phrases of the questions, and BM25 of what they match.
-BM25 = f"""{POST}, q as (
+#: Questions with their terms.
+ASKED = f"""q as (
   select qid, query, {_ordered("t0")}[1:{X.QUERY_TERMS}] as terms from (select item_id as qid, text as query, {_terms("lower(text)", 2)} as t0 from benchmark)
-), ph as (
+)"""
+
+
+def _bm25(asked: str = ASKED) -> str:
+    """Phrases of questions (their terms hold no underscore) and BM25 of what they match."""
+    return f"""{POST}, {asked}, ph as (
   select qid, unnest(range(1, len(terms) + 1)) as no, terms from q
 ), tx as (
   select qid, no, unnest({_tokens("terms[no]")}) as phrase from ph
+), voc as (
+  select qid, no, phrase, term from tx join (select distinct term from post) on starts_with(term, phrase)
 ), hit as (
-  select qid, no, phrase, rowid, sum(weight) as f from tx join post on starts_with(term, phrase) and substring(term, 1, 2) = substring(phrase, 1, 2) group by all
+  select qid, no, phrase, rowid, sum(weight) as f from voc join post using (term) group by all
 ), df as (
   select qid, no, phrase, count(*) as df from hit group by all
 ), bm as (
@@ -147,13 +159,14 @@ BM25 = f"""{POST}, q as (
 )"""
 
 
-def _pool(limit: int) -> str:
-    return f"""{BM25}, pool as (
-  select * from (
-    select qid, act.*, row_number() over (partition by qid order by round(bm25, 9), rowid) - 1 as lex from bm join act using (rowid)
-  ) where lex < {search.pool_size(limit)}
-), low as (
-  select pool.*, terms, lower(title || ' ' || summary || ' ' || content || ' ' || tags[1]) as whole from pool join q using (qid)
+BM25 = _bm25()
+_HOT = "importance desc, certainty desc, access_count desc, updated_at desc, rowid"
+
+
+def _ranked(pool: str) -> str:
+    """Scores and ranks of a pool with qid, terms and lex."""
+    return f"""low as (
+  select *, lower(title || ' ' || summary || ' ' || content || ' ' || tags[1]) as whole from {pool}
 ), sc as (
   select *, round(1.15 / (lex + 1)
     + case when len(terms) > 0 then 0.95 * len(list_filter(terms, lambda t: contains(whole, t))) / len(terms) else 0.0 end
@@ -168,6 +181,55 @@ def _pool(limit: int) -> str:
 )"""
 
 
+def _pool(limit: int, asked: str = ASKED) -> str:
+    """Pools of hits, of substrings for questions without a hit, and of hot rows for questions without terms."""
+    most = search.pool_size(limit)
+    like = " or ".join(f"lower({c}) like '%' || lower(query) || '%'" for c in ("title", "summary", "content"))
+    return f"""{_bm25(asked)}, fts as (
+  select * from (
+    select qid, terms, act.*, row_number() over (partition by qid order by round(bm25, 9), rowid) - 1 as lex from bm join act using (rowid) join q using (qid)
+  ) where lex < {most}
+), sub as (
+  select * from (
+    select qid, terms, act.*, row_number() over (partition by qid order by importance desc, certainty desc, updated_at desc, rowid) - 1 as lex
+    from act join q on len(terms) > 0 and ({like}) where qid not in (select qid from fts)
+  ) where lex < {most}
+), hot as (
+  select * from (
+    select qid, terms, act.*, row_number() over (partition by qid order by {_HOT}) - 1 as lex from act join q on len(terms) = 0
+  ) where lex < {most}
+), pool as (
+  from fts union all from sub union all from hot
+), {_ranked("pool")}"""
+
+
+def _packs(ranked: str, heads: str, budget: int, limit: int) -> str:
+    """The fold of ranked rows (summary is short enough to be the excerpt) into packs. heads: qid, head."""
+    cut = lambda x, most: f"rtrim(substring({x}, 1, greatest({most} - 3, 0)::int)) || '...'"
+    room = f"greatest({budget} - length(a.text) - 1, 0)"
+    over = f"length(a.text) + 1 + length(x.line) > {budget}"
+    state = lambda text, n, kept, full: f"{{'text': {text}, 'n': {n}, 'kept': {kept}, 'full': {full}, 'line': '', 'rank': 0::bigint, 'near': []::bigint[]}}"
+    return f"""ln as (
+  select qid, rank, '- [' || kind || '/' || scope || '] ' || title || ': ' || summary || case when source <> '' then ' (source: ' || source || ')' else '' end as line,
+         list_distinct({_terms(_canon("content"))}) as words from {ranked} where rank <= {4 * limit}
+), nr as (
+  select a.qid, a.rank, list(b.rank) as near from ln a join ln b on a.qid = b.qid and b.rank < a.rank
+  where len(a.words) > 0 and len(b.words) > 0 and len(list_intersect(a.words, b.words)) / len(list_distinct(a.words || b.words)) >= {X.NEAR_DUPLICATE} group by all
+), ls as (
+  select qid, list({{'text': '', 'n': 0, 'kept': []::bigint[], 'full': false, 'line': line, 'rank': rank, 'near': coalesce(near, [])}} order by rank) as l from ln left join nr using (qid, rank) group by qid
+), pk as (
+  select heads.qid, list_reduce(coalesce(l, []), lambda a, x:
+    case when a.full or a.n >= {limit} or len(list_intersect(a.kept, x.near)) > 0 then a
+         when {over} and a.n > 0 then {state("a.text", "a.n", "a.kept", "true")}
+         else {state(f"a.text || chr(10) || case when {over} then {cut('x.line', room)} else x.line end", "a.n + 1", "a.kept || [x.rank]", "false")} end,
+    {state("head", "0", "[]::bigint[]", "false")}) as p
+  from ({heads}) heads left join ls using (qid)
+), fin as (
+  select qid, p.n as n_items, case when length(p.text) > {budget} then {cut("p.text", budget)} else p.text end as rendered from pk
+)
+select qid, length(rendered) as used_chars, n_items, rendered from fin"""
+
+
 #: Texts that say something about their kind, made of orders.
 _OPENINGS = (
     ("1-URGENT", "We decided to ship order "), ("2-HIGH", "Must never delay critical order "), ("3-MEDIUM", "TODO: fix the invoice of order "),
@@ -188,7 +250,6 @@ _SAY = (
     "say as (select o_orderkey, case o_orderpriority "
     + " ".join(f"when '{k}' then '{w}'" for k, w in _OPENINGS)
     + " else 'Note on order ' end || o_orderkey::varchar || ' for the customer number ' || o_custkey::varchar as saying from orders)"
-    + f", low as (select *, {_canon('saying')} as low from say)"
 )
 
 
@@ -204,17 +265,34 @@ def _points(kind: str) -> str:
 
 
 _BEST = "greatest(" + ", ".join(f"p_{k}" for k in X.KINDS) + ")"
-_CLASSIFIED = f"""{_SAY}, pts as (
+
+
+def _classified(say: str = _SAY) -> str:
+    """Canonical text, kind and terms of the sayings of a table ``say``."""
+    return f"""{say}, low as (
+  select *, {_canon('saying')} as low from say
+), pts as (
   select *, {", ".join(f"{_points(k)} as p_{k}" for k in X.KINDS)} from low
 ), kd as (
   select *, case when {_BEST} <= 0 then 'note' {" ".join(f"when p_{k} = {_BEST} then '{k}'" for k in X.KINDS)} end as kind, {_terms("low")} as t0 from pts
 ), kt as (
   select *, {_ordered("t0")} as terms from kd
 )"""
+
+
+_CLASSIFIED = _classified()
 _pick = lambda table: "case kind " + " ".join(f"when '{k}' then {v}" for k, v in table.items()) + " end"
 
-WORDS_UA = ["вирішили", "вирішила", "вирішується", "вирішую", "рішення", "створюються", "використання", "оптимізування", "творіння", "красивого", "невирішене", "перевірили", "дія", "суди", "краями", "память", "памяті", "памятями", "memory", "decision", "так"]
-_UA = "w as (select unnest([" + _QUOTED(WORDS_UA) + "]) as word)"
+#: Latin letters and the Cyrillic ones that stand for them in texts made to be stemmed.
+_LATIN, _CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопюрстувшьяз"
+
+
+def _cyrillic(c):
+    """A text in Cyrillic letters: the documents' own endings then meet the stems' suffixes and prefixes."""
+    return F.translate(F.lower(c), _LATIN, _CYRILLIC)
+
+
+_UA = f"w as (select distinct unnest(regexp_extract_all(translate(lower(coalesce(text, '')), '{_LATIN}', '{_CYRILLIC}'), '[а-я]+')) as word from documents)"
 
 
 def _light_sql(x: str) -> str:
@@ -333,14 +411,37 @@ def fingerprint(spark, sf_dir):
     return memories(spark, sf_dir).select("rowid", "fingerprint")
 
 
+def _cyrillic_words(spark, sf_dir):
+    d = _read(spark, sf_dir, "documents")
+    return d.select(F.explode(F.regexp_extract_all(_cyrillic(F.col("text")), F.lit("[а-я]+"), F.lit(0))).alias("word")).distinct()
+
+
 @_query(f"with {_UA} select word, {_light_sql('word')} as stem from w")
 def stems_light(spark, sf_dir):
-    return spark.createDataFrame([(w,) for w in WORDS_UA], "word string").select("word", T.light_stem(F.col("word")).alias("stem"))
+    """Every distinct word of the documents in Cyrillic letters."""
+    return _cyrillic_words(spark, sf_dir).select("word", T.light_stem(F.col("word")).alias("stem"))
 
 
 @_query(f"with {_UA}, a as (select word, {_light_sql('word')} as s from w), b as (select word, {_unprefix_sql('s')} as s from a) select word, {_unprefix_sql('s')} as stem from b")
 def stems_deep(spark, sf_dir):
-    return spark.createDataFrame([(w,) for w in WORDS_UA], "word string").select("word", T.deep_stem(F.col("word")).alias("stem"))
+    return _cyrillic_words(spark, sf_dir).select("word", T.deep_stem(F.col("word")).alias("stem"))
+
+
+_DEEP = _unprefix_sql("x")
+
+
+@_query(f"""with w as (
+  select doc_id, {_ordered("t0")} as ts from (select doc_id, {_terms(_canon(f"translate(lower(coalesce(text, '')), '{_LATIN}', '{_CYRILLIC}')"))} as t0 from documents)
+), a as (
+  select doc_id, list_transform(list_transform(list_transform(ts, lambda x: case when regexp_matches(x, '[а-я]') then {_light_sql("x")} else x end),
+         lambda x: case when regexp_matches(x, '[а-я]') then {_DEEP} else x end), lambda x: case when regexp_matches(x, '[а-я]') then {_DEEP} else x end) as s from w
+)
+select doc_id, md5(array_to_string({_ordered("s")}, ' ')) as stems from a""")
+def stems_cyrillic(spark, sf_dir):
+    """The column of stems of whole documents in Cyrillic letters."""
+    d = _read(spark, sf_dir, "documents")
+    none = F.array().cast("array<string>")
+    return d.select("doc_id", F.md5(T.stems_text(F.lit(""), _cyrillic(T.text(F.col("text"))), none)).alias("stems"))
 
 
 @_query(f"with {MEM}, s as (select rowid, {_terms(_canon("title || ' ' || content || ' ' || tags[1]"))} as t0 from m) select rowid, array_to_string({_ordered('t0')}, ' ') as stems_text from s")
@@ -370,6 +471,25 @@ def title(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", T.derive_title(F.col("text"), F.lit("note")).alias("title"))
 
 
+def _titled(saying: str = "saying", kind: str = "kind") -> str:
+    """Tables after ``kt``: ``tt`` has the title of each saying (none is empty) by its kind."""
+    bare = f"case {kind} " + " ".join(f"when '{k}' then {_norm(f"regexp_replace({saying}, '{p}', '', 'i')")}" for k, p in X.TITLE_OPENINGS.items()) + f" else {saying} end"
+    return rf"""tb as (
+  select *, coalesce(nullif({bare}, ''), {saying}) as bare from kt
+), th as (
+  select *, regexp_replace(array_to_string(string_split(bare, ' ')[1:{X.TITLE_WORDS}], ' '), '[ ,:;.\-]+$', '') as h from tb
+), tt as (
+  select *, coalesce(nullif({_cut72("h")}, ''), {_dots(saying, 72)}) as title from th
+)"""
+
+
+@_query(f"with {_CLASSIFIED}, {_titled()} select o_orderkey, kind, title from tt")
+def title_by_kind(spark, sf_dir):
+    """Titles of sayings of all kinds, without the phrase that only says the kind."""
+    rows = _sayings(spark, sf_dir).withColumn("kind", enrich.infer_kind(F.col("saying")))
+    return rows.select("o_orderkey", "kind", T.derive_title(F.col("saying"), F.col("kind")).alias("title"))
+
+
 _EX = f"""with c as (select doc_id, {_norm("text")} as c from documents),
 p as (select doc_id, c, list_min(list_filter([instr(lower(c), 'thing'), instr(lower(c), 'que')], lambda x: x > 0)) - 1 as hit from c),
 s as (select *, greatest(hit - 40, 0)::bigint as st from p),
@@ -419,18 +539,55 @@ def merged_sources(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", T.merge_sources(F.lit("src1; src2"), F.col("source")).alias("sources"))
 
 
-@_query()
+_SENTENCES = lambda x: rf"list_filter(string_split(regexp_replace({x}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda p: p <> '')"
+_MOST = X.SEGMENT_MOST
+#: Segments of conversations' turns: (conv_id, turn, seq, segment).
+_SEGMENTS = rf"""ln as (
+  select conv_id, turn, generate_subscripts(l, 1) as no, {_norm(r"regexp_replace(unnest(l), '^\s*(?:[-*•]+|\d+[.)])\s*', '')")} as clean
+  from (select conv_id, turn, regexp_split_to_array(coalesce(text, ''), '\r\n|[\n\r]') as l from conversations)
+), sn as (
+  select *, {_SENTENCES("clean")} as sent from ln
+), ck as (
+  select conv_id, turn, no, case when clean = '' then [] when length(clean) <= {_MOST} then [clean] when len(sent) <= 1 then [{_dots("clean", _MOST)}]
+    else (select p.done || [p.open] from (select list_reduce(list_transform(sent, lambda x: {{'done': []::varchar[], 'open': x}}),
+      lambda a, x: case when length(a.open || ' ' || x.open) <= {_MOST} then {{'done': a.done, 'open': a.open || ' ' || x.open}} else {{'done': a.done || [a.open], 'open': x.open}} end) as p)) end as segs
+  from sn
+), bl as (
+  select conv_id, turn, flatten(list(segs order by no)) as segs from ck group by all
+), wh as (
+  select conv_id, turn, {_norm("text")} as clean from conversations
+), pick as (
+  select conv_id, turn, case when len(segs) > 1 then segs when clean = '' then []
+    when len({_SENTENCES("clean")}) > 1 then list_transform({_SENTENCES("clean")}, lambda p: {_dots("p", _MOST)}) else [{_dots("clean", _MOST)}] end as segs
+  from bl join wh using (conv_id, turn)
+), ea as (
+  select conv_id, turn, generate_subscripts(segs, 1) as pos, unnest(segs) as segment from pick
+), un as (
+  select *, row_number() over (partition by conv_id, turn, canon order by pos) as again from (select *, {_canon("segment")} as canon from ea) where length(segment) >= {X.SEGMENT_LEAST} and canon <> ''
+), sg as (
+  select conv_id, turn, row_number() over (partition by conv_id, turn order by pos) - 1 as seq, segment from un where again = 1
+), say as (
+  select conv_id, turn, seq, segment as saying from sg where seq < {X.SEGMENTS}
+)"""
+_IMPORTANCE = f"round(least(greatest({_pick(X.BASE_IMPORTANCE)}::double + case when {_has(X.STRONG_WORDS)} then 0.10::double else 0.0 end + case when len(terms) >= 6 then 0.05::double else 0.0 end - case when kind = 'note' and length(low) < 40 then 0.08::double else 0.0 end, 0.05), 1.0), 2)"
+_CERTAINTY = f"round(least(greatest({_pick(X.BASE_CERTAINTY)}::double - case when {_has(X.HEDGE_WORDS)} then 0.18::double else 0.0 end + case when {_has(X.STRONG_WORDS)} then 0.06::double else 0.0 end, 0.2), 0.99), 2)"
+
+
+@_query(f"with {_SEGMENTS} select conv_id, turn, seq, saying as segment from say")
 def segments(spark, sf_dir):
     """Segments of whole conversations' turns."""
     c = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     return segment.split_texts(c)
 
 
-@_query()
+@_query(
+    f"with {_classified(_SEGMENTS)}, {_titled()} select conv_id, turn, seq, kind, title, {_dots('saying', X.SUMMARY_CHARS)} as summary,"
+    f" array_to_string(terms[1:{X.TAGS}], ' ') as tags, {_IMPORTANCE} as importance, {_CERTAINTY} as certainty from tt"
+)
 def ingest_preview(spark, sf_dir):
     """What ingesting every turn would remember."""
     c = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.lit("talk").alias("scope"))
-    return segment.preview(c).select("conv_id", "turn", "seq", "kind", "title", "summary", "tags", "importance", "certainty")
+    return segment.preview(c).select("conv_id", "turn", "seq", "kind", "title", "summary", F.array_join("tags", " ").alias("tags"), "importance", "certainty")
 
 
 @_query(f"with {POST} select term, count(*) as df, sum(weight) as cf from post group by term")
@@ -440,44 +597,55 @@ def index_terms(spark, sf_dir):
 
 @_query(f"with {BM25}, r as (select qid, rowid, round(bm25, 6) as bm25, row_number() over (partition by qid order by round(bm25, 9), rowid) as n from bm) select qid, rowid, bm25 from r where n <= 25")
 def bm25_topk(spark, sf_dir):
-    index = build_index(memories(spark, sf_dir)).persist()
-    hits = search.match(search.prepare(questions(spark, sf_dir)), index)
+    m = memories(spark, sf_dir)
+    hits = search.match(search.prepare(questions(spark, sf_dir)), build_index(m).written(), m)
     top = search._numbered(hits, [F.round("bm25", 9), F.asc("rowid")], 25, "n")
     return top.select("qid", "rowid", F.round("bm25", 6).alias("bm25"))
 
 
 @_query(f"with {BM25} select qid, count(*) as hits from bm group by qid")
 def fts_prefix_match(spark, sf_dir):
-    index = build_index(memories(spark, sf_dir)).persist()
-    return search.match(search.prepare(questions(spark, sf_dir)), index).groupBy("qid").agg(F.count("*").alias("hits"))
+    m = memories(spark, sf_dir)
+    return search.match(search.prepare(questions(spark, sf_dir)), build_index(m).written(), m).groupBy("qid").agg(F.count("*").alias("hits"))
 
 
 @_query(f"with {_pool(5)} select qid, rank, rowid, score from best where rank <= 5")
 def search_ranked(spark, sf_dir):
     m = memories(spark, sf_dir)
-    out = search.search(questions(spark, sf_dir), m, now(), 5, build_index(m).persist())
+    out = search.search(questions(spark, sf_dir), m, now(), 5, build_index(m).written())
     return out.select("qid", F.col("rank").cast("long").alias("rank"), "rowid", "score")
 
 
-@_query()
+_FALLBACKS = [(1, "the of and"), (2, "ion the"), (3, "%tion. %"), (4, ""), (5, None), (6, "hingt"), (7, "n. %")]
+_ASKED = ", ".join(f"({n}, {_QUOTED([x]) if x is not None else 'null'})" for n, x in _FALLBACKS)
+_ASKED = f"""q as (
+  select qid::bigint as qid, coalesce(query, '') as query, {_ordered("t0")}[1:{X.QUERY_TERMS}] as terms
+  from (select *, {_terms("lower(coalesce(query, ''))", 2)} as t0 from (values {_ASKED}) v(qid, query))
+)"""
+
+
+@_query(f"with {_pool(5, _ASKED)} select qid, rank, rowid, score from best where rank <= 5")
 def search_fallbacks(spark, sf_dir):
     """Queries that match no phrase, or have no terms: substring search and hot memories."""
     m = memories(spark, sf_dir)
-    asked = spark.createDataFrame([(1, "the of and"), (2, "ion the"), (3, "%tion. %"), (4, ""), (5, None)], "qid long, query string")
-    return search.search(asked, m, now(), 5, build_index(m).persist()).select("qid", "rank", "rowid", "score")
+    asked = spark.createDataFrame(_FALLBACKS, "qid long, query string")
+    return search.search(asked, m, now(), 5, build_index(m).written()).select("qid", F.col("rank").cast("long").alias("rank"), "rowid", "score")
 
 
-@_query()
+@_query(f"with {_pool(20)}, {_packs('best', "select qid, 'Context pack for: ' || query as head from q", 1200, 5)}")
 def context_pack(spark, sf_dir):
     m = memories(spark, sf_dir)
-    return pack.context_packs(questions(spark, sf_dir), m, now(), index=build_index(m).persist())[0].select("qid", "used_chars", F.size("items").alias("n_items"), "rendered")
+    return pack.context_packs(questions(spark, sf_dir), m, now(), index=build_index(m).written())[0].select("qid", "used_chars", F.size("items").alias("n_items"), "rendered")
 
 
-@_query()
+@_query(f"""with {MEM}, hs as (
+  select * from (select scope as qid, []::varchar[] as terms, *, row_number() over (partition by scope order by {_HOT}) - 1 as lex from act) where lex < {search.pool_size(24)}
+), {_ranked("hs")}, {_packs("best", "select distinct scope as qid, 'Wake-up pack' as head from m", 800, 6)}""")
 def wake_up_pack(spark, sf_dir):
+    """A pack for every scope."""
     m = memories(spark, sf_dir)
-    scopes = m.select("scope").distinct().select(F.xxhash64("scope").alias("qid"), "scope")
-    return pack.wake_up_packs(scopes, m, now(), index=build_index(m).persist())[0].select("qid", "used_chars", F.size("items").alias("n_items"), "rendered")
+    scopes = m.select(F.col("scope").alias("qid"), "scope").distinct()
+    return pack.wake_up_packs(scopes, m, now())[0].select("qid", "used_chars", F.size("items").alias("n_items"), "rendered")
 
 
 _PEERS = f"""with {MEM}, tl as (
@@ -514,46 +682,117 @@ def jaccard_to_first(spark, sf_dir):
     return t.join(first, "title").select("rowid", F.round(T.jaccard(F.col("ts"), F.col("first")), 6).alias("jaccard"))
 
 
-@_query()
+_OWN_SCOPE = f"""{MEM}, own as (
+  select * replace ('doc-' || id as scope), {_norm("content || ' addendum of the day'")} as more, {_cut72("title")} as short,
+         len(list_distinct({_terms(_canon("content"))})) > 0 as alike from m
+)"""
+_NEW_ID = "md5(concat_ws(chr(31), seq::varchar, '2024-03-01T00:00:00.000000', " + "sha1(" + " || chr(10) || ".join(_canon(c) for c in ("scope", "kind", "title", "content")) + ")))"
+
+
+@_query(f"""with {_OWN_SCOPE}, mg as (
+  select rowid, id, scope, kind, short as title, more as content, {_dots("more", X.SUMMARY_CHARS)} as summary, tags || ['again'] as tags, importance, least(1.0, certainty + 0.02) as certainty,
+         true as touched from own where title <> '' and alike
+), ins as (
+  select 'new-' || scope as scope, kind, title, content, {_dots("content", X.SUMMARY_CHARS)} as summary, ['again'] as tags, importance, certainty, rowid + 1000000000000 as seq from own where title <> ''
+  union all
+  select scope, kind, title, more, {_dots("more", X.SUMMARY_CHARS)}, ['again'], importance / 2, certainty / 2, rowid from own where title <> '' and not alike
+), nw as (
+  select (select max(rowid) from m) + row_number() over (order by seq) as rowid, {_NEW_ID} as id, scope, kind, title, content, summary, tags, importance, certainty, true as touched from ins
+), al as (
+  select * from mg union all select * from nw
+  union all select rowid, id, scope, kind, title, content, summary, tags, importance, certainty, false from own where rowid not in (select rowid from mg)
+)
+select rowid, id, scope, kind, title, md5(content) as content, summary, array_to_string(tags, ' ') as tags, round(importance, 6) as importance, round(certainty, 6) as certainty,
+       sha1({" || chr(10) || ".join(_canon(c) for c in ("scope", "kind", "title", "content"))}) as fingerprint, touched from al""")
 def upsert_merge(spark, sf_dir):
-    """Half of the documents are stored, then all are remembered with another tag."""
-    m = memories(spark, sf_dir)
-    stored = m.where("rowid % 2 = 0")
-    inputs = m.select("scope", "kind", "title", "content", "summary", F.array(F.lit("again")).alias("tags"), "source", "importance", "certainty", F.col("rowid").alias("seq")).where("title <> ''")
-    after, report = upsert.remember(stored, upsert.validate(inputs)[0], now(), datetime.fromisoformat(NOW))
-    return report.select("seq", "scope", "kind", "title", "action")
-
-
-@_query(f"""with {MEM}, r as (
-  select id, rowid, title, importance, rowid as seq from m where rowid % 2 = 1 and title <> '' and content <> ''
-  union all select id, rowid, 'changed', importance / 2, rowid + 1000000000 from m where rowid % 3 = 0 and title <> '' and content <> ''
-), l as (select *, row_number() over (partition by id order by seq desc) as n from r)
-select id, title, importance from l where n = 1
-union all select id, title, importance from m where rowid % 5 = 0 and id not in (select id from l)""")
-def import_upsert(spark, sf_dir):
-    m = memories(spark, sf_dir)
-    texts = m.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in IMPORT.fields], "rowid").where("title <> '' and content <> ''")
-    first = texts.where("rowid % 2 = 1").withColumn("seq", F.col("rowid"))
-    later = texts.where("rowid % 3 = 0").withColumns({"title": F.lit("changed"), "importance": F.col("importance") / 2, "seq": F.col("rowid") + 1_000_000_000})
-    after, _ = upsert.import_memories(m.where("rowid % 5 = 0"), first.unionByName(later).drop("rowid"), now())
-    return after.select("id", "title", "importance")
-
-
-@_query(f"""with {MEM}, v as (select * from m where title <> '' and content <> ''), r as (
+    """The whole table is stored, each row in a scope of its own; all of it is remembered with more text and a tag, and once more in new scopes."""
+    m = memories(spark, sf_dir).withColumn("scope", F.concat(F.lit("doc-"), "id"))
+    m = upsert._derived(m).select(COLUMNS)
+    again = m.select("scope", "kind", "title", F.concat("content", F.lit(" addendum of the day")).alias("content"), F.array(F.lit("again")).alias("tags"), "source", (F.col("importance") / 2).alias("importance"), (F.col("certainty") / 2).alias("certainty"), F.col("rowid").alias("seq"))
+    new = m.select(F.concat(F.lit("new-"), "scope").alias("scope"), "kind", "title", "content", F.array(F.lit("again")).alias("tags"), "source", "importance", "certainty", (F.col("rowid") + 1_000_000_000_000).alias("seq"))
+    after, _ = upsert.remember(m, upsert.validate(again.unionByName(new).where("title <> ''"))[0], now(), datetime.fromisoformat(NOW))
+    return after.select(
+        "rowid", "id", "scope", "kind", "title", F.md5("content").alias("content"), "summary", F.array_join("tags", " ").alias("tags"),
+        F.round("importance", 6).alias("importance"), F.round("certainty", 6).alias("certainty"), "fingerprint", (F.col("updated_at") == now()).alias("touched"),
+    )
+
+
+_IMPORTED = f"""{MEM}, v as (select * from m where title <> '' and content <> ''), r as (
   select id, rowid, title, importance, rowid as seq from v
   union all select id, rowid, 'changed', importance / 2, rowid + 1000000000000 from v
-  union all select 'new-' || id, rowid, title, importance, rowid + 2000000000000 from v
-), l as (select *, row_number() over (partition by id order by seq desc) as n from r)
-select id, title, importance from l where n = 1
-union all select id, title, importance from m where id not in (select id from l)""")
-def import_upsert_whole(spark, sf_dir):
+  union all select 'new-' || id, null, title, importance, rowid + 2000000000000 from v
+)"""
+
+
+def _imported(spark, sf_dir):
     """The whole table is stored; all of it is imported as it is, then changed, then under new ids."""
     m = memories(spark, sf_dir)
     first = m.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in IMPORT.fields], F.col("rowid").alias("seq")).where("title <> '' and content <> ''")
     later = first.withColumns({"title": F.lit("changed"), "importance": F.col("importance") / 2, "seq": F.col("seq") + 1_000_000_000_000})
     new = first.withColumns({"id": F.concat(F.lit("new-"), "id"), "seq": F.col("seq") + 2_000_000_000_000})
-    after, _ = upsert.import_memories(m, first.unionByName(later).unionByName(new), now())
-    return after.select("id", "title", "importance")
+    return upsert.import_memories(m, first.unionByName(later).unionByName(new), now())
+
+
+@_query(f"""with {_IMPORTED}, l as (select *, row_number() over (partition by id order by seq desc) as n from r)
+select id, coalesce(rowid, (select max(rowid) from m) + row_number() over (partition by rowid is null order by seq)) as rowid, title, importance from l where n = 1
+union all select id, rowid, title, importance from m where id not in (select id from l)""")
+def import_upsert(spark, sf_dir):
+    return _imported(spark, sf_dir).memories.select("id", "rowid", "title", "importance")
+
+
+@_query(f"with {_IMPORTED} select case when rowid is null then 'created' else 'updated' end as action, count(*) as n from r group by 1")
+def action_counts(spark, sf_dir):
+    """What an import reports, rolled up."""
+    return upsert.action_counts(_imported(spark, sf_dir).report)
+
+
+_STATUS = "case o_orderstatus when 'F' then ' Fact ' when 'O' then 'NOTE' when 'P' then 'pending' else '' end"
+
+
+@_query(f"""with i as (
+  select o_orderkey, lower(trim({_STATUS})) as kind, o_totalprice / 400000 as importance, case when o_orderpriority = '5-LOW' then '  ' else o_orderpriority end as title from orders
+)
+select o_orderkey, case when kind not in ({_QUOTED(X.KINDS)}) then 'unknown kind: ' || kind when trim(title) = '' then 'title is empty'
+  when not importance between 0 and 1 then 'importance is not between 0 and 1' end as problem from i""")
+def validation(spark, sf_dir):
+    """Orders as inputs, some of a wrong kind, without a title or out of range: what is wrong with each."""
+    o = _read(spark, sf_dir, "orders").withColumn("status", F.expr(_STATUS))
+    title = F.when(F.col("o_orderpriority") == "5-LOW", "  ").otherwise(F.col("o_orderpriority"))
+    rows = o.select("o_orderkey", F.lit("orders").alias("scope"), F.col("status").alias("kind"), title.alias("title"), F.lit("some content").alias("content"), (F.col("o_totalprice") / 400000).alias("importance"))
+    good, bad = upsert.validate(rows)
+    return bad.select("o_orderkey", "problem").unionByName(good.select("o_orderkey", F.lit(None).cast("string").alias("problem")))
+
+
+@_query(f"""with {MEM}, p as (select a.id, b.id as by_id from m a join m b on b.rowid = a.rowid + 1)
+select m.id, coalesce(by_id, superseded_by) as superseded_by, strftime(case when by_id is not null then timestamp '{NOW}' else updated_at end, '%Y-%m-%d %H:%M') as updated from m left join p using (id)""")
+def revise(spark, sf_dir):
+    """Every memory is superseded by the one of the next number."""
+    m = memories(spark, sf_dir)
+    next_ = m.select((F.col("rowid") - 1).alias("rowid"), F.col("id").alias("new_id"))
+    pairs = m.select("rowid", F.col("id").alias("old_id")).join(next_, "rowid").select("old_id", "new_id")
+    return lifecycle.supersede(m, pairs, now()).select("id", "superseded_by", F.date_format("updated_at", "yyyy-MM-dd HH:mm").alias("updated"))
+
+
+@_query(f"with {POST}, ix as (select distinct rowid from post) select rowid, false as stored, true as indexed from m join ix using (rowid) where archived_at is not null")
+def index_drift(spark, sf_dir):
+    """The whole table's index against the table without its archived rows."""
+    m = memories(spark, sf_dir)
+    return verify.index_drift(m.where("archived_at is null"), build_index(m))
+
+
+_COUNTS = lambda by, source: f"(select string_agg({by} || '=' || n, ',' order by {by}) from ({source}))"
+
+
+@_query(f"""with {MEM}
+select count(*) as total, count(*) filter (archived_at is null and superseded_by is null) as active, count(*) filter (archived_at is not null or superseded_by is not null) as archived,
+  count(*) filter (created_at >= timestamp '{_CUT}') as created_since, count(*) filter (updated_at >= timestamp '{_CUT}') as updated_since,
+  {_COUNTS("kind", "select kind, count(*) as n from m group by kind")} as by_kind,
+  {_COUNTS("scope", "select scope, count(*) as n from m group by scope order by n desc, scope limit 10")} as top_scopes,
+  {_COUNTS("kind", f"select kind, count(*) as n from m where updated_at >= timestamp '{_CUT}' group by kind")} as by_kind_since from m""")
+def stats_report(spark, sf_dir):
+    out = stats.report(memories(spark, sf_dir), F.lit(_CUT).cast("timestamp"))
+    flat = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias(c)
+    return out.select("total", "active", "archived", "created_since", "updated_since", flat("by_kind"), flat("top_scopes"), flat("by_kind_since"))
 
 
 _SEEN = f"""with a as (

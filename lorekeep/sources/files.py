@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,18 +46,43 @@ def resolve_format(path: str, given: str | None = None) -> str:
 
 
 def read_import(spark: SparkSession, path: str, format: str | None = None) -> DataFrame:
-    """Records with ``seq`` in file order: JSON lines, or an envelope, a list or a single record."""
-    if resolve_format(path, format) == "jsonl":
-        rows = spark.read.schema(IMPORT).json(path)
-        return rows.withColumn("seq", F.monotonically_increasing_id())
-    text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\\x{FEFF}", "").alias("value"))
-    envelope = T.StructType([*IMPORT.fields, T.StructField("memories", T.ArrayType(IMPORT))])
-    trimmed = F.trim(F.regexp_replace("value", r"^\s+", ""))
-    whole = F.from_json(trimmed, envelope)
-    several = F.from_json(trimmed, T.ArrayType(IMPORT))
-    record = F.struct(*[whole[n].alias(n) for n in EXPORT])
-    listed = F.when(trimmed.startswith("["), several).when(whole["memories"].isNotNull(), whole["memories"]).otherwise(F.array(record))
-    return text.select(F.posexplode(listed).alias("seq", "m")).select("m.*", F.col("seq").cast("long").alias("seq"))
+    """Records with ``seq`` in the order of files and of their lines: JSON lines, or an envelope, a list or a single record.
+
+    A line or a text that is no JSON, or no record, fails the job.
+    """
+    jsonl = resolve_format(path, format) == "jsonl"
+    if jsonl:  # a file's lines stay in order within a split, and splits are told apart by where they start
+        split = F.struct("_metadata.file_path", "_metadata.file_block_start")
+        text = spark.read.text(path).select("value", split.alias("split"), F.monotonically_increasing_id().alias("n"))
+        text = text.withColumn("value", F.regexp_replace("value", "^\\x{FEFF}", "")).where(F.trim("value") != "")
+    else:
+        split = F.struct("_metadata.file_path", F.lit(0).cast("long").alias("file_block_start"))
+        text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^(?:\\x{FEFF}|\\s)+", "").alias("value"), split.alias("split"), F.lit(0).cast("long").alias("n"))
+    broken = "_broken"
+    record = T.StructType([*IMPORT.fields, T.StructField(broken, T.StringType())])
+    envelope = T.StructType([*IMPORT.fields, T.StructField("memories", T.ArrayType(IMPORT)), T.StructField(broken, T.StringType())])
+    options = {"columnNameOfCorruptRecord": broken}
+    fail = lambda what: F.raise_error(F.concat(F.lit(f"{what}: "), F.substring("value", 1, 80)))
+    plain = lambda s: F.struct(*[s[n].alias(n) for n in EXPORT])
+    if jsonl:
+        one = F.from_json("value", record, options)
+        listed = F.when(one.isNull() | one[broken].isNotNull(), fail("this line is no JSON record").cast(T.ArrayType(IMPORT))).otherwise(F.array(plain(one)))
+    else:
+        several, whole = F.from_json("value", T.ArrayType(IMPORT)), F.from_json("value", envelope, options)
+        no_json = fail("this text is no JSON of records").cast(T.ArrayType(IMPORT))
+        listed = (
+            F.when(F.col("value").startswith("["), F.coalesce(several, no_json))
+            .when(whole.isNull() | whole[broken].isNotNull(), no_json)
+            .otherwise(F.coalesce(whole["memories"], F.array(plain(whole))))
+        )
+    rows = text.select("split", "n", F.posexplode(listed).alias("at", "m"))
+    # a number by split (a row each), then by line and by record
+    order = Window.orderBy("split.file_path", "split.file_block_start")
+    splits = rows.select("split").distinct().withColumn("file", F.row_number().over(order).cast("long"))
+    first = rows.groupBy("split").agg(F.min("n").alias("first"))
+    numbered = rows.join(F.broadcast(splits.join(first, "split")), "split")
+    within = (F.col("n") - F.col("first")).bitwiseAND((1 << 33) - 1) if jsonl else F.col("at").cast("long")
+    return numbered.select("m.*", (F.shiftleft("file", 33) + within).alias("seq"))
 
 
 def read_texts(spark: SparkSession, path: str, scope: str) -> DataFrame:

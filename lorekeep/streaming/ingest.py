@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.api import MemoryStore
+from lorekeep.operators.lineage import cut
 from lorekeep.operators.segment import preview
 
 
@@ -18,7 +19,7 @@ def ingest_stream(texts: DataFrame, store: MemoryStore, checkpoint: str):
     def write(batch: DataFrame, epoch: int) -> None:
         found = preview(batch.withColumn("_text", F.monotonically_increasing_id()))
         ordered = found.orderBy("_text", "seq").withColumn("seq", F.monotonically_increasing_id()).drop("_text")
-        store.remember_many(ordered.persist())
+        store.remember_all(cut(ordered))  # numbers are dealt once
 
     return texts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 

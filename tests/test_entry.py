@@ -41,10 +41,10 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_import_upsert_whole_reaches_every_row(spark):
+def test_import_upsert_reaches_every_row(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     ids = {str(r.doc_id) for r in docs.select("doc_id").collect()}
     blank = {str(r.doc_id) for r in docs.where(r"text is null or not text rlike '\\S'").select("doc_id").collect()}
-    got = {r.id: r.title for r in QUERIES["import_upsert_whole"](spark, DATA).collect()}
+    got = {r.id: r.title for r in QUERIES["import_upsert"](spark, DATA).collect()}
     assert set(got) == ids | {f"new-{i}" for i in ids - blank}
     assert {i for i, title in got.items() if title == "changed"} == ids - blank
