@@ -16,6 +16,7 @@ from lorekeep.functions import enrich
 from lorekeep.functions.text import excerpt, index_tokens, let, normalize_tags, query_terms, search_phrases
 from lorekeep.operators.filters import LOWER_ASCII, active, has_tag, hot_first, important_first, like
 from lorekeep.operators.index import Index, build_index
+from lorekeep.operators.lineage import cut
 
 
 def prepare(queries: DataFrame, stemming: bool = True) -> DataFrame:
@@ -115,7 +116,8 @@ def retrieve(prepared: DataFrame, memories: DataFrame, index: Index, limit: int,
     # hits are filtered and cut on narrow rows; only the pools meet the texts
     narrow = memories.select("rowid", "scope", "kind", "tags", "archived_at", "superseded_by")
     hits = match(prepared, index, memories).join(narrow, "rowid").join(texts.select("qid", "q_scope", "q_kind", "q_tags"), "qid").where(_fits(include_archived))
-    pools = _numbered(hits.select("qid", "rowid", "bm25"), [F.round("bm25", 9).asc(), F.asc("rowid")], most).drop("bm25")
+    # a pool's few row numbers for each query: used for the pools and for what missed, so they are written once
+    pools = cut(_numbered(hits.select("qid", "rowid", "bm25"), [F.round("bm25", 9).asc(), F.asc("rowid")], most).drop("bm25"))
     missed = with_terms.join(pools.select("qid").distinct(), "qid", "left_anti")
     # few queries get here; each must look at every text (a stated query set), and no row goes on but for the pools
     seen = memories.select("rowid", "scope", "kind", "tags", "archived_at", "superseded_by", "title", "summary", "content", "importance", "certainty", "updated_at")
