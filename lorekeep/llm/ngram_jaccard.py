@@ -46,6 +46,8 @@ from lorekeep.llm.graph import components
 
 #: Shingles of a block: 8 MB of hashes.
 BLOCK = 1_000_000
+#: Shingles for each part of the key space, at most: a set emits a key for every two or three of them, of 16 bytes.
+PART_SHINGLES = 4_000_000
 #: Blocks that a cluster is dealt into, at most, for the sake of even work alone.
 SPREAD = 8
 #: Text that is hashed at once, keys that leave a task at once, words that a worker remembers.
@@ -471,7 +473,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     of = cut(sets.join(classes, ["h1", "h2"]).groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("n_shingles").alias("n_shingles")))
     size = cut(of.groupBy("rep").agg(F.count("*").alias("copies")))
 
-    tied = candidate_ties(docs, width, bands, partitions(docs.sparkSession))
+    # a part of the key space is held by one task: by the number of shingles, whatever the number of partitions is
+    total = hashed.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    tied = candidate_ties(docs, width, bands, max(partitions(docs.sparkSession), -(-total // PART_SHINGLES)))
     rep = lambda c: of.select(F.col("doc_id").alias(c), F.col("rep").alias(f"{c}r"))
     tied = tied.join(rep("u"), "u").join(rep("v"), "v").where("ur <> vr").select(F.col("ur").alias("u"), F.col("vr").alias("v"))
     clusters = components(tied)

@@ -9,50 +9,25 @@ import numpy as np
 
 
 class SharedArrays:
-    """Named arrays under a URI. A local or mounted folder is mapped in place; other stores are copied to the worker first."""
+    """Named arrays under a URI of a folder that every machine mounts; nothing is copied to a machine's own folder."""
 
     def __init__(self, uri: str):
-        self.uri = uri
         parsed = urlparse(uri)
-        self.local = parsed.path if parsed.scheme in ("", "file") else None
-        self._copies = None
+        if parsed.scheme not in ("", "file"):
+            raise ValueError(f"arrays are memory-mapped, so the shared folder has to be mounted (file:), not {parsed.scheme}:")
+        self.folder = parsed.path
 
     def write(self, name: str, array: np.ndarray) -> None:
         """Whole or not at all: a task that is run again writes the same file again."""
-        tail = f"{name}.npy"
-        if self.local is not None:
-            os.makedirs(self.local, exist_ok=True)
-            temporary = f"{self.local}/.{tail}.{os.getpid()}"
-            with open(temporary, "wb") as f:
-                np.save(f, array)
-            os.replace(temporary, f"{self.local}/{tail}")
-            return
-        from pyarrow import fs
-
-        store, path = fs.FileSystem.from_uri(self.uri)
-        store.create_dir(path, recursive=True)
-        with store.open_output_stream(f"{path}/{tail}") as f:
+        os.makedirs(self.folder, exist_ok=True)
+        temporary = f"{self.folder}/.{name}.npy.{os.getpid()}"
+        with open(temporary, "wb") as f:
             np.save(f, array)
+        os.replace(temporary, f"{self.folder}/{name}.npy")
 
     def read(self, name: str) -> np.ndarray:
         """Mapped read-only."""
-        if self.local is not None:
-            return self._map(f"{self.local}/{name}.npy")
-        import tempfile
-
-        from pyarrow import fs
-
-        if self._copies is None:
-            self._copies = tempfile.TemporaryDirectory()
-        store, path = fs.FileSystem.from_uri(self.uri)
-        to = f"{self._copies.name}/{name}.npy"
-        with store.open_input_stream(f"{path}/{name}.npy") as f, open(to, "wb") as g:
-            while part := f.read(1 << 24):
-                g.write(part)
-        return self._map(to)
-
-    @staticmethod
-    def _map(path: str) -> np.ndarray:
+        path = f"{self.folder}/{name}.npy"
         if os.path.getsize(path) <= 128:
             return np.load(path)
         a = np.load(path, mmap_mode="r")

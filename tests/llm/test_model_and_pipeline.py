@@ -135,7 +135,7 @@ def test_parts_follow_the_text_and_a_lost_array_fails(spark, monkeypatch):
     scorer = ngram_lm.Scorer(model)
     assert all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(scorer.score(texts)[3], want))
     level, part = next((k, p) for k, p in sorted(model.written) if k == "3")
-    os.remove(f"{SharedArrays(model.uri).local}/b{level}-{part}-key.npy")
+    os.remove(f"{SharedArrays(model.uri).folder}/b{level}-{part}-key.npy")
     with pytest.raises(FileNotFoundError):
         ngram_lm.Scorer(model).score(texts)
 
