@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lorekeep.llm import ngram_lm
+from lorekeep.llm import ngram_jaccard, ngram_lm
 from lorekeep.llm.queries import ORACLE_SQL, QUERIES
 
 from .test_text_ops import LOWER, ODD, WORD, brute_components, brute_contamination, brute_lines, counts, docs_of, empty, passage, reference
@@ -198,6 +198,22 @@ def test_pipeline(spark, tmp_path):
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
+def test_near_duplicate_stage_shuffles_no_text(spark, monkeypatch):
+    rnd = random.Random(12)
+    texts = [passage(rnd, 80) for _ in range(12)]
+    df = docs_of(spark, texts + [f"{t} end" for t in texts[:4]])
+    before, joins = ngram_jaccard.cut, []
+    monkeypatch.setattr(ngram_jaccard, "cut", lambda d, *a: joins.append(d._jdf.queryExecution().sparkPlan().toString()) or before(d, *a))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.near_duplicate_stage(spark, df, "")
+        plans = [out._jdf.queryExecution().sparkPlan().toString(), *[p for p in joins if "FlatMapGroupsInArrow" in p and "copies" in p]]
+        assert sorted(r.doc_id for r in out.collect()) == list(range(12))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(plans) == 2 and all("BroadcastHashJoin" in p and "SortMergeJoin" not in p for p in plans)
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, name):
     import duckdb
