@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from lorekeep import lexicon as X
 
 SPACES = r"(?U)[\s\x1c-\x1f\x{FEFF}\x{200B}]+"
+#: What ``SPACES`` would change: white space other than single blanks, or any sign beyond ASCII that might be such.
+UNEVEN = r"[\x09-\x0d\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]|  "
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 TOKEN = r"[\p{L}\p{N}_]+"
 #: Latin letters with marks, and the plain letters: by decomposition, over Latin-1 to Latin Extended-B.
@@ -47,8 +49,8 @@ def text(c: Column) -> Column:
 
 
 def normalize_space(c: Column) -> Column:
-    """White space as single blanks, none at the ends; null is empty."""
-    return F.trim(F.regexp_replace(text(c), SPACES, " "))
+    """White space as single blanks, none at the ends; null is empty. Most texts have nothing to replace."""
+    return F.trim(let(text(c), lambda x: F.when(x.rlike(UNEVEN), F.regexp_replace(x, SPACES, " ")).otherwise(x)))
 
 
 def normalize_tags(c: Column) -> Column:
@@ -59,10 +61,14 @@ def normalize_tags(c: Column) -> Column:
 
 def canonicalize(c: Column) -> Column:
     """Lower case, no apostrophes, other punctuation as blanks; hyphen and underscore stay."""
-    plain = F.translate(F.lower(normalize_space(c)), X.APOSTROPHES, "")
+    plain = _no_apostrophes(F.lower(normalize_space(c)))
     return normalize_space(F.regexp_replace(plain, r"[^\p{L}\p{N}_\s-]+", " "))
 
 
+def _no_apostrophes(c: Column) -> Column:
+    return let(c, lambda x: F.when(x.rlike(f"[{X.APOSTROPHES}]"), F.translate(x, X.APOSTROPHES, "")).otherwise(x))
+
+
 def _terms(source: Column, least: int, most: int | None) -> Column:
     found = F.regexp_extract_all(source, F.lit(TOKEN), F.lit(0))
     kept = F.array_distinct(F.filter(found, lambda t: (F.length(t) >= least) & ~t.isin(X.STOP_WORDS)))
@@ -71,7 +77,10 @@ def _terms(source: Column, least: int, most: int | None) -> Column:
 
 def semantic_terms(c: Column, most: int | None = None) -> Column:
     """Distinct terms of three letters or more that are no stop words, in order."""
-    return _terms(canonicalize(c), 3, most)
+    # the terms of the canonical text: blanks and punctuation part terms as they are. Signs without width may decide how a
+    # letter before them is lower-cased, so they become blanks first
+    even = let(text(c), lambda x: F.when(x.rlike(r"[\x{FEFF}\x{200B}]"), normalize_space(x)).otherwise(x))
+    return _terms(_no_apostrophes(F.lower(even)), 3, most)
 
 
 def query_terms(c: Column) -> Column:
@@ -103,8 +112,13 @@ def deep_stem(term: Column) -> Column:
 def stems_text(title: Column, content: Column, tags: Column) -> Column:
     """Distinct deep stems of the terms of title, content and tags. Only Cyrillic terms can change."""
     whole = F.concat_ws(" ", text(title), text(content), F.when(F.size(tags) > 0, F.array_join(tags, " ")))
-    stems = F.transform(semantic_terms(whole), lambda t: F.when(t.rlike(r"[\x{0400}-\x{04FF}]"), deep_stem(t)).otherwise(t))
-    return F.array_join(F.array_distinct(F.filter(stems, lambda t: t != "")), " ")
+    cyrillic = r"[\x{0400}-\x{04FF}]"
+
+    def stems(terms: Column) -> Column:
+        each = F.transform(terms, lambda t: F.when(t.rlike(cyrillic), deep_stem(t)).otherwise(t))
+        return F.array_distinct(F.filter(each, lambda t: t != ""))
+
+    return let(whole, lambda w: let(semantic_terms(w), lambda x: F.array_join(F.when(F.lower(w).rlike(cyrillic), stems(x)).otherwise(x), " ")))
 
 
 def fingerprint(scope: Column, kind: Column, title: Column, content: Column) -> Column:
@@ -202,8 +216,8 @@ def _cut_window(whole: Column, at: Column, most: int) -> Column:
 
 def index_tokens(c: Column) -> Column:
     """Tokens of the full-text index: letters and digits, lower case, Latin letters without marks."""
-    lower = F.lower(text(c))
-    plain = F.translate(lower, "".join(a for a, _ in MARKED), "".join(b for _, b in MARKED))
+    marked = "".join(a for a, _ in MARKED)
+    plain = let(F.lower(text(c)), lambda x: F.when(x.rlike(r"[\x{C0}-\x{24F}]"), F.translate(x, marked, "".join(b for _, b in MARKED))).otherwise(x))
     return F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 

@@ -460,3 +460,34 @@ def test_ingest_by_dialogue(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["--table", str(tmp_path / "c"), "update", "--id", s.list()[0]["id"]], spark) == 1
     assert cli.main(["--table", str(tmp_path / "c"), "list"], spark) == 0 and "/team.x]" in capsys.readouterr().out
     assert cli.main(["--table", str(tmp_path / "c"), "verify"], spark) == 0 and "healthy, version" in capsys.readouterr().out
+
+
+PHRASES = ["parquet scans", "s a_ p", "sort_copy", "archive_is kept_in", "of and", "zzz", "переказ порядку", "a_"]
+
+
+def test_matching_texts_needs_no_index(spark, monkeypatch):
+    rows = [*BASE, {"scope": "q", "kind": "fact", "title": "Порядок", "content": "Перекази про порядок ÀÉ sort_copy sort copy, a p"}, {"scope": "q", "kind": "fact", "title": "-", "content": "-"}]
+    m, _ = remember(spark, spark.createDataFrame([], MEMORIES), rows)
+    m = m.cache()
+    asked = search.prepare(spark.createDataFrame(list(enumerate(PHRASES)), "qid long, query string"))
+    bm25 = lambda df: {(r.qid, r.rowid): round(r.bm25, 9) for r in df.collect()}
+    want = bm25(search.match(asked, build_index(m), m))
+    assert len({q for q, _ in want}) >= 5
+    monkeypatch.setattr(search, "build_index", None)
+    hits = search.match_texts(asked, m)
+    assert bm25(hits) == want
+    # hits are grouped where their rows lie: the one exchange deals the rows, and is not of (rowid, qid)
+    single = search.match_texts(search.prepare(spark.createDataFrame([(1, "parquet scans")], "qid long, query string")), m)
+    assert single._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    only = m.where("rowid > 1").select("rowid")
+    assert bm25(search.match_texts(asked, m, only)) == {k: v for k, v in want.items() if k[1] > 1}
+    few = search._numbered(hits, [F.asc("bm25")], 2)
+    assert "WindowGroupLimit" in few._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_batch_of_many_words_gets_an_index(spark, monkeypatch):
+    m, _ = remember(spark, spark.createDataFrame([], MEMORIES), BASE)
+    asked = search.prepare(spark.createDataFrame([(1, "parquet scans")], "qid long, query string"))
+    want = {(r.qid, r.rowid, r.bm25) for r in search.match(asked, build_index(m), m).collect()}
+    monkeypatch.setattr(search, "NEEDLES", 1)
+    assert want and {(r.qid, r.rowid, r.bm25) for r in search.match_texts(asked, m).collect()} == want
