@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lorekeep import lexicon as X
 from lorekeep.functions.text import jaccard, semantic_terms
-from lorekeep.operators.index import Index, build_index
+from lorekeep.operators.index import Index
 from lorekeep.operators.lineage import cut
 from lorekeep.operators.search import search, search_hot
 
@@ -68,14 +68,12 @@ def render(results: DataFrame, asked: DataFrame, header: Column, budget: int, li
 
 def context_packs(queries: DataFrame, memories: DataFrame, now: Column, budget: int = 1200, limit: int = 5, threshold: float = X.NEAR_DUPLICATE, index: Index | None = None) -> tuple[DataFrame, DataFrame]:
     """(packs, results): a pack by query; queries that match nothing show hot memories and say so."""
-    index = index or build_index(memories)
     most = 4 * limit
     direct = cut(search(queries, memories, now, most, index))  # 4 x limit rows a query, used for packs and for what missed
     asked = queries.select("qid", F.coalesce("query", F.lit("")).alias("query"))
-    missed = queries.join(direct.select("qid").distinct(), "qid", "left_anti").where(F.trim(F.coalesce("query", F.lit(""))) != "")
-    hot = search_hot(missed, memories, now, most)
+    missed = cut(queries.join(direct.select("qid").distinct(), "qid", "left_anti").where(F.trim(F.coalesce("query", F.lit(""))) != ""))
     asked = asked.join(missed.select("qid", F.lit(True).alias("hot")), "qid", "left")
-    results = direct.unionByName(hot)
+    results = direct.unionByName(search_hot(missed, memories, now, most)) if missed.limit(1).count() else direct
     title = F.concat(F.lit("Context pack for: "), F.col("query"))
     header = F.when(F.col("hot"), F.concat(title, F.lit(" (no direct match; showing hot memories)"))).otherwise(title)
     return render(results, asked, header, budget, limit, threshold), results

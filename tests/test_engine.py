@@ -510,3 +510,14 @@ def test_search_shuffles_no_text(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     # texts meet the pools by broadcast; the pools' rows alone are joined with the batch
     assert re.findall(r"SortMergeJoin \[(\w+)#", plan) == ["qid"] and "LeftSemi" in plan
+
+
+def test_packs_need_no_index(spark, monkeypatch):
+    m, _ = remember(spark, spark.createDataFrame([], MEMORIES), BASE)
+    m = spark.createDataFrame(m.collect(), m.schema)
+    asked = spark.createDataFrame([(1, "parquet scans"), (2, "sorted copy")], "qid long, query string")
+    want = sorted(r.rendered for r in pack.context_packs(asked, m, now(), index=build_index(m))[0].collect())
+    monkeypatch.setattr(search, "build_index", None)
+    monkeypatch.setattr(pack, "build_index", None, raising=False)
+    monkeypatch.setattr(pack, "search_hot", None)  # each query has hits
+    assert sorted(r.rendered for r in pack.context_packs(asked, m, now())[0].collect()) == want
