@@ -7,13 +7,11 @@ them against each other.
 from __future__ import annotations
 
 import hashlib
-import re
 import unicodedata
 from functools import lru_cache
 
 from lorekeep import lexicon as X
 
-_SPACES = re.compile(r"[\s\x1c-\x1f﻿​]+")
 _STOPS = frozenset(X.STOP_WORDS)
 
 
@@ -30,18 +28,39 @@ class _Plain(dict):
 _PLAIN = _Plain()
 
 
+def _visible(s: str) -> str:
+    return s.replace("\ufeff", " ").replace("\u200b", " ")
+
+
 def squeeze(s: str) -> str:
-    return _SPACES.sub(" ", s).strip(" ")
+    if s.isprintable() and "  " not in s and s == s.strip(" "):  # blanks are the only white space that is printable
+        return s
+    return " ".join(_visible(s).split())
+
+
+@lru_cache(maxsize=256)
+def _canonical_words(s: str) -> list[str]:
+    s = _visible(s).lower()
+    if s.isascii():
+        return s.translate(_PLAIN).split()
+    for ch in set(s):  # few of a text's distinct signs go; a look-up for each sign of the text costs more
+        if (code := _PLAIN[ord(ch)]) != ord(ch):
+            s = s.replace(ch, "" if code is None else " ")
+    return s.split()
 
 
 def canonical(s: str) -> str:
-    return squeeze(squeeze(s).lower().translate(_PLAIN))
+    return " ".join(_canonical_words(s))
 
 
-@lru_cache(maxsize=4096)
+@lru_cache(maxsize=256)
 def terms(s: str) -> tuple[str, ...]:
-    words = canonical(s).replace("-", " ").split(" ")
-    return tuple(dict.fromkeys(w for w in words if len(w) >= 3 and w not in _STOPS))
+    words = dict.fromkeys(_canonical_words(s))
+    if "-" in s:
+        words = dict.fromkeys(" ".join(words).replace("-", " ").split())
+    for w in _STOPS.intersection(words):
+        del words[w]
+    return tuple([w for w in words if len(w) >= 3])
 
 
 def _first_cut(term: str, endings, fits, cut) -> str:
@@ -68,7 +87,7 @@ def fingerprint(*parts: str) -> str:
 
 
 def overlap(a: tuple[str, ...], b: tuple[str, ...]) -> float:
-    return len(set(a) & set(b)) / min(len(a), len(b)) if a and b else 0.0
+    return len(set(a).intersection(b)) / min(len(a), len(b)) if a and b else 0.0
 
 
 def richer(old: str, new: str, most: int | None = None) -> str:

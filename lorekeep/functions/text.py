@@ -14,8 +14,14 @@ from pyspark.sql import functions as F
 from lorekeep import lexicon as X
 
 SPACES = r"(?U)[\s\x1c-\x1f\x{FEFF}\x{200B}]+"
-#: What ``SPACES`` would change: white space other than single blanks, or any sign beyond ASCII that might be such.
-UNEVEN = r"[\x09-\x0d\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]|  "
+#: White space other than blanks.
+UNEVEN = r"[\x09-\x0d\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+#: Everything but ASCII and the alphabets up to U+167F: texts without such signs hold no white space but blanks.
+UNUSUAL = r"[^\x20-\x7e\xa1-\x{167f}]"
+#: What is no letter, digit, underscore or hyphen; frequent letters first, as the class is tried in its order.
+_SIGN = r"[^a-z0-9_\-\p{L}\p{N}]"
+#: Runs of such signs, other than a blank alone.
+SIGNS = rf"[^a-z0-9_ \-\p{{L}}\p{{N}}]{_SIGN}*+| {_SIGN}++"
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 TOKEN = r"[\p{L}\p{N}_]+"
 #: Latin letters with marks, and the plain letters: by decomposition, over Latin-1 to Latin Extended-B.
@@ -50,7 +56,10 @@ def text(c: Column) -> Column:
 
 def normalize_space(c: Column) -> Column:
     """White space as single blanks, none at the ends; null is empty. Most texts have nothing to replace."""
-    return F.trim(let(text(c), lambda x: F.when(x.rlike(UNEVEN), F.regexp_replace(x, SPACES, " ")).otherwise(x)))
+    # line ends by bytes; patterns for what is rarer
+    even = F.replace(text(c), F.lit("\n"), F.lit(" "))
+    rest = lambda x: F.when(x.rlike(UNUSUAL) & x.rlike(UNEVEN), F.regexp_replace(x, SPACES, " ")).when(x.contains("  "), F.regexp_replace(x, "  +", " ")).otherwise(x)
+    return F.trim(let(even, rest))
 
 
 def normalize_tags(c: Column) -> Column:
@@ -61,12 +70,13 @@ def normalize_tags(c: Column) -> Column:
 
 def canonicalize(c: Column) -> Column:
     """Lower case, no apostrophes, other punctuation as blanks; hyphen and underscore stay."""
-    plain = _no_apostrophes(F.lower(normalize_space(c)))
-    return normalize_space(F.regexp_replace(plain, r"[^\p{L}\p{N}_\s-]+", " "))
+    return F.trim(F.regexp_replace(_no_apostrophes(F.lower(normalize_space(c))), SIGNS, " "))
 
 
 def _no_apostrophes(c: Column) -> Column:
-    return let(c, lambda x: F.when(x.rlike(f"[{X.APOSTROPHES}]"), F.translate(x, X.APOSTROPHES, "")).otherwise(x))
+    for sign in X.APOSTROPHES:
+        c = F.replace(c, F.lit(sign), F.lit(""))
+    return c
 
 
 def _terms(source: Column, least: int, most: int | None) -> Column:
@@ -168,6 +178,17 @@ def merge_sources(existing: Column, candidate: Column, most: int = X.SOURCE_CHAR
     return ellipsis(F.array_join(F.array_distinct(F.filter(parts, lambda p: p != "")), "; "), most)
 
 
+def blank(c: Column) -> Column:
+    """Whether nothing is left of a text once it is normalised; looks no further than its first sign."""
+    return ~text(c).rlike(r"(?U)[^\s\x1c-\x1f\x{FEFF}\x{200B}]")
+
+
+def first_words(c: Column, most: int) -> Column:
+    """The first words of the normalised text; only the beginning is looked at."""
+    space = r"[\s\x1c-\x1f\x{FEFF}\x{200B}]"
+    return normalize_space(F.regexp_extract(text(c), rf"(?U)^{space}*+(?:[^{space[1:]}++{space}*+){{0,{most}}}", 0))
+
+
 def lines(c: Column) -> Column:
     return F.split(text(c), LINE_ENDS, -1)
 

@@ -354,6 +354,25 @@ def test_upsert_against_one_by_one(spark):
     assert verify.drift(together).count() == 0
 
 
+def test_stored_rows_without_fingerprints(spark, base):
+    """They get theirs in the merge, whether it touches them or not, and meet as others do."""
+    bare = base.withColumn("fingerprint", F.lit(None).cast("string"))
+    again = {**BASE[0], "tags": ["again"]}
+    near = {**BASE[3], "content": "Nothing alike is said here about anything."}
+    got, report = remember(spark, bare, [again, near])
+    want, _ = remember(spark, base, [again, near])
+    assert rows_of(got) == rows_of(want) and [r.action for r in report.orderBy("seq").collect()] == ["updated", "created"]
+    assert verify.drift(got).count() == 0
+
+
+def test_rows_that_meet_but_stay_are_left_alone(spark, base):
+    """A stored row that no input merges into keeps all its columns."""
+    odd = base.withColumn("stems_text", F.lit("as it was"))
+    got, _ = remember(spark, odd, [{**BASE[3], "content": "Nothing alike is said here about anything."}, {**BASE[1], "scope": "elsewhere"}])
+    kept = [r for r in rows_of(got) if r["rowid"] <= 4]
+    assert kept == rows_of(odd)
+
+
 def test_broken_imports_fail(spark, tmp_path):
     with MemoryStore(spark, str(tmp_path / "t"), clock=lambda: NOW) as s:
         for name, text in (("a.json", '[{"scope": "s", "kind": "note"'), ("b.json", "no json"), ("c.jsonl", '{"scope": "s", "kind": "note", "title": "t", "content": "c c"}\n{"scope": ')):

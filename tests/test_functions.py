@@ -125,3 +125,10 @@ def test_long_sources_and_titles_are_cut(spark):
         assert one(spark, lambda c: T.derive_title(c, F.lit(kind)), f"{opening}mix the two archives.") == "mix the two archives"
     title = one(spark, lambda c: T.derive_title(c, F.lit("note")), "extraordinarily " * 12)
     assert title == " ".join(["extraordinarily"] * 4)
+
+
+def test_beginnings_equal_those_of_whole_texts(spark):
+    odd = [None, "", " \u200b\ufeff\x1c ", "one", "\n\n one\u00a0two\tthree\u3000four  five six seven eight nine ten eleven", "\x85a b\r\nc", "'' -", "a  b"]
+    df = spark.createDataFrame([(x,) for x in odd], "x string")
+    for r in df.select("x", T.normalize_space(F.col("x")).alias("n"), T.first_words(F.col("x"), 10).alias("w"), T.blank(F.col("x")).alias("b")).collect():
+        assert r.w == " ".join(r.n.split(" ")[:10]) and r.b == (r.n == "") and r.n == plain.squeeze(r.x or "")
