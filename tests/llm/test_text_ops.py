@@ -228,6 +228,32 @@ def test_components(spark):
     assert got == {**dict.fromkeys((3, 4, 5, 8, 9), 3), **dict.fromkeys((20, 21, 22), 20), **dict.fromkeys(range(100, 141), 100)}
 
 
+def test_small_graphs_are_written_as_few_files(spark, monkeypatch):
+    parts, cut = [], graph.cut
+
+    def counted(df):
+        out = cut(df)
+        parts.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(graph, "cut", counted)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30)], "u long, v long")
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = graph.components(edges).collect()
+        few = parts[:]
+        monkeypatch.setattr(graph, "PART_EDGES", 1)  # many edges for each part: nothing is drawn together
+        assert sorted(graph.components(edges).collect()) == sorted(got) and max(parts[len(few) + 1 :]) >= 40
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert {r.component for r in got} == {0} and len(got) == 31
+    assert len(few) > 4 and set(few[1:]) == {1}
+
+
 # ---- packing
 
 
