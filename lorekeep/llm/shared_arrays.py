@@ -25,10 +25,13 @@ class SharedArrays:
             np.save(f, array)
         os.replace(temporary, f"{self.folder}/{name}.npy")
 
+    def remove(self, name: str) -> None:
+        os.remove(f"{self.folder}/{name}.npy")
+
     def read(self, name: str) -> np.ndarray:
-        """Mapped read-only."""
+        """Mapped read-only; small ones are loaded, as maps are limited in number."""
         path = f"{self.folder}/{name}.npy"
-        if os.path.getsize(path) <= 128:
+        if os.path.getsize(path) <= 4096:
             return np.load(path)
-        a = np.load(path, mmap_mode="r")
+        a = np.load(path, mmap_mode="r").view(np.ndarray)
         return a if len(a) else np.empty(0, a.dtype)

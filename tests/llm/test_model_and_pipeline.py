@@ -140,6 +140,72 @@ def test_parts_follow_the_text_and_a_lost_array_fails(spark, monkeypatch):
         ngram_lm.Scorer(model).score(texts)
 
 
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_rounds_give_the_same_model_and_leave_only_its_arrays(spark, monkeypatch, order):
+    from lorekeep.llm.shared_arrays import SharedArrays
+
+    rnd = random.Random(order)
+    texts = [*ODD[:8], *[passage(rnd, 60, 200) for _ in range(60)], "a b c " * 400]
+    whole = ngram_lm.train(docs_of(spark, texts).repartition(3), order)
+    monkeypatch.setattr(ngram_lm, "ROUND_CHARS", 500)
+    monkeypatch.setattr(ngram_lm, "COUNT_TOKENS", 700)
+    model = ngram_lm.train(docs_of(spark, texts).repartition(3), order)
+    assert model.parts == 8 * ngram_lm.ROUNDS > whole.parts and (model.tokens, model.types, model.d_gram, model.d_word) == (whole.tokens, whole.types, whole.d_gram, whole.d_word)
+    want, _, _ = plain_scores(texts, texts, order)
+    assert all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(ngram_lm.Scorer(model).score(texts)[3], want))
+    names = os.listdir(SharedArrays(model.uri).folder)
+    assert names and all(n[0] in "buvw" for n in names)
+
+
+def test_arrays_are_small(spark):
+    from lorekeep.llm.shared_arrays import SharedArrays
+
+    rnd = random.Random(3)
+    texts = [" ".join(f"w{rnd.randrange(5000)}" for _ in range(400)) for _ in range(500)]
+    model = ngram_lm.train(docs_of(spark, texts))
+    folder = SharedArrays(model.uri).folder
+    size = {k: sum(os.path.getsize(f"{folder}/{n}") for n in os.listdir(folder) if n.startswith(k)) for k in ("b3", "v3")}
+    words = [["", "", *t.split(), "."] for t in texts]
+    grams = len({g for w in words for g in zip(w, w[1:], w[2:])})
+    heads = len({g for w in words for g in zip(w, w[1:-1])})
+    # before: 9 bytes of an n-gram, 24 of a context
+    assert size["b3"] < 8 * grams and size["v3"] < 10 * heads
+
+
+def test_keys_without_their_top_bits(tmp_path):
+    import numpy as np
+
+    from lorekeep.llm.shared_arrays import SharedArrays
+
+    rnd, store = np.random.default_rng(1), SharedArrays(str(tmp_path))
+    for n, mask in ((0, -1), (1, -1), (1000, -1), (1000, 0xFFFF0003000000FF), (1000, 0xFFFF)):
+        draw = lambda n: rnd.integers(0, 1 << 64, n, dtype=np.uint64)
+        keys = np.unique(draw(n) & np.uint64(mask & 0xFFFFFFFFFFFFFFFF))
+        ngram_lm.write_keys(store, "x", keys)
+        asked = np.concatenate([keys, keys + np.uint64(1), draw(300)])
+        at = ngram_lm.places(store.read("x-key"), store.read("x-at"), asked)
+        there = np.isin(asked, keys)
+        assert ((at >= 0) == there).all() and (keys[at[there]] == asked[there]).all()
+    stats = np.concatenate([rnd.integers(0, 4, (500, 4)), [[1 << 40, 1, 2, 3], [70_000, 0, 0, 1]]])
+    code, kinds = ngram_lm.coded(stats)
+    assert (kinds[code] == stats).all() and len(kinds) < 300
+
+
+def test_words_are_hashed_alike():
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = random.Random(8)
+    texts = [*ODD, " \t\x0b a\x0c\rB \n", "\u00a0x\u2003y \x1c z", "Ä É İ", *[passage(rnd, rnd.randrange(40), 50) for _ in range(30)]]
+    texts = [None if t is None else t.encode("utf-8", "replace").decode() for t in texts]
+    for column in (pa.array(texts, pa.string()), pa.array(texts, pa.large_string()), pa.array(["cut", *texts]).slice(1)):
+        for most in (1, 300, 1 << 20):
+            got = [ngram_lm.hashed_words(x) for x in ngram_lm.pieces(column, most)]
+            want = [ngram_jaccard.word_hashes(t) for t in texts]
+            assert np.concatenate([n for _, n in got]).tolist() == [len(w) for w in want]
+            assert (np.concatenate([h for h, _ in got]) == np.concatenate(want)).all()
+
+
 def test_fold(spark):
     df = spark.createDataFrame([(i,) for i in (0, 1, 17, 123456789)] + [(None,)], "doc_id long")
     got = {r.doc_id: r.f for r in df.select("doc_id", ngram_lm.fold(F.col("doc_id"), 7).alias("f")).collect()}
